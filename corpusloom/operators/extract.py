@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import built_once, evaluated_once
 from corpusloom.operators import lint, repair
 
 SYMBOL_FIELDS = {
@@ -175,6 +176,7 @@ def _method_rows(start: Column, class_line: Column, after: Column) -> Column:
     return F.filter(F.transform(body, member), lambda m: m.isNotNull())
 
 
+@built_once
 def _declarations(include_methods: bool) -> Column:
     """``array<struct<line, text, above, below, owner>>`` of the declaration lines in ``_lines``."""
     js, py = F.col("extractor") == "js", F.col("extractor") == "python"
@@ -214,8 +216,9 @@ def _first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[_ref(text, p) for p in patterns])
 
 
-def _classified(rows: DataFrame) -> DataFrame:
-    """Name the kind of each declaration row; the first rule that fits wins."""
+@built_once
+def _what() -> Column:
+    """The kind of a declaration row; the first rule that fits wins."""
     t, ts, full = F.col("_d.text"), F.col("_ts"), ~F.col("_limited")
     js = (
         F.when(F.col("_d.owner").isNotNull(), F.when(full, "method"))
@@ -233,10 +236,10 @@ def _classified(rows: DataFrame) -> DataFrame:
         .when(t.rlike(fixed.PY_FUNCTION), "function")
         .when(t.rlike(fixed.PY_CLASS), "class")
     )
-    what = F.when(F.col("extractor") == "js", js).when(F.col("extractor") == "python", py).otherwise(F.lit("generic"))
-    return rows.withColumn("_what", what).filter(F.col("_what").isNotNull())
+    return F.when(F.col("extractor") == "js", js).when(F.col("extractor") == "python", py).otherwise(F.lit("generic"))
 
 
+@built_once
 def _js_names() -> Column:
     t, what = F.col("_d.text"), F.col("_what")
     clause = F.regexp_extract(t, r"(?s)^import\s+(.*?)\s*\bfrom\s*['\"]", 1)
@@ -255,26 +258,29 @@ def _js_names() -> Column:
         .when((what == "variable") & t.rlike(several), listed)
         .when(what == "variable", one(F.regexp_extract(t, _JS_VARIABLE, 2)))
         .when(what == "export", one(F.regexp_extract(t, _JS_EXPORT, 1)))
-        .otherwise(
+        .when(
+            what == "default",
             one(
                 F.when(declared != "extends", declared)
                 .when(~ident.isin("null", "true", "false", "this", "function", "class"), ident)
                 .otherwise(F.lit("default"))
-            )
+            ),
         )
     )
 
 
+@built_once
 def _py_names() -> Column:
     t, what = F.col("_d.text"), F.col("_what")
     parts = F.split(F.regexp_extract(t, fixed.PY_IMPORT, 2), ",", -1)
     return (
         F.when(what == "import", F.transform(parts, lambda p: F.substring_index(tx.trim_all(p), " as ", 1)))
         .when(what == "function", F.array(F.regexp_extract(t, fixed.PY_FUNCTION, 1)))
-        .otherwise(F.array(F.regexp_extract(t, fixed.PY_CLASS, 1)))
+        .when(what == "class", F.array(F.regexp_extract(t, fixed.PY_CLASS, 1)))
     )
 
 
+@built_once
 def _items() -> Column:
     """``array<struct<type, name>>``: an import or a generic line may hold several symbols."""
     t, what = F.col("_d.text"), F.col("_what")
@@ -290,8 +296,9 @@ def _items() -> Column:
     )
 
 
-def _with_details(rows: DataFrame, strip_close: bool) -> DataFrame:
-    """Attributes that all symbols of a declaration row share."""
+@built_once
+def _symbol_rows(strip_close: bool) -> Column:
+    """``array<struct>`` of the symbols of one declaration row; all but name, type and position is shared."""
     t, what, full = F.col("_d.text"), F.col("_what"), ~F.col("_limited")
     is_js, is_py = F.col("extractor") == "js", F.col("extractor") == "python"
     function, method = what == "function", what == "method"
@@ -301,36 +308,42 @@ def _with_details(rows: DataFrame, strip_close: bool) -> DataFrame:
         _ref(t, fixed.PY_IMPORT)
     )
     bases = F.when(is_js, _ref(t, _JS_CLASS, 2)).otherwise(_ref(t, r"^class\s+\w+\(\s*([\w.]+)"))
-    return (
-        rows.withColumn("_items", _items())
-        .withColumn("line", F.col("_d.line"))
-        .withColumn(
-            "params",
-            F.when(is_js, param_names(js_params)).when(
-                is_py & function, py_param_names(F.regexp_extract(t, fixed.PY_FUNCTION, 2))
-            ),
-        )
-        .withColumn("from_module", F.when(what == "import", module))
-        .withColumn(
-            "is_async",
-            F.when(is_js & full & function, F.regexp_extract(t, _JS_FUNCTION, 1) != "").when(
-                method, F.regexp_extract(t, _JS_METHOD, 2) != ""
-            ),
-        )
-        .withColumn("is_static", F.when(method, F.regexp_extract(t, _JS_METHOD, 1) != ""))
-        .withColumn("class_name", F.col("_d.owner"))
-        .withColumn("kind", F.when(what == "variable", F.regexp_extract(t, _JS_VARIABLE, 1)))
-        .withColumn("exported", F.when(what == "variable", False).when(what == "export", True))
-        .withColumn("is_default", F.when(what == "default", True))
-        .withColumn(
-            "documentation",
-            F.when(documented, js_docstring(F.col("_d.above"), strip_close)).when(
-                is_py & what.isin("function", "class"), py_docstring(F.col("_d.below"))
-            ),
-        )
-        .withColumn("extends", F.when((what == "class"), bases))
+    shared = {
+        "line": F.col("_d.line"),
+        "params": F.when(is_js, param_names(js_params)).when(
+            is_py & function, py_param_names(F.regexp_extract(t, fixed.PY_FUNCTION, 2))
+        ),
+        "from_module": F.when(what == "import", module),
+        "is_async": F.when(is_js & full & function, F.regexp_extract(t, _JS_FUNCTION, 1) != "").when(
+            method, F.regexp_extract(t, _JS_METHOD, 2) != ""
+        ),
+        "is_static": F.when(method, F.regexp_extract(t, _JS_METHOD, 1) != ""),
+        "class_name": F.col("_d.owner"),
+        "kind": F.when(what == "variable", F.regexp_extract(t, _JS_VARIABLE, 1)),
+        "exported": F.when(what == "variable", False).when(what == "export", True),
+        "is_default": F.when(what == "default", True),
+        "documentation": F.when(documented, js_docstring(F.col("_d.above"), strip_close)).when(
+            is_py & what.isin("function", "class"), py_docstring(F.col("_d.below"))
+        ),
+        "extends": F.when(what == "class", bases),
+    }
+    signed = F.when(
+        is_js & function & full,
+        signature(F.regexp_extract(t, _JS_FUNCTION, 1) != "", F.regexp_extract(t, _JS_FUNCTION, 2), param_names(js_params)),
     )
 
+    def row(item: Column, i: Column) -> Column:
+        own = {
+            **shared,
+            "name": item["name"],
+            "type": item["type"],
+            "ord": F.col("_d.line").cast("bigint") * _LINE_STEP + i,
+            "signature": signed,
+        }
+        return F.struct(*[own[k].cast(t).alias(k) for k, t in SYMBOL_FIELDS.items()])
+
+    return F.transform(_items(), row)
+
 
 def route_files(files: DataFrame, parity: bool = False) -> DataFrame:
     """Choose an extractor per file and repair JS and TS files that do not parse.
@@ -341,24 +354,23 @@ def route_files(files: DataFrame, parity: bool = False) -> DataFrame:
     """
     ext = F.lower(tx.extension(F.col("path")))
     is_js = ext.isin(fixed.JS_EXTENSIONS + fixed.TS_EXTENSIONS)
-    checked = files.withColumn("_parses", F.when(is_js, lint.parses(F.col("content"))))
+    checked = evaluated_once(files, {"_parses": F.when(is_js, lint.parses(F.col("content")))}, files.columns)
     tried = repair.repair_files(checked, ~F.col("_parses"), parity)
-    tried = tried.withColumn(
-        "repaired",
-        F.coalesce(F.when(F.size("fixes") > 0, lint.parses(F.col("fixed_content"))), F.lit(False)),
-    )
-    return (
-        tried.withColumn(
-            "extractor",
-            F.when(is_js & (F.col("_parses") | F.col("repaired")), F.lit("js"))
-            .when(ext.isin(fixed.PY_EXTENSIONS), F.lit("python"))
-            .otherwise(F.lit("generic")),
-        )
-        .withColumn("source", F.when(F.col("repaired"), F.col("fixed_content")).otherwise(F.col("content")))
-        .withColumn("fixes", F.when(F.col("repaired"), F.col("fixes")).otherwise(F.expr(repair.NO_FIXES)))
-        .withColumn("fixed_content", F.when(F.col("repaired"), F.col("fixed_content")))
-        .drop("_parses")
+    repaired = F.coalesce(F.when(F.size("fixes") > 0, lint.parses(F.col("fixed_content"))), F.lit(False))
+    tried = evaluated_once(tried, {"repaired": repaired}, tried.columns)
+    done = F.col("repaired")
+    extractor = (
+        F.when(is_js & (F.col("_parses") | done), F.lit("js"))
+        .when(ext.isin(fixed.PY_EXTENSIONS), F.lit("python"))
+        .otherwise(F.lit("generic"))
     )
+    columns = {
+        "extractor": extractor,
+        "source": F.when(done, F.col("fixed_content")).otherwise(F.col("content")),
+        "fixes": F.when(done, F.col("fixes")).otherwise(F.expr(repair.NO_FIXES)),
+        "fixed_content": F.when(done, F.col("fixed_content")),
+    }
+    return evaluated_once(tried, columns, [*files.columns, "repaired"])
 
 
 def extract_symbols(
@@ -383,25 +395,7 @@ def extract_symbols(
         .withColumn("_d", F.explode(_declarations(include_methods)))
         .drop("_lines")
     )
-    detailed = _with_details(_classified(rows), strip_close)
-    symbols = detailed.select("*", F.posexplode("_items").alias("_i", "_item"))
-    signed = F.when(
-        (F.col("extractor") == "js") & (F.col("_what") == "function") & ~F.col("_limited"),
-        signature(F.col("is_async"), F.col("_item.name"), F.col("params")),
-    )
-    columns = {
-        "name": F.col("_item.name"),
-        "type": F.col("_item.type"),
-        "ord": F.col("line").cast("bigint") * _LINE_STEP + F.col("_i"),
-        "signature": signed,
-    }
-    return symbols.select(
-        "repo_id",
-        "file",
-        "extractor",
-        "language",
-        *[columns.get(k, F.col(k)).cast(t).alias(k) for k, t in SYMBOL_FIELDS.items()],
-    )
+    return rows.withColumn("_what", _what()).select("repo_id", "file", "extractor", "language", F.inline(_symbol_rows(strip_close)))
 
 
 def export_scan(files: DataFrame) -> DataFrame:

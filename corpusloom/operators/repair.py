@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import built_once, evaluated_once
 from corpusloom.operators import lint
 
 FIX_TYPE = "array<struct<type:string,line:int,cnt:bigint,before:string,after:string,description:string>>"
@@ -81,32 +82,34 @@ def repair_brackets(text: Column, parity: bool = False) -> Column:
     )
 
 
-def repair_semicolons(files: DataFrame, text: str = "content", out: str = "repaired") -> DataFrame:
-    """Add missing semicolons; ``out`` is the new text and ``<out>_lines`` the changed line numbers.
+@built_once
+def _semicolon_lines() -> Column:
+    """``array<struct<line, before>>`` of the lines in ``_lines`` that lack a semicolon.
 
-    The neighbour line comes from the same array, so no window or shuffle is involved.
+    The line below comes from the same array, so no window or shuffle is involved.
     """
-    needs = lambda l, i: needs_semicolon(l, F.get(F.col("_lines"), i + 1))
-    changed = F.filter(
-        F.transform("_lines", lambda l, i: F.when(needs(l, i), F.struct((i + 1).alias("line"), l.alias("before")))),
-        lambda x: x.isNotNull(),
+    found = F.transform(
+        "_lines",
+        lambda l, i: F.when(
+            needs_semicolon(l, F.get(F.col("_lines"), i + 1)), F.struct((i + 1).alias("line"), l.alias("before"))
+        ),
     )
-    return (
-        files.withColumn("_lines", tx.split_lines(F.col(text)))
-        .withColumn(f"{out}_lines", changed)
-        .withColumn(
-            out,
-            F.when(F.size(f"{out}_lines") == 0, F.col(text)).otherwise(
-                F.array_join(
-                    F.transform(
-                        "_lines", lambda l, i: F.when(needs(l, i), F.concat(l, F.lit(";"))).otherwise(l)
-                    ),
-                    "\n",
-                )
-            ),
-        )
-        .drop("_lines")
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def _with_semicolons(text: Column, changed: Column) -> Column:
+    at = F.transform(changed, lambda x: x["line"])
+    lines = F.transform(
+        "_lines", lambda l, i: F.when(F.array_contains(at, i + 1), F.concat(l, F.lit(";"))).otherwise(l)
     )
+    return F.when(F.size(changed) == 0, text).otherwise(F.array_join(lines, "\n"))
+
+
+def repair_semicolons(files: DataFrame, text: str = "content", out: str = "repaired") -> DataFrame:
+    """Add missing semicolons; ``out`` is the new text and ``<out>_lines`` the changed lines."""
+    lined = files.withColumn("_lines", tx.split_lines(F.col(text)))
+    lined = evaluated_once(lined, {f"{out}_lines": _semicolon_lines()}, lined.columns)
+    return lined.withColumn(out, _with_semicolons(F.col(text), F.col(f"{out}_lines"))).drop("_lines")
 
 
 def repair_files(files: DataFrame, only: Column | None = None, parity: bool = False) -> DataFrame:
@@ -118,18 +121,28 @@ def repair_files(files: DataFrame, only: Column | None = None, parity: bool = Fa
     is_ts = ext.isin(fixed.TS_EXTENSIONS)
     wanted = ext.isin(fixed.JS_EXTENSIONS + fixed.TS_EXTENSIONS)
     wanted = wanted if only is None else wanted & only
-    prep = files.withColumn("_0", F.when(wanted, F.col("content"))).withColumn(
-        "_1", repair_incomplete_object(F.col("_0"))
-    )
-    prep = repair_semicolons(prep, "_1", "_2")
-    before_method = F.regexp_replace(F.col("_2"), fixed.COMMA_BEFORE_METHOD, "},\n  async $1")
-    prep = (
-        prep.withColumn("_3a", before_method)
-        .withColumn("_3", F.regexp_replace("_3a", fixed.COMMA_BETWEEN_PROPERTIES, "$1,\n$2"))
-        .withColumn("_4", F.when(is_ts, repair_types(F.col("_3"))).otherwise(F.col("_3")))
-        .withColumn("_5", F.regexp_replace("_4", fixed.TRAILING_COMMA_AT_END, "$1"))
-        .withColumn("fixed_content", F.regexp_replace(repair_brackets(F.col("_5"), parity), fixed.TRAILING_COMMA, "$1"))
-    )
+    steps = [
+        {"_0": F.when(wanted, F.col("content"))},
+        {"_1": repair_incomplete_object(F.col("_0"))},
+        {"_lines": tx.split_lines(F.col("_1"))},
+        {"_2_lines": _semicolon_lines()},
+        {"_2": _with_semicolons(F.col("_1"), F.col("_2_lines"))},
+        {"_3a": F.regexp_replace("_2", fixed.COMMA_BEFORE_METHOD, "},\n  async $1")},
+        {"_3": F.regexp_replace("_3a", fixed.COMMA_BETWEEN_PROPERTIES, "$1,\n$2")},
+        {"_4": F.when(is_ts, repair_types(F.col("_3"))).otherwise(F.col("_3"))},
+        {"_5": F.regexp_replace("_4", fixed.TRAILING_COMMA_AT_END, "$1")},
+    ]
+    prep = files
+    for step in steps:
+        prep = prep.withColumns(step)
+    repaired = F.regexp_replace(repair_brackets(F.col("_5"), parity), fixed.TRAILING_COMMA, "$1")
+    fixes = F.when(F.col("_0").isNotNull(), _fix_list()).otherwise(F.expr(NO_FIXES))
+    prep = prep.withColumn("_ts", is_ts)
+    return evaluated_once(prep, {"fixed_content": repaired, "fixes": fixes}, files.columns)
+
+
+@built_once
+def _fix_list() -> Column:
     semicolons = F.transform(
         "_2_lines",
         lambda x: _fix("missing-semicolon", x["line"], None, x["before"], F.concat(x["before"], F.lit(";"))),
@@ -148,16 +161,14 @@ def repair_files(files: DataFrame, only: Column | None = None, parity: bool = Fa
             _fix("missing-comma", description="Added missing commas in object literals"),
         ),
         _fix_if(
-            is_ts & F.col("_3").rlike(fixed.INCOMPLETE_TYPE),
+            F.col("_ts") & F.col("_3").rlike(fixed.INCOMPLETE_TYPE),
             _fix("incomplete-type", description='Added default "any" type for incomplete annotations'),
         ),
     ]
     for name, o, c in (lint.BRACKETS[0], lint.BRACKETS[2], lint.BRACKETS[1]):
         missing = lint.net_count(F.col("_5"), o, c)
         fixes.append(_fix_if(missing > 0, _fix(f"missing-closing-{name}", cnt=missing)))
-    return prep.withColumn(
-        "fixes", F.when(F.col("_0").isNotNull(), F.concat(*fixes)).otherwise(F.expr(NO_FIXES))
-    ).drop("_0", "_1", "_2", "_2_lines", "_3a", "_3", "_4", "_5")
+    return F.concat(*fixes)
 
 
 def smart_repair(files: DataFrame, parity: bool = False) -> DataFrame:
