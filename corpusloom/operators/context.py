@@ -74,7 +74,7 @@ def file_context(grouped: DataFrame, meta: DataFrame, files: DataFrame, full: bo
         .withColumn("language", F.coalesce("language", F.lit("unknown")))
         .withColumn("imports", F.coalesce("imports", none))
         .withColumn("exports", F.coalesce("exports", none))
-        .withColumn("snippets", F.when(F.lit(not full), snippets(F.col("content"), F.col("symbols"))))
+        .withColumn("snippets", F.when(F.col("content").isNotNull() & F.lit(not full), snippets(F.col("content"), F.col("symbols"))))
         .withColumn("full_content", F.col("content") if full else no_text)
         .drop("content")
     )

@@ -131,6 +131,7 @@ def py_docstring(below: Column) -> Column:
 
 def import_locals(clause: Column) -> Column:
     """Local names of a JS import clause: default, ``{a as b}`` and ``* as ns`` forms, in order."""
+    clause = F.regexp_replace(clause, r"^type\s+([\w$*{])", "$1")
     parts = F.split(F.regexp_replace(clause, r"[{}]", ","), ",", -1)
     names = F.transform(parts, lambda p: F.regexp_extract(p, rf"({_WORD})\s*$", 1))
     return F.filter(names, lambda n: n != "")

@@ -450,7 +450,7 @@ _RENAMED = r"""renamed AS (
     replace(f.content, 'export const ' || t.original || ' ', 'export const ' || t.suggested || ' ') END AS new_content
   FROM files f LEFT JOIN typos t ON t.repo_id = f.repo_id AND t.path = f.path)"""
 O["apply_typo_fixes"] = _with(_FILES, _ATT, _TYPOS, _RENAMED) + "SELECT file_id, new_content AS content, fixed FROM renamed"
-O["semantic_fix"] = _with(_FILES, _ATT, _TYPOS, _RENAMED) + """SELECT repo_id, count_if(fixed) AS n_fixed,
+O["semantic_fix"] = _with(_FILES, _ATT, _TYPOS, _RENAMED) + """SELECT repo_id, count(*) FILTER (fixed) AS n_fixed,
   CAST(count_if(fixed) AS BIGINT) AS n_renames FROM renamed GROUP BY repo_id"""
 O["build_symbol_graph"] = _with(
     _FILES, _ATT, _TYPOS, _RENAMED,
@@ -512,10 +512,8 @@ UNION ALL SELECT repo_id, 'similar', id, CAST(rank AS VARCHAR) FROM hits
 UNION ALL SELECT repo_id, 'reference', src, dst FROM edges WHERE contains(src, 'hot_gear') OR contains(dst, 'hot_gear'))
 """
 O["find_all_usages"] = _USAGES + "SELECT * FROM usages"
-O["usage_totals"] = _USAGES + """SELECT repo_id, count_if(kind = 'definition') AS definitions, count_if(kind = 'similar') AS "similar",
-  count_if(kind = 'reference') AS "references", count_if(kind <> 'similar') AS total_usages FROM usages GROUP BY repo_id"""
-for _k in ("usage_totals",):
-    O[_k] = O[_k].replace("count_if(", "count_if(")
+O["usage_totals"] = _USAGES + """SELECT repo_id, count(*) FILTER (kind = 'definition') AS definitions, count(*) FILTER (kind = 'similar') AS "similar",
+  count(*) FILTER (kind = 'reference') AS "references", count(*) FILTER (kind <> 'similar') AS total_usages FROM usages GROUP BY repo_id"""
 O["improvements_to_files"] = _F + f"""SELECT a.repo_id, a.file_id, a.file, 'Rename' AS description, b.path IS NOT NULL AS found,
   md5(b.content) AS body
 FROM (SELECT repo_id, file_id, {_TARGET} AS file FROM files WHERE file_id % 4 = 0) a
@@ -683,7 +681,7 @@ semi_marked AS (
       OR regexp_matches(t, '^(const|let|var)\s+\w+\s*=\s*.+[^=,]$')) AS needs FROM semi_lines),
 punct AS (
   SELECT file_id, ext, string_agg(line || CASE WHEN needs THEN ';' ELSE '' END, chr(10) ORDER BY no) AS content,
-    coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (needs), '') AS changed, count_if(needs) AS n_semi
+    coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (needs), '') AS changed, count(*) FILTER (needs) AS n_semi
   FROM semi_marked GROUP BY ALL)"""
 O["repair_semicolons"] = _with(_FILES, _SEMI.format("content"), kind="broken") + """
 SELECT file_id, content AS repaired, changed AS changed_lines FROM punct"""
