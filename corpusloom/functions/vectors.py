@@ -1,11 +1,13 @@
 """Texts to unit vectors by feature hashing.
 
-Tokenising and hashing are JVM expressions; only the integer bucket lists cross to Python, where one numpy pass per
-Arrow batch turns them into dense vectors.  The step is narrow: no shuffle, no per-row Python.
+Tokens are cut on the JVM and cross to Python as Arrow lists.  Per batch each distinct token is hashed once and one numpy
+pass builds all dense vectors.  The step is narrow: no shuffle, no per-row Python.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,17 +21,22 @@ def tokens(text: Column) -> Column:
 
 
 def token_bucket(token: Column, dim: int = fixed.VECTOR_DIM) -> Column:
+    """Bucket of one token as a JVM expression, equal to the one used for whole vectors."""
     head = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
     return F.pmod(head, F.lit(dim)).cast("int")
 
 
 def _unit_vector_udf(dim: int):
     @F.arrow_udf("array<float>")
-    def unit_vectors(buckets: pa.Array) -> pa.Array:
-        n = len(buckets)
-        lengths = np.asarray(buckets.value_lengths().fill_null(0), dtype=np.int64)
+    def unit_vectors(token_lists: pa.Array) -> pa.Array:
+        n = len(token_lists)
+        lengths = np.asarray(token_lists.value_lengths().fill_null(0), dtype=np.int64)
+        words = token_lists.flatten().dictionary_encode()
+        buckets = np.array(
+            [int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in words.dictionary.to_pylist()], dtype=np.int64
+        )
         rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        flat = rows * dim + np.asarray(buckets.flatten(), dtype=np.int64)
+        flat = rows * dim + (buckets[np.asarray(words.indices)] if len(rows) else rows)
         counts = np.bincount(flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
@@ -41,4 +48,4 @@ def _unit_vector_udf(dim: int):
 
 def embed_text(text: Column, dim: int = fixed.VECTOR_DIM) -> Column:
     """Term-frequency vector over hashed tokens, L2-normalised, as ``array<float>``."""
-    return _unit_vector_udf(dim)(F.transform(tokens(text), lambda t: token_bucket(t, dim)))
+    return _unit_vector_udf(dim)(tokens(text))

@@ -131,7 +131,7 @@ def retrieve_context(
 ) -> DataFrame:
     """One nested row per query and repository.
 
-    ``files``: path, language, symbols, imports, exports, snippets, full_content in rank order; ``symbols``: hits of the
+    ``hits`` is read several times; hand in a stored table.  ``files``: path, language, symbols, imports, exports, snippets, full_content in rank order; ``symbols``: hits of the
     kept files; ``dependencies``, ``calls`` and ``summary``.
     """
     ranked = file_hits(hits, max_files)
@@ -144,8 +144,13 @@ def retrieve_context(
         F.transform("files", lambda f: F.transform(f["symbols"], lambda s: s.withField("path", f["path"])))
     )
     per_query = per_query.withColumn("symbols", flat_hits)
-    listed = per_query.select(*KEYS, F.posexplode("symbols").alias("symbol_ord", "_s")).select(
-        *KEYS, "symbol_ord", "_s.name", "_s.type"
+    # The same list from the ranked hits alone, so that the references do not repeat the joins above.
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("file_rank", "symbols"))), lambda f: f["symbols"]))
+    listed = (
+        ranked.groupBy(*KEYS)
+        .agg(in_order.alias("_all"))
+        .select(*KEYS, F.posexplode("_all").alias("symbol_ord", "_s"))
+        .select(*KEYS, "symbol_ord", "_s.name", "_s.type")
     )
     deps = (
         dependencies(ranked, edges, parity)

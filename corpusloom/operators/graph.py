@@ -12,12 +12,13 @@ from corpusloom.operators.extract import SYMBOL_FIELDS
 def symbol_dedup(symbols: DataFrame) -> DataFrame:
     """One row per ``file::name``: the values of the last declaration at the position of the first.
 
-    ``ord`` is the place of the first declaration.  Rows of a file come out of one task, so the map-side part of the
-    aggregation already does nearly all of the work.
+    ``ord`` is the place of the first declaration.  Rows are spread by file, a bounded unit, and later groupings by file
+    find them in place.
     """
     fields = ["language", *[k for k in SYMBOL_FIELDS if k not in ("name", "ord")]]
     return (
-        symbols.groupBy("repo_id", "file", "name")
+        symbols.repartition("repo_id", "file")
+        .groupBy("repo_id", "file", "name")
         .agg(F.max_by(F.struct(*fields), "ord").alias("_last"), F.min("ord").alias("ord"))
         .select(
             "repo_id", tx.symbol_id(F.col("file"), F.col("name")).alias("symbol_id"), "file", "name", "_last.*", "ord"

@@ -19,7 +19,7 @@ from corpusloom.operators import changes as chg
 from corpusloom.operators import context as ctx
 from corpusloom.operators import extract, graph, index, lines, lint, memory, ranking, repair, review, search, typos
 from corpusloom.plans import graph_build, inputs, review_run
-from corpusloom.plans.inputs import table
+from corpusloom.plans.inputs import table, texts
 from corpusloom.session import shared_dir
 from corpusloom.sources import corpus, tables
 from corpusloom.streaming.memory import read_memory, start_memory_stream
@@ -305,7 +305,7 @@ def repo_url_parse_api(s, d):
 
 @query
 def estimate_tokens(s, d):
-    docs = table(s, d, "documents")
+    docs = texts(s, d, "documents")
     return docs.groupBy("source", "lang").agg(
         F.count("*").alias("n"), F.sum(tx.estimate_tokens(F.col("text"))).alias("tokens")
     )
@@ -340,7 +340,7 @@ def run_status(s, d):
 
 @query
 def explode_lines(s, d):
-    return lines.explode_lines(table(s, d, "documents"), ["doc_id"], "text")
+    return lines.explode_lines(texts(s, d, "documents"), ["doc_id"], "text")
 
 
 @query
@@ -437,7 +437,7 @@ def dependency_graph(s, d):
 
 def _review_hits(s: SparkSession, idx: DataFrame) -> DataFrame:
     queries = search.text_queries(s, {"review": fixed.REVIEW_QUERY})
-    return search.vector_search(queries, idx, fixed.CONTEXT_SYMBOLS)
+    return graph_build.stored(search.vector_search(queries, idx, fixed.CONTEXT_SYMBOLS), "hits")
 
 
 @query
@@ -572,8 +572,8 @@ def typo_dedup(s, d):
 def lint_brackets(s, d):
     key = lambda kind, c: [F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id")]
     code = _files(s, d).select(*key("code", "file_id"), F.col("content").alias("text"))
-    pages = table(s, d, "pages").select(*key("page", "page_id"), F.col("html").alias("text"))
-    docs = table(s, d, "documents").select(*key("document", "doc_id"), "text")
+    pages = texts(s, d, "pages").select(*key("page", "page_id"), F.col("html").alias("text"))
+    docs = texts(s, d, "documents").select(*key("document", "doc_id"), "text")
     return lint.lint_brackets(code.unionByName(pages).unionByName(docs), ["kind", "id"], "text").drop("severity")
 
 
@@ -610,7 +610,7 @@ def _edited_documents(s: SparkSession, d: str) -> DataFrame:
         .when(form == 2, F.concat(F.lit("// a note\n// more notes\n//\n"), text))
         .otherwise(F.regexp_replace(text, r"^[^\n]*\n", ""))
     )
-    return table(s, d, "documents").select("doc_id", text.alias("old_text"), new.alias("new_text"))
+    return texts(s, d, "documents").select("doc_id", text.alias("old_text"), new.alias("new_text"))
 
 
 @query
@@ -789,7 +789,7 @@ def string_similarity(s, d):
 
 @query
 def embed_text_documents(s, d):
-    docs = table(s, d, "documents").select("doc_id", embed_text(F.col("text")).alias("v"))
+    docs = texts(s, d, "documents").select("doc_id", embed_text(F.col("text")).alias("v"))
     return _sparse(docs, ["doc_id"])
 
 
@@ -803,8 +803,8 @@ def _sparse(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
 @query
 def embed_text_symbols(s, d):
-    texts = _entries(s, d).select("repo_id", "id", embed_text(F.col("text")).alias("v"))
-    return _sparse(texts, ["repo_id", "id"])
+    vectors = _entries(s, d).select("repo_id", "id", embed_text(F.col("text")).alias("v"))
+    return _sparse(vectors, ["repo_id", "id"])
 
 
 QUERIES["embed_text"] = QUERIES.pop("embed_text_documents")
@@ -819,8 +819,8 @@ def symbol_text(s, d):
 def file_text(s, d):
     files = _files(s, d)
     raw = extract.extract_symbols(files)
-    texts = index.file_text(graph.file_metadata(files, raw), graph.symbol_dedup(raw))
-    return texts.select("repo_id", "path", "text")
+    built = index.file_text(graph.file_metadata(files, raw), graph.symbol_dedup(raw))
+    return built.select("repo_id", "path", "text")
 
 
 @query
@@ -852,7 +852,8 @@ def pattern_query(s, d):
 def retrieve_context(s, d):
     idx, meta, edges, _, files = _sources(s, d)
     queries = search.text_queries(s, {"default": fixed.DEFAULT_QUERY})
-    c = ctx.retrieve_context(search.vector_search(queries, idx, fixed.CONTEXT_SYMBOLS), meta, edges, files)
+    hits = graph_build.stored(search.vector_search(queries, idx, fixed.CONTEXT_SYMBOLS), "hits")
+    c = ctx.retrieve_context(hits, meta, edges, files)
     return c.select(
         "repo_id", F.size("files").alias("n_files"), F.size("symbols").alias("n_symbols"),
         F.size("dependencies").alias("n_dependencies"), F.size("calls").alias("n_calls"),

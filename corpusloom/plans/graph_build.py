@@ -63,7 +63,7 @@ def pattern_query(
 ) -> DataFrame:
     """Contexts for named patterns, or for raw texts where the name is unknown; one scan for all of them."""
     queries = search.text_queries(spark, {n: fixed.PATTERN_QUERIES.get(n, n) for n in names})
-    hits = search.vector_search(queries, idx, fixed.PATTERN_SYMBOLS)
+    hits = stored(search.vector_search(queries, idx, fixed.PATTERN_SYMBOLS), "hits")
     return ctx.retrieve_context(hits, meta, edges, files, fixed.PATTERN_FILES)
 
 
@@ -72,7 +72,7 @@ def review_context(
 ) -> DataFrame:
     """The compact context of the review query for every repository."""
     queries = search.text_queries(spark, {"review": fixed.REVIEW_QUERY})
-    hits = search.vector_search(queries, idx, fixed.CONTEXT_SYMBOLS)
+    hits = stored(search.vector_search(queries, idx, fixed.CONTEXT_SYMBOLS), "hits")
     return ctx.compact_context(ctx.retrieve_context(hits, meta, edges, files), max_tokens)
 
 
@@ -124,7 +124,7 @@ def focused_context(
     own = index.symbols_in_file(entries).withColumn("query_id", F.col("file")).withColumn(
         "similarity", F.lit(None).cast("double")
     )
-    return ctx.retrieve_context(own, meta, edges, files)
+    return ctx.retrieve_context(stored(own, "hits"), meta, edges, files)
 
 
 def sources(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -101,15 +101,27 @@ code_files AS (SELECT *, CAST({octets} AS BIGINT) AS size FROM bodies)"""
     return text.replace("STRING_T", string_type)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def code_files(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
     """The derived corpus."""
     where = " WHERE m < 4" if kind == "broken" else ""
-    given = f"part AS (SELECT * FROM parquet.`{sf_dir}/part.parquet`)"
-    return spark.sql(f"WITH {given}, {corpus_sql(kind, where=where)} SELECT * FROM code_files")
+    body = corpus_sql(kind, where=where).replace("{", "{{").replace("}", "}}")
+    part = spread(table(spark, sf_dir, "part"))
+    return spark.sql(f"WITH part AS (SELECT * FROM {{given}}), {body} SELECT * FROM code_files", given=part)
 
 
 def repo_urls(files: DataFrame) -> DataFrame:

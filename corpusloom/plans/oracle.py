@@ -7,7 +7,7 @@ and line tables instead of arrays, sparse joins instead of matrix products), so
 from __future__ import annotations
 
 from corpusloom import fixed
-from corpusloom.plans.inputs import corpus_sql
+from corpusloom.plans.inputs import _BODY, corpus_sql
 
 
 def _list(values: list[str]) -> str:
@@ -699,15 +699,122 @@ O["smart_repair"] = _with(*_CHAIN, kind="broken") + r"""SELECT file_id, fixed_co
   'incomplete-object-declaration,' || repeat('missing-semicolon,', n_semi) || 'missing-comma,'
   || CASE WHEN ext IN ('.ts', '.tsx') THEN 'incomplete-type,' ELSE '' END
   || 'missing-closing-brace,missing-closing-bracket' AS fixes FROM repaired"""
-_P = corpus_sql("plain", "VARCHAR")
 O["apply_fixes"] = _with(*_CHAIN, kind="broken") + f""", plain AS (
   SELECT k AS file_id, repo_id, path, {{body}} AS content FROM g WHERE m < 7)
 SELECT p.repo_id, p.path, md5(coalesce(r.fixed_content, p.content)) AS body, r.fixed_content IS NOT NULL AS modified
 FROM plain p LEFT JOIN repaired r ON r.file_id = p.file_id"""
-from corpusloom.plans.inputs import _BODY  # noqa: E402
-
 O["apply_fixes"] = O["apply_fixes"].replace("{body}", _BODY.replace("STRING_T", "VARCHAR"))
 O["validate_fix"] = _with(*_CHAIN, kind="broken") + """SELECT f.file_id,
   len(string_split(r.fixed_content, chr(10))) <= len(string_split(f.content, chr(10))) * 1.1 AND """ + " AND ".join(
     f"abs({_n(c, 'r.fixed_content')} - {_n(c, 'f.content')}) <= 3" for c in "{}[]()"
 ) + " AS valid FROM files f JOIN repaired r ON r.file_id = f.file_id"
+
+# -- contexts as text, focused contexts, reports
+O["index_rebuild"] = f"""SELECT * FROM ({_E} SELECT repo_id, symbol_type, count(*) AS n FROM entries
+  WHERE NOT starts_with(repo_id, 'org2/') GROUP BY ALL)
+UNION ALL SELECT * FROM ({_with(_FILES, _SYMBOLS_RAW, _SYMBOLS, _META, _ENTRIES, kind="extended")}
+  SELECT repo_id, symbol_type, count(*) AS n FROM entries WHERE starts_with(repo_id, 'org2/') GROUP BY ALL)"""
+_TEXT = """symbol_text AS (
+  SELECT query_id, repo_id, file, string_agg('  - ' || symbol_name || ' (' || symbol_type || ') at line ' || line
+    || coalesce(chr(10) || '    Doc: ' || nullif(documentation, ''), '')
+    || coalesce(chr(10) || '    Signature: ' || nullif(signature, ''), '') || chr(10) || '    Relevance: '
+    || printf('%.1f', floor(similarity * 1000 + 0.5) / 10) || '%', chr(10) ORDER BY rank) AS t
+  FROM kept WHERE file_hit <= 10 GROUP BY ALL),
+snip_text AS (
+  SELECT query_id, repo_id, file, string_agg(chr(10) || '  Symbol: ' || symbol_name || ' (line ' || line || ')' || chr(10)
+    || '  ```' || chr(10) || code || chr(10) || '  ```', chr(10) ORDER BY file_hit) AS t
+  FROM (SELECT s.*, k.symbol_name, k.line, row_number() OVER (PARTITION BY s.query_id, s.repo_id, s.file ORDER BY s.file_hit) AS n
+    FROM snips s JOIN kept k ON k.query_id = s.query_id AND k.repo_id = s.repo_id AND k.file = s.file AND k.file_hit = s.file_hit)
+  WHERE n <= 3 GROUP BY ALL),
+file_text AS (
+  SELECT r.query_id, r.repo_id,
+    string_agg('- ' || r.file || ' (' || m.language || ', ' || r.hits || ' relevant symbols)', chr(10) ORDER BY r.file_rank)
+      FILTER (r.file_rank <= 5) AS top,
+    string_agg(chr(10) || '--- File: ' || r.file || ' (' || m.language || ') ---' || chr(10)
+      || CASE WHEN len(m.imports) > 0 THEN 'Imports: ' || array_to_string(m.imports, ', ') || chr(10) ELSE '' END
+      || CASE WHEN len(m.exports) > 0 THEN 'Exports: ' || array_to_string(m.exports, ', ') || chr(10) ELSE '' END
+      || chr(10) || 'Relevant Symbols:' || chr(10) || st.t
+      || coalesce(chr(10) || chr(10) || 'Code Snippets:' || chr(10) || sn.t, ''), chr(10) ORDER BY r.file_rank) AS details,
+    count(*) AS n_files, sum(r.hits) AS n_symbols
+  FROM ranked r JOIN meta m ON m.repo_id = r.repo_id AND m.path = r.file
+  JOIN symbol_text st ON st.query_id = r.query_id AND st.repo_id = r.repo_id AND st.file = r.file
+  LEFT JOIN snip_text sn ON sn.query_id = r.query_id AND sn.repo_id = r.repo_id AND sn.file = r.file GROUP BY ALL),
+language_text AS (
+  SELECT query_id, repo_id, string_agg(language, ', ' ORDER BY first_rank) AS t FROM (
+    SELECT r.query_id, r.repo_id, m.language, min(r.file_rank) AS first_rank
+    FROM ranked r JOIN meta m ON m.repo_id = r.repo_id AND m.path = r.file GROUP BY ALL) GROUP BY ALL),
+type_text AS (
+  SELECT query_id, repo_id, '{' || chr(10) || string_agg('  "' || symbol_type || '": ' || n, ',' || chr(10) ORDER BY o)
+    || chr(10) || '}' AS t FROM (
+    SELECT query_id, repo_id, symbol_type, count(*) AS n, min(symbol_ord) AS o FROM kept GROUP BY ALL) GROUP BY ALL),
+dep_text AS (
+  SELECT query_id, repo_id, string_agg(src_file || ' -> ' || dst || ' (' || name || ')', chr(10) ORDER BY n) AS t FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, repo_id ORDER BY file_rank, ord) AS n FROM deps)
+  WHERE n <= 20 GROUP BY ALL),
+rendered AS (
+  SELECT f.query_id, f.repo_id, '=== CODE CONTEXT SUMMARY ===' || chr(10) || 'Total Files: ' || n_files || chr(10)
+    || 'Total Symbols: ' || n_symbols || chr(10) || 'Languages: ' || l.t || chr(10) || 'Symbol Types: ' || y.t || chr(10)
+    || chr(10) || '=== TOP RELEVANT FILES ===' || chr(10) || top || chr(10) || chr(10) || '=== FILE DETAILS ===' || chr(10)
+    || details || coalesce(chr(10) || chr(10) || '=== DEPENDENCIES ===' || chr(10) || d.t, '') AS text
+  FROM file_text f JOIN language_text l ON l.query_id = f.query_id AND l.repo_id = f.repo_id
+  JOIN type_text y ON y.query_id = f.query_id AND y.repo_id = f.repo_id
+  LEFT JOIN dep_text d ON d.query_id = f.query_id AND d.repo_id = f.repo_id)"""
+_RENDERED = _with(*_ALL, _search(_one_query("review", fixed.REVIEW_QUERY), 50), _context(10), _TEXT)
+O["render_context"] = _RENDERED + "SELECT repo_id, text FROM rendered"
+O["render_caps"] = _RENDERED + """SELECT r.repo_id,
+  (SELECT count(*) FROM kept k WHERE k.repo_id = r.repo_id AND k.file_hit <= 10) AS symbol_lines,
+  (SELECT CAST(sum(least(n, 3)) AS BIGINT) FROM (SELECT s.file, count(*) AS n FROM snips s WHERE s.repo_id = r.repo_id GROUP BY 1))
+    AS snippet_heads,
+  (SELECT least(count(*), 20) FROM deps d WHERE d.repo_id = r.repo_id) AS dependency_lines FROM rendered r"""
+O["compact_context"] = _RENDERED + """, sizes AS (
+  SELECT r.repo_id, ceil(len(r.text) / 4) > 1500 AS over,
+    (SELECT count(*) FROM ranked x WHERE x.repo_id = r.repo_id) AS f, (SELECT count(*) FROM kept x WHERE x.repo_id = r.repo_id) AS s,
+    (SELECT count(*) FROM calls x WHERE x.repo_id = r.repo_id) AS c, (SELECT count(*) FROM deps x WHERE x.repo_id = r.repo_id) AS d
+  FROM rendered r)
+SELECT repo_id, over, CASE WHEN over THEN least(f, 5) ELSE f END AS n_files, CASE WHEN over THEN least(s, 20) ELSE s END AS n_symbols,
+  CASE WHEN over THEN least(c, 10) ELSE c END AS n_calls, CASE WHEN over THEN least(d, 10) ELSE d END AS n_dependencies,
+  f AS total_files FROM sizes"""
+_shape = (
+    '{"summary": "...", "improvements": [{"file": "...", "description": "...", "reason": "...", '
+    '"changes": "...", "affectedSymbols": ["..."]}], "priority": "high/medium/low"}'
+)
+O["build_prompts"] = _RENDERED + f"""SELECT repo_id, md5(p) AS prompt, CAST(ceil(len(p) / 4) AS BIGINT) AS tokens FROM (
+  SELECT repo_id, 'Review the repository ' || repo_id || '.' || chr(10) || chr(10) || text || chr(10) || chr(10)
+    || 'The context lists the files and symbols most relevant to the review. Suggest only changes that matter, weigh them by relevance, and say so when none is needed.'
+    || chr(10) || 'Answer with JSON of this shape:' || chr(10) || '{_shape}' AS p FROM rendered)"""
+O["focused_context"] = _E + """, target AS (SELECT repo_id, min(path) AS file FROM files GROUP BY 1),
+own AS (SELECT e.*, row_number() OVER (PARTITION BY e.repo_id ORDER BY e.entry_kind, e.ord) AS r
+  FROM entries e JOIN target t ON t.repo_id = e.repo_id AND t.file = e.file),
+held_lines AS (
+  SELECT f.repo_id, o.r, n FROM (SELECT f.repo_id, unnest(range(1, len(string_split(f.content, chr(10))) + 1)) AS n
+    FROM files f JOIN target t ON t.repo_id = f.repo_id AND t.file = f.path) f
+  JOIN own o ON o.repo_id = f.repo_id AND o.r <= 5 AND o.line > 0 AND abs(f.n - o.line) <= 5
+  QUALIFY row_number() OVER (PARTITION BY f.repo_id, n ORDER BY o.r) = 1)
+SELECT t.repo_id, t.file AS path, m.language, (SELECT count(*) FROM own o WHERE o.repo_id = t.repo_id) AS n_symbols,
+  (SELECT count(DISTINCT h.r) FROM held_lines h WHERE h.repo_id = t.repo_id) AS n_snippets
+FROM target t JOIN meta m ON m.repo_id = t.repo_id AND m.path = t.file"""
+O["review_report"] = _with(*_CHAIN, kind="broken") + f""", all_files AS (
+  SELECT k AS file_id, repo_id, path FROM g WHERE m < 7),
+latest AS (SELECT repo_id, max(file_id) % 4 AS f FROM all_files GROUP BY 1),
+changed AS (
+  SELECT repo_id, file_id * 3 AS ord, path AS file, 'first' AS description FROM all_files
+  UNION ALL SELECT repo_id, file_id * 3 + 1, path, 'second' FROM all_files WHERE file_id % 3 = 0
+  UNION ALL SELECT repo_id, file_id * 3 + 2, path || '.new', 'created' FROM all_files WHERE file_id % 5 = 0),
+b AS (SELECT f.repo_id, f.file_id, f.path, f.ext, r.n_semi FROM files f JOIN repaired r ON r.file_id = f.file_id)
+SELECT repo_id, CAST(1 AS BIGINT) AS section, CAST(0 AS BIGINT) AS n, '## Code Analysis' || chr(10) || chr(10) ||
+  CASE WHEN f = 0 THEN 'Tidy up' ELSE '{fixed.CLEAN_SUMMARY}' END || chr(10) || chr(10) || '**Priority:** ' ||
+  CASE WHEN f = 0 THEN 'high' ELSE 'low' END AS text FROM latest
+UNION ALL SELECT repo_id, 2, 0, '## Syntax Fixes Applied' || chr(10) || chr(10) || 'Automatically fixed ' || count(*) ||
+  CASE WHEN count(*) > 1 THEN ' files' ELSE ' file' END || ' with syntax errors:' FROM b GROUP BY repo_id
+UNION ALL SELECT repo_id, 3, row_number() OVER (PARTITION BY repo_id ORDER BY file_id),
+  (row_number() OVER (PARTITION BY repo_id ORDER BY file_id)) || '. **' || path || '**' || chr(10)
+  || '   - Fixed incomplete object literal after export declaration' || repeat(chr(10) || '   - missing-semicolon', n_semi)
+  || chr(10) || '   - Added missing commas in object literals'
+  || CASE WHEN ext IN ('.ts', '.tsx') THEN chr(10) || '   - Added default "any" type for incomplete annotations' ELSE '' END
+  || chr(10) || '   - missing-closing-brace' || chr(10) || '   - missing-closing-bracket' FROM b
+UNION ALL SELECT repo_id, 4, 0, '## Code Improvements' FROM latest
+UNION ALL SELECT repo_id, 5, row_number() OVER (PARTITION BY repo_id ORDER BY ord),
+  (row_number() OVER (PARTITION BY repo_id ORDER BY ord)) || '. **' || file || '**' || chr(10) || '   - ' || description FROM changed
+UNION ALL SELECT repo_id, 6, 0, '## Review Checklist' || chr(10) || chr(10) || '- [ ] Code changes are correct' || chr(10)
+  || '- [ ] No breaking changes introduced' || chr(10) || '- [ ] Tests pass (if applicable)' || chr(10)
+  || '- [ ] Code follows project conventions' FROM latest"""
