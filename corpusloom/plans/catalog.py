@@ -330,7 +330,7 @@ def no_change_predicate(s, d):
 def run_status(s, d):
     given = inputs.code_files(s, d)
     files = corpus.scan_code_files(given)
-    fixes = repair.smart_repair(_files(s, d, "broken")).filter(F.col("file_id") % 2 == 0).select("repo_id", "path")
+    fixes = repair.smart_repair(_files(s, d, "broken")).select("repo_id", "path")
     reviewed = review_run.latest_reviews(inputs.responses(files), "file_id")
     return review_run.outcomes(given, files, fixes, reviewed)
 
@@ -633,7 +633,7 @@ def skip_trivial_changes(s, d):
 
 @query
 def validate_fix(s, d):
-    fixed_files = repair.repair_files(_files(s, d, "broken"))
+    fixed_files = repair.repair_files(_files(s, d, "broken")).filter("fixed_content is not null")
     return fixed_files.select("file_id", repair.validate_fix(F.col("content"), F.col("fixed_content")).alias("valid"))
 
 
@@ -672,13 +672,13 @@ def first_n_names(s, d):
 
 @query
 def first_n_refs(s, d):
-    symbols = _symbols(s, d)
-    edges = graph.build_edges(symbols)
-    names = symbols.filter("extractor = 'python' and type = 'function'").select(
-        F.lit("refs").alias("query_id"), "repo_id", F.col("file").alias("symbol_ord"), "name", "type"
+    idx, _, edges, _, _ = _sources(s, d)
+    names = _review_hits(s, idx).select(
+        "query_id", "repo_id", F.col("id").alias("symbol_ord"), F.col("symbol_name").alias("name"),
+        F.col("symbol_type").alias("type"),
     )
-    per_repo = ranking.top_n(names, ["repo_id"], [F.col("symbol_ord")], 50).drop("rank")
-    return ctx.call_graph(per_repo, edges).select("repo_id", "name", "src", "dst", "ref_rank")
+    found = ctx.call_graph(names, edges)
+    return found.select("repo_id", F.col("symbol_ord").alias("id"), "name", "src", "dst", "ref_rank")
 
 
 @query

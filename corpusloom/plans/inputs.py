@@ -91,12 +91,12 @@ _BROKEN_BODY = """
 """
 
 
-def corpus_sql(kind: str = "plain", string_type: str = "STRING", where: str = "") -> str:
+def corpus_sql(kind: str = "plain", string_type: str = "STRING") -> str:
     """The WITH list that ends in ``code_files(file_id, repo_id, path, content, size)``."""
     body = {"plain": _BODY, "extended": _EXTENDED_BODY, "broken": _BROKEN_BODY}[kind]
     octets = "octet_length(content)" if string_type == "STRING" else "strlen(content)"
     text = f"""{_CORPUS},
-bodies AS (SELECT k AS file_id, repo_id, path, {body} AS content FROM g{where}),
+bodies AS (SELECT k AS file_id, repo_id, path, {body} AS content FROM g),
 code_files AS (SELECT *, CAST({octets} AS BIGINT) AS size FROM bodies)"""
     return text.replace("STRING_T", string_type)
 
@@ -118,8 +118,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
     """The derived corpus."""
-    where = " WHERE m < 4" if kind == "broken" else ""
-    body = corpus_sql(kind, where=where).replace("{", "{{").replace("}", "}}")
+    body = corpus_sql(kind).replace("{", "{{").replace("}", "}}")
     part = spread(table(spark, sf_dir, "part"))
     return spark.sql(f"WITH part AS (SELECT * FROM {{given}}), {body} SELECT * FROM code_files", given=part)
 

@@ -260,8 +260,7 @@ snips AS (
 
 
 def _with(*ctes: str, kind: str = "plain") -> str:
-    where = " WHERE m < 4" if kind == "broken" else ""
-    return "WITH " + ",\n".join([corpus_sql(kind, "VARCHAR", where), *ctes]) + "\n"
+    return "WITH " + ",\n".join([corpus_sql(kind, "VARCHAR"), *ctes]) + "\n"
 
 
 _F = _with(_FILES)
@@ -365,7 +364,7 @@ O["parse_review_json"] = _F + f"""SELECT file_id,
   CASE file_id % 4 WHEN 0 THEN {_TARGET} WHEN 1 THEN 'a' END AS first_file,
   CASE file_id % 4 WHEN 0 THEN 'a,b' END AS affected FROM files"""
 O["run_status"] = _F + f""", fixes AS (
-  SELECT repo_id, count(*) AS n FROM files WHERE ext IN ('.js', '.ts') GROUP BY 1),
+  SELECT repo_id, count(*) AS n FROM files WHERE ext IN ('.js', '.jsx', '.ts', '.tsx') GROUP BY 1),
 latest AS (SELECT repo_id, max(file_id) AS k, arg_max(path, file_id) AS path FROM files GROUP BY 1),
 counts AS (
   SELECT r.repo_id, coalesce(f.n, 0) AS n_files, coalesce(x.n, 0) AS n_fixes,
@@ -601,11 +600,10 @@ O["snippets"] = _REVIEW + """SELECT s.repo_id, s.file AS path,
 FROM snips s JOIN kept k ON k.repo_id = s.repo_id AND k.file = s.file AND k.file_hit = s.file_hit"""
 O["first_n_names"] = _SX + """SELECT repo_id, file AS path, string_agg(name, ', ' ORDER BY ord) AS names FROM (
   SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY repo_id, file ORDER BY ord) <= 10) GROUP BY ALL"""
-O["first_n_refs"] = _ED + """, names AS (SELECT * FROM raw WHERE extractor = 'python' AND type = 'function'
-  QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file) <= 50)
-SELECT e.repo_id, f.name, e.src, e.dst, row_number() OVER w AS ref_rank
-FROM names f JOIN edges e ON e.repo_id = f.repo_id AND (contains(e.src, f.name) OR contains(e.dst, f.name))
-WINDOW w AS (PARTITION BY f.repo_id, f.file ORDER BY e.src_file, e.ord) QUALIFY row_number() OVER w <= 5"""
+O["first_n_refs"] = _REVIEW + """SELECT h.repo_id, h.id, h.symbol_name AS name, e.src, e.dst, row_number() OVER w AS ref_rank
+FROM hits h JOIN edges e ON e.repo_id = h.repo_id AND (contains(e.src, h.symbol_name) OR contains(e.dst, h.symbol_name))
+WHERE h.symbol_type IN ('function', 'method')
+WINDOW w AS (PARTITION BY h.repo_id, h.id ORDER BY e.src_file, e.ord) QUALIFY row_number() OVER w <= 5"""
 O["keep_last_n"] = f"SELECT conv_id, turn, {_last} AS rank FROM conversations QUALIFY {_last} <= 50"
 O["recent_n"] = f"SELECT conv_id, turn, {_last} AS rank, role FROM conversations QUALIFY {_last} <= 2"
 O["greedy_budget"] = f"""SELECT source, doc_id, CAST(len(text) AS BIGINT) AS chars,
@@ -693,7 +691,7 @@ _CHAIN = [
     f"s5 AS (SELECT *, CASE WHEN ext IN ('.ts', '.tsx') THEN {_TY.format('c3')} ELSE c3 END AS c4 FROM s4)",
     f"s6 AS (SELECT *, {_TE.format('c4')} AS c5 FROM s5)",
     f"s7 AS (SELECT *, {_closed('c5')} AS c6 FROM s6)",
-    f"repaired AS (SELECT *, {_TC.format('c6')} AS fixed_content FROM s7)",
+    f"repaired AS (SELECT *, {_TC.format('c6')} AS fixed_content FROM s7 WHERE ext IN ('.js', '.jsx', '.ts', '.tsx'))",
 ]
 O["smart_repair"] = _with(*_CHAIN, kind="broken") + r"""SELECT file_id, fixed_content,
   'incomplete-object-declaration,' || repeat('missing-semicolon,', n_semi) || 'missing-comma,'
