@@ -348,40 +348,36 @@ def dispatch_extractors(s, d):
     return _symbols(s, d, "extended").groupBy("repo_id", "extractor", "type").agg(F.count("*").alias("n"))
 
 
-def _extracted(kind: str, where: str, *columns) -> Query:
+def _extracted(kind: str, where: str, *columns: str) -> Query:
     def run(s, d):
-        return _symbols(s, d, kind).filter(where).select("repo_id", "file", "name", "line", *columns)
+        chosen = [_joined(c).alias(c) if c == "params" else F.col(c) for c in columns]
+        return _wide(_symbols(s, d, kind).filter(where).select("repo_id", "file", "name", "line", *chosen))
 
     return run
 
 
 _EXTRACTED = {
     "py_imports": ("plain", "extractor = 'python' and type = 'import'", "from_module"),
-    "py_functions": ("extended", "extractor = 'python' and type = 'function'", _joined),
+    "py_functions": ("extended", "extractor = 'python' and type = 'function'", "params"),
     "py_classes": ("plain", "extractor = 'python' and type = 'class'"),
     "py_docstring": ("extended", "extractor = 'python' and documentation is not null", "documentation"),
     "generic_functions": ("plain", "extractor = 'generic' and type = 'function'"),
     "generic_classes": ("extended", "extractor = 'generic' and type = 'class'"),
     "generic_fallback": ("plain", "extractor = 'generic' and language in ('javascript', 'typescript')", "type"),
     "js_imports": ("extended", "extractor = 'js' and type = 'import'", "from_module", "ord"),
-    "js_functions": ("extended", "extractor = 'js' and type = 'function'", _joined, "is_async", "signature"),
+    "js_functions": ("extended", "extractor = 'js' and type = 'function'", "params", "is_async", "signature"),
     "js_classes": ("extended", "extractor = 'js' and type = 'class'", "documentation"),
-    "js_methods": ("extended", "type = 'method'", _joined, "is_async", "is_static", "class_name", "documentation"),
+    "js_methods": ("extended", "type = 'method'", "params", "is_async", "is_static", "class_name", "documentation"),
     "js_variables": ("extended", "type = 'variable'", "kind", "exported"),
     "js_named_exports": ("plain", "extractor = 'js' and type = 'export'", "exported"),
     "js_default_exports": ("extended", "type = 'export'", "is_default"),
     "ts_interfaces": ("extended", "type = 'interface'", "documentation"),
     "ts_types": ("extended", "type = 'type'", "documentation"),
     "js_docstring": ("plain", "extractor = 'js' and documentation is not null", "documentation"),
-    "param_names": ("extended", "params is not null", _joined),
+    "param_names": ("extended", "params is not null", "params"),
     "signature": ("plain", "signature is not null", "signature"),
 }
-for _name, (_kind, _where, *_columns) in _EXTRACTED.items():
-    QUERIES[_name] = (
-        lambda spark, sf_dir, kind=_kind, where=_where, cols=tuple(_columns): _wide(
-            _extracted(kind, where, *[c("params").alias("params") if callable(c) else c for c in cols])(spark, sf_dir)
-        )
-    )
+QUERIES.update({name: _extracted(*spec) for name, spec in _EXTRACTED.items()})
 
 
 @query
@@ -787,8 +783,7 @@ def string_similarity(s, d):
     return part.select("p_partkey", F.round(sim.string_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
-@query
-def embed_text_documents(s, d):
+def _embed_documents(s, d):
     docs = texts(s, d, "documents").select("doc_id", embed_text(F.col("text")).alias("v"))
     return _sparse(docs, ["doc_id"])
 
@@ -807,7 +802,7 @@ def embed_text_symbols(s, d):
     return _sparse(vectors, ["repo_id", "id"])
 
 
-QUERIES["embed_text"] = QUERIES.pop("embed_text_documents")
+QUERIES["embed_text"] = lambda s, d: _wide(_embed_documents(s, d))
 
 
 @query

@@ -46,7 +46,10 @@ def delete_index(spark: SparkSession, root: str, repo_ids: list[str]) -> None:
 
 
 def rebuild_index(index: DataFrame, root: str) -> None:
-    """Delete and build in one step: a dynamic overwrite replaces exactly the affected partitions."""
+    """Delete and build in one step: a dynamic overwrite replaces exactly the affected partitions.
+
+    A repository that has no entry any more is not part of ``index``; drop it with :func:`delete_index`.
+    """
     save_index(index, root)
 
 
