@@ -8,6 +8,8 @@ joined first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,13 +139,12 @@ def import_locals(clause: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-def _statement(i: Column, line: Column, stop: str) -> Column:
-    """The line itself when it holds ``stop``, else it joined with the lines up to the first that does."""
+def _statement(i: Column, line: Column, stop: Callable[[Column], Column]) -> Column:
+    """The line itself when ``stop`` holds for it, else it joined with the lines up to the first where it does."""
     rest = F.slice(F.col("_lines"), i, F.size("_lines"))
-    end = F.array_position(F.transform(rest, lambda l: l.rlike(stop)), F.lit(True))
-    return F.when(line.rlike(stop) | (end == 0), line).otherwise(
-        F.array_join(F.slice(rest, F.lit(1), end.cast("int")), "\n")
-    )
+    end = F.array_position(F.transform(rest, stop), F.lit(True))
+    joined = F.array_join(F.slice(rest, F.lit(1), F.greatest(end, F.lit(1)).cast("int")), "\n")
+    return F.when(stop(line), line).otherwise(F.when(end > 0, joined).otherwise(line))
 
 
 def _row(line: Column, text: Column, above: Column, below: Column, owner: Column) -> Column:
@@ -192,8 +193,8 @@ def _declarations(include_methods: bool) -> Column:
     def row(i: Column) -> Column:
         line = at(i)
         statement = (
-            F.when(js & line.rlike(r"^import\b"), _statement(i, line, r"['\"]"))
-            .when(js & line.rlike(r"^(?:declare\s+)?(?:async\s+)?function\b"), _statement(i, line, r"\)"))
+            F.when(js & line.rlike(r"^import\b"), _statement(i, line, lambda l: l.contains("'") | l.contains('"')))
+            .when(js & line.rlike(r"^(?:declare\s+)?(?:async\s+)?function\b"), _statement(i, line, lambda l: l.contains(")")))
             .otherwise(line)
         )
         above = F.reverse(F.slice(F.col("_lines"), F.greatest(i - 9, F.lit(1)), F.least(i - 1, F.lit(9))))
