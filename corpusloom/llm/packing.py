@@ -1,6 +1,6 @@
 """Packing into sequences: bounded-space online best fit, a fixed number of open bins in a bitset keyed by free space.
 
-Pieces arrive in the order of a hash. A piece goes to the open bin with the least free space that it fits in; if none does, a
+Pieces arrive in groups by a hash, the longest of a group first. A piece goes to the open bin with the least free space that it fits in; if none does, a
 new bin opens, and if all bins are open the fullest closes first. Tasks pack ranges of hashes on their own. Bins that are
 still open when a task ends are given back, and their pieces are packed again by fewer tasks, until one task is left.
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import saved
 
 SIZE, END = 1024, 2
-OPEN_BINS = 1024
+#: Open bins of a task, and the pieces of a group.
+OPEN_BINS, GROUP = 4096, 4096
 #: Pieces that one task of the first round packs, about; the next rounds have this many times fewer tasks.
 TASK_PIECES, FEWER = 20_000, 8
 #: Fixed value: how a byte-level vocabulary splits a text before its merges.
@@ -124,8 +125,8 @@ class OpenBins:
 _SCHEMA = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, reopened boolean"
 
 
-def _round(rows: DataFrame, tasks: int, number: int, size: int, open_bins: int) -> DataFrame:
-    """Pack in ``tasks`` tasks. Besides the placed pieces, a row with ``reopened`` for each bin that is given back."""
+def _round(rows: DataFrame, count: int, tasks: int, number: int, size: int, open_bins: int) -> DataFrame:
+    """Pack ``count`` rows in ``tasks`` tasks. Besides the placed pieces, a row with ``reopened`` for each bin that is given back."""
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +145,17 @@ def _round(rows: DataFrame, tasks: int, number: int, size: int, open_bins: int)
 
     by = F.xxhash64("doc_id", "copy", "piece", F.lit(number))
     rows = rows.select(*names[:6])
-    dealt = rows.repartition(tasks, by).sortWithinPartitions(by, "doc_id", "copy", "piece")
+    group = F.pmod(F.shiftright(by, 16), F.lit(-(-count // (tasks * GROUP)) or 1))
+    dealt = rows.repartition(tasks, by).sortWithinPartitions(group, F.desc("length"), by, "doc_id", "copy", "piece")
     return saved(dealt.mapInArrow(pack, _SCHEMA), "packed")
 
 
 def packed(rows: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """``rows`` of ``pieces`` with sequence_id and offset. ``rows`` must be stored, since every round reads it again."""
-    tasks, number, out = -(-rows.count() // task_pieces) or 1, 0, None
+    count, number, out = rows.count(), 0, None
+    tasks = -(-count // task_pieces) or 1
     while True:
-        done = _round(rows, tasks, number, size, open_bins)
+        done = _round(rows, count, tasks, number, size, open_bins)
         back = saved(done.where("reopened").select("sequence_id"), "reopened")
         placed = done.where("not reopened").drop("reopened")
         final = placed.join(back, "sequence_id", "left_anti").select(*placed.columns)
@@ -160,7 +163,7 @@ def packed(rows: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, task_p
         if tasks == 1:
             return out
         rows = saved(placed.join(back, "sequence_id", "left_semi"), "again")
-        tasks, number = -(-tasks // FEWER), number + 1
+        count, tasks, number = rows.count(), -(-tasks // FEWER), number + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -5,8 +5,8 @@ digits and other letters become one character each, marks stay, and a two-word s
 Each is hashed to one of 2^BITS places; values are 1 + ln(count), scaled to length 1 for each kind. Labels, ids, language and
 source are no features.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of doc_id, in ``SHARDS`` groups whose
-models are averaged. All rows are scored with sparse dot products in one scan without a shuffle.
+The model is fitted in one task on at most ``SAMPLE`` labelled rows, those with the smallest hash of doc_id. All rows are scored
+with sparse dot products in one scan without a shuffle.
 
 Edge cases: an empty or null text has the features of no word and is scored by the bias. Labels without id or value, and ids
 with two different labels, are not learnt from. Without labels of both kinds every score is 0.5.
@@ -26,9 +26,9 @@ from corpusloom.llm import tokens
 from corpusloom.llm.common import saved
 
 BITS = 18
-#: Most labelled rows that the model is fitted on, and the groups they are trained in.
-SAMPLE, SHARDS = 16384, 4
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.02, 0.1, 3
+#: Most labelled rows that the model is fitted on.
+SAMPLE = 8192
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.02, 0.1, 5
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
@@ -73,14 +73,23 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def _train(rows: pd.DataFrame) -> pd.DataFrame:
-    """FTRL-Proximal over one shard; the last place is the bias."""
+    """FTRL-Proximal over (text, quality); the last place is the bias."""
     size = 1 << BITS
-    z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
     examples = []
-    for text, label in zip(rows["text"], rows["quality"]):
-        for _, _, _, place, value in features(pa.array([text], pa.string())):
-            place, at = np.unique(place, return_inverse=True)
-            examples.append((np.append(place, size).astype(np.int32), np.append(np.bincount(at, value, len(place)), 1.0).astype(np.float32), label))
+    labels = rows["quality"].to_numpy()
+    for first, count, row, place, value in features(pa.array(rows["text"], pa.string(), from_pandas=True)):
+        order = np.lexsort((place, row))
+        row, place, value = row[order], place[order], value[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+        at = np.flatnonzero(new)  # places that several kinds share are added up
+        value = np.add.reduceat(value, at) if len(at) else value
+        row, place = row[at], place[at]
+        edges = np.searchsorted(row, np.arange(count + 1))
+        for i in range(count):
+            own = slice(edges[i], edges[i + 1])
+            examples.append((np.append(place[own], size).astype(np.int32), np.append(value[own], 1.0).astype(np.float32), labels[first + i]))
     for _ in range(PASSES):
         for place, value, label in examples:
             zi, ni = z[place], n[place]
@@ -105,12 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if chosen.agg(F.count_distinct("quality")).first()[0] < 2:
         return weights
     # At most ``sample`` pairs of numbers, so the broadcast is bounded.
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(order, F.lit(SHARDS)))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.dropDuplicates(["doc_id", "text"]).withColumn("order", F.xxhash64("doc_id", F.lit(5)))
-    models = rows.groupBy("shard").applyInPandas(lambda p: _train(p.sort_values(["order", "text"])), "place long, weight double")
-    shards = chosen.select(F.pmod(order, F.lit(SHARDS))).distinct().count()
-    for place, total in models.groupBy("place").agg(F.sum("weight")).collect():  # 2^BITS numbers at most
-        weights[place] = total / shards
+    model = rows.groupBy().applyInPandas(lambda p: _train(p.sort_values(["order", "text"])), "place long, weight double")
+    for place, weight in model.collect():  # 2^BITS numbers at most
+        weights[place] = weight
     return weights
 
 

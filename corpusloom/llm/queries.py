@@ -161,12 +161,12 @@ FROM p
 _RULES = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> length(trim(x, {_SPACES})) > 0) AS lines
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*[^\x20\x09-\x0D][^\n]*') AS lines
   FROM documents),
-w AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS at, words FROM d WHERE len(words) >= 8),
-g AS (SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, array_to_string(words[at:at + 7], ' ')) > 1 AS again FROM w),
-r AS (SELECT doc_id, count(DISTINCT at + i) AS n_repeat_words FROM g, (SELECT unnest(range(0, 8)) AS i) WHERE again GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS start, words FROM d WHERE len(words) >= 8),
+g AS (SELECT doc_id, start, count(*) OVER (PARTITION BY doc_id, array_to_string(words[start:start + 7], ' ')) > 1 AS again FROM w),
+r AS (SELECT doc_id, count(DISTINCT start + i) AS n_repeat_words FROM g, (SELECT unnest(range(0, 8)) AS i) WHERE again GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
