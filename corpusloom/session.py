@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -31,7 +33,7 @@ def local_session(cores: str | int = 8, **extra: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 @cache
@@ -39,11 +41,48 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="corpusloom-")
 
 
+#: Folder for stored tables of each running application. Its application id changes with every restart.
+_FOLDERS: dict[str, str] = {}
+
+
+def _application_folder(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir``; the driver's JVM drops it when it ends."""
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = _local_root()
+        folder = f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[context.applicationId] = folder
+    return _FOLDERS[context.applicationId]
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local run without that setting gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a stored table. A single-JVM run without ``spark.checkpoint.dir`` gets a temporary one."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for an application, so that workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
