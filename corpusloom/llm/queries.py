@@ -10,10 +10,10 @@ from corpusloom.llm.common import prepared, saved, table
 
 
 def tokenizer_path() -> str:
-    """The vocabulary that op5's contract names; every executor has it installed."""
+    """The ranks of the vocabulary that op5's contract names; every executor has them installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
