@@ -92,8 +92,11 @@ def dependencies(ranked_files: DataFrame, edges: DataFrame, parity: bool = False
         pairs = F.flatten(
             F.transform(
                 "e",
-                lambda a: F.transform(
-                    "e", lambda b: F.struct(b["dst"].alias("dst"), a["symbol"].alias("symbol"), (a["ord"] * 1000 + b["ord"]).alias("ord"))
+                lambda a, i: F.transform(
+                    "e",
+                    lambda b, j: F.struct(
+                        b["dst"].alias("dst"), a["symbol"].alias("symbol"), (i * F.size("e") + j).cast("long").alias("ord")
+                    ),
                 ),
             )
         )

@@ -496,7 +496,7 @@ def improvements_to_files(s, d):
 @query
 def attach_fixes(s, d):
     files = _files(s, d)
-    found = typos.typo_dedup(typos.typo_candidates(files))
+    found = typos.typo_dedup(typos.typo_candidates(files, importers=2))
     semantic = typos.apply_typo_fixes(files, found).filter("fixed")
     both = graph.attach_fixes(files, semantic, repair.smart_repair(_files(s, d, "broken")))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
@@ -560,7 +560,7 @@ def symbol_dedup(s, d):
 
 @query
 def typo_dedup(s, d):
-    found = typos.typo_dedup(typos.typo_candidates(_files(s, d)))
+    found = typos.typo_dedup(typos.typo_candidates(_files(s, d), importers=2))
     return found.select("repo_id", "path", "line", "original", "suggested", "confidence", "imported_in")
 
 
@@ -701,7 +701,7 @@ def adjacent_line(s, d):
 
 @query
 def sort_typos_desc(s, d):
-    found = typos.typo_dedup(typos.typo_candidates(_files(s, d)))
+    found = typos.typo_dedup(typos.typo_candidates(_files(s, d), importers=2))
     renames = typos.fixes_by_file(found)
     return renames.select("repo_id", "path", F.posexplode("typos").alias("n", "_t")).select(
         "repo_id", "path", "n", "_t.line", "_t.original", "_t.suggested"
@@ -950,7 +950,7 @@ def smart_repair(s, d):
 @query
 def apply_typo_fixes(s, d):
     files = _files(s, d)
-    found = typos.typo_dedup(typos.typo_candidates(files))
+    found = typos.typo_dedup(typos.typo_candidates(files, importers=2))
     out = typos.apply_typo_fixes(files, found)
     return out.select("file_id", "content", F.coalesce("fixed", F.lit(False)).alias("fixed"))
 

@@ -27,7 +27,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def semantic_fix(files: DataFrame, context: DataFrame | None = None, mode: str = "segment") -> tuple[DataFrame, DataFrame]:
     """Files with renamed exports, and the rename table they came from."""
-    found = stored(typos.typo_dedup(typos.typo_candidates(files, context, mode)), "typos")
+    found = stored(typos.typo_dedup(typos.typo_candidates(files, context, mode, importers=2)), "typos")
     return typos.apply_typo_fixes(files, found), found
 
 
