@@ -10,12 +10,14 @@ from corpusloom.functions import text as tx
 
 BRACKETS = [("brace", "{", "}"), ("bracket", "[", "]"), ("paren", "(", ")")]
 
-# Comments, strings and templates, so that the parse check does not count brackets inside them.
+# Comments, strings, templates and regex literals, so that the parse check does not count brackets inside them. A slash opens
+# a regex literal where a value is expected: after an operator, an opening bracket or ``return``. ``/>`` closes a tag.
 _NOT_CODE = (
     r"//[^\n]*|/\*[\s\S]*?\*/"
     r"|'(?:[^'\\\n]++|\\.)*+'"
     r'|"(?:[^"\\\n]++|\\.)*+"'
     r"|`(?:[^`\\]++|\\.)*+`"
+    r"|(?<=[(,=:\[!&|?{;]\s{0,4}|\breturn\s{1,4})/(?!>)(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
 )
 _MODULE_STATEMENT = r"(?m)^(?=(?:import|export)\b)"
 

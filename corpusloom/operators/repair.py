@@ -172,9 +172,9 @@ def _fix_list() -> Column:
 
 
 def smart_repair(files: DataFrame, parity: bool = False) -> DataFrame:
-    """Repair the files that do not parse and keep those where a rule applied."""
+    """Repair the files that do not parse and keep those where a rule applied and the result parses."""
     repaired = repair_files(files, ~lint.parses(F.col("content")), parity)
-    return repaired.filter(F.size("fixes") > 0)
+    return repaired.filter((F.size("fixes") > 0) & lint.parses(F.col("fixed_content")))
 
 
 def validate_fix(original: Column, repaired: Column) -> Column:

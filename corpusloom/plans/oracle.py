@@ -802,8 +802,8 @@ b AS (SELECT f.repo_id, f.file_id, f.path, f.ext, r.n_semi FROM files f JOIN rep
 SELECT repo_id, CAST(1 AS BIGINT) AS section, CAST(0 AS BIGINT) AS n, '## Code Analysis' || chr(10) || chr(10) ||
   CASE WHEN f = 0 THEN 'Tidy up' ELSE '{fixed.CLEAN_SUMMARY}' END || chr(10) || chr(10) || '**Priority:** ' ||
   CASE WHEN f = 0 THEN 'high' ELSE 'low' END AS text FROM latest
-UNION ALL SELECT repo_id, 2, 0, '## Syntax Fixes Applied' || chr(10) || chr(10) || 'Automatically fixed ' || count(*) ||
-  CASE WHEN count(*) > 1 THEN ' files' ELSE ' file' END || ' with syntax errors:' FROM b GROUP BY repo_id
+UNION ALL SELECT repo_id, 2, 0, '## Syntax Fixes Applied' || chr(10) || chr(10) || 'Repaired ' || count(*) ||
+  CASE WHEN count(*) > 1 THEN ' files' ELSE ' file' END || ' that did not parse:' FROM b GROUP BY repo_id
 UNION ALL SELECT repo_id, 3, row_number() OVER (PARTITION BY repo_id ORDER BY file_id),
   (row_number() OVER (PARTITION BY repo_id ORDER BY file_id)) || '. **' || path || '**' || chr(10)
   || '   - Fixed incomplete object literal after export declaration' || repeat(chr(10) || '   - missing-semicolon', n_semi)
@@ -813,6 +813,6 @@ UNION ALL SELECT repo_id, 3, row_number() OVER (PARTITION BY repo_id ORDER BY fi
 UNION ALL SELECT repo_id, 4, 0, '## Code Improvements' FROM latest
 UNION ALL SELECT repo_id, 5, row_number() OVER (PARTITION BY repo_id ORDER BY ord),
   (row_number() OVER (PARTITION BY repo_id ORDER BY ord)) || '. **' || file || '**' || chr(10) || '   - ' || description FROM changed
-UNION ALL SELECT repo_id, 6, 0, '## Review Checklist' || chr(10) || chr(10) || '- [ ] Code changes are correct' || chr(10)
-  || '- [ ] No breaking changes introduced' || chr(10) || '- [ ] Tests pass (if applicable)' || chr(10)
-  || '- [ ] Code follows project conventions' FROM latest"""
+UNION ALL SELECT repo_id, 6, 0, '## Review Checklist' || chr(10) || chr(10) || '- [ ] Each change does what its description says' || chr(10)
+  || '- [ ] Callers of the changed code still work' || chr(10) || '- [ ] The tests were run' || chr(10)
+  || '- [ ] Names and layout fit the rest of the project' FROM latest"""

@@ -97,3 +97,11 @@ def test_meaningful_change_rules(spark):
 def test_adjacent_lines(files):
     rows = lines.adjacent_lines(files({"a": "x\n  y \nz"}), ["path"], "content").collect()
     assert [(r.line_no, r.line, r.next_line) for r in rows] == [(1, "x", "y"), (2, "  y ", "z"), (3, "z", None)]
+
+
+def test_regex_literals_are_not_code(spark, files):
+    valid = ["const re = /[(]/;\n", "x.split(/['\"(]/g)\n", "return /\\(/\n", "f(a, /[/(]/)\n", "const e = <A b={c} />;\n", "y = (a) / b / (c)\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(valid)], "i int, t string").select("i", lint.parses(F.col("t")).alias("ok"))
+    assert [r.ok for r in rows.orderBy("i").collect()] == [True] * len(valid)
+    assert not one(spark, "a = f(/x/\n", lint.parses(F.col("t")))[0]
+    assert repair.smart_repair(files({"a.js": valid[0]})).count() == 0
