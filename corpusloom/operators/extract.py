@@ -37,11 +37,26 @@ SYMBOL_FIELDS = {
 }
 
 _WORD = r"[\w$]+"
+_STRING = r"""'(?:[^'\\\n]|\\.)*+'|"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`"""
+_DEPTH = 8
+
+
+def _nested(opening: str, closing: str, inside: str, depth: int = _DEPTH) -> str:
+    """Pattern of what may stand between brackets: anything else, strings, and brackets up to ``depth`` levels."""
+    text = rf"(?:{_STRING}|[^{opening}{closing}])*+"
+    for _ in range(depth):
+        text = rf"(?:{_STRING}|[^{opening}{closing}]|[{opening}]{text}[{closing}])*+"
+    return text if inside == "any" else rf"([{opening}]){text}([{closing}])"
+
+
+_IN_PARENS = _nested("(", ")", "any")
+_BRACKETED = _nested(r"(\[{", r")\]}", "pair")
+_GENERIC_ARGS = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>"
 _JS_DECL = r"^(?:import|export|function|async\s+function|class|abstract\s+class|var|let|const)\b"
 _TS_DECL = r"^(?:declare\s+)?(?:interface|type|class|function|abstract\s+class|var|let|const)\b"
 _PY_DECL = r"^(?:(?:from\s+\S+\s+)?import|def|class)\s"
 _GENERIC_DECL = r"function|def|class|interface|type|=>"
-_JS_FUNCTION = rf"(?s)^(?:declare\s+)?(async\s+)?function\s*\*?\s*({_WORD})\s*(?:<[^(]*>)?\s*\((.*?)\)"
+_JS_FUNCTION = rf"(?s)^(?:declare\s+)?(async\s+)?function\s*\*?\s*({_WORD})\s*(?:<[^(]*>)?\s*\(({_IN_PARENS})\)"
 _JS_CLASS = rf"^(?:declare\s+)?(?:abstract\s+)?class\s+({_WORD})(?:\s*<[^{{]*?>)?(?:\s+extends\s+([\w$.]+))?"
 _JS_VARIABLE = rf"^(?:declare\s+)?(var|let|const)\s+({_WORD})"
 _JS_EXPORT = (
@@ -51,7 +66,7 @@ _JS_EXPORT = (
 _JS_DEFAULT = r"^export\s+default\b"
 _JS_DEFAULT_DECL = rf"^export\s+default\s+(?:async\s+)?(?:function\s*\*?\s*|(?:abstract\s+)?class\s+)({_WORD})"
 _JS_DEFAULT_NAME = r"^export\s+default\s+([A-Za-z_$][\w$]*)\s*;?\s*(?://.*)?$"
-_JS_METHOD = rf"^\s+(static\s+)?(async\s+)?\*?(?:get\s+|set\s+)?(#?{_WORD})\s*\(([^)]*)\).*\{{\s*(?://.*)?$"
+_JS_METHOD = rf"^\s+(static\s+)?(async\s+)?\*?(?:get\s+|set\s+)?(#?{_WORD})\s*\(({_IN_PARENS})\).*\{{\s*(?://.*)?$"
 _NOT_METHODS = ["if", "for", "while", "switch", "catch", "function", "return", "with"]
 _TS_INTERFACE = rf"^(?:declare\s+)?interface\s+({_WORD})"
 _TS_TYPE = rf"^(?:declare\s+)?type\s+({_WORD})\s*(?:<[^=]*>)?\s*="
@@ -63,11 +78,24 @@ def _ref(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _flat(text: Column) -> Column:
+    """The text with strings, the inside of brackets and type arguments gone, so that its commas are separators."""
+    flat = F.regexp_replace(text, _STRING, '""')
+    flat = F.regexp_replace(flat, _BRACKETED, "$1$2")
+    return F.regexp_replace(flat, _GENERIC_ARGS, "")
+
+
+def declared_names(statement: Column) -> Column:
+    """All names that a ``var``, ``let`` or ``const`` line declares, with or without values."""
+    flat = _flat(F.regexp_replace(statement, rf"^(?:declare\s+)?(?:var|let|const)\s+", ""))
+    flat = F.regexp_replace(flat, r"(?s);.*|//.*|[(\[{](?![)\]}]).*", "")  # also what an open bracket leaves to later lines
+    names = F.transform(F.split(flat, ",", -1), lambda p: F.regexp_extract(p, rf"^\s*({_WORD})\s*(?:[=:!?]|$)", 1))
+    return F.filter(names, lambda n: n != "")
+
+
 def param_names(params: Column) -> Column:
     """Parameter names of a JS or TS list: identifier, default and rest forms, ``param`` for patterns."""
-    flat = F.regexp_replace(params, r"\{[^{}]*\}", "{}")
-    flat = F.regexp_replace(flat, r"\[[^\[\]]*\]", "[]")
-    flat = F.regexp_replace(flat, r"<[^<>]*>", "")
+    flat = _flat(params)
     ident = lambda p: F.regexp_extract(p, rf"^({_WORD})", 1)
     name = lambda p: (
         F.when(p.rlike(r"^\.\.\.\s*[\{\[]"), F.lit("...param"))
@@ -147,6 +175,20 @@ def _statement(i: Column, line: Column, stop: Callable[[Column], Column]) -> Col
     return F.when(stop(line), line).otherwise(F.when(end > 0, joined).otherwise(line))
 
 
+def _call_statement(i: Column, line: Column) -> Column:
+    """The line itself when its parentheses close, else it joined with the lines up to the one that closes them."""
+    bare = lambda l: F.regexp_replace(l, _STRING, "")
+    count = lambda l: tx.count_of(bare(l), "(") - tx.count_of(bare(l), ")")
+    state = lambda depth, taken, done: F.struct(depth.cast("bigint").alias("depth"), taken.alias("taken"), done.alias("done"))
+    step = lambda acc, l: F.when(acc["done"], acc).otherwise(
+        state(acc["depth"] + count(l), acc["taken"] + 1, l.contains(")") & (acc["depth"] + count(l) <= 0))
+    )
+    rest = F.slice(F.col("_lines"), i, F.size("_lines"))
+    taken = F.aggregate(rest, state(F.lit(0), F.lit(0), F.lit(False)), step, lambda acc: F.when(acc["done"], acc["taken"]))
+    joined = F.array_join(F.slice(rest, F.lit(1), F.coalesce(taken, F.lit(1))), "\n")
+    return F.when(line.contains(")") & (count(line) <= 0), line).otherwise(joined)
+
+
 def _row(line: Column, text: Column, above: Column, below: Column, owner: Column) -> Column:
     return F.struct(
         line.alias("line"), text.alias("text"), above.alias("above"), below.alias("below"), owner.alias("owner")
@@ -194,7 +236,7 @@ def _declarations(include_methods: bool) -> Column:
         line = at(i)
         statement = (
             F.when(js & line.rlike(r"^import\b"), _statement(i, line, lambda l: l.contains("'") | l.contains('"')))
-            .when(js & line.rlike(r"^(?:declare\s+)?(?:async\s+)?function\b"), _statement(i, line, lambda l: l.contains(")")))
+            .when(js & line.rlike(r"^(?:declare\s+)?(?:async\s+)?function\b"), _call_statement(i, line))
             .otherwise(line)
         )
         above = F.reverse(F.slice(F.col("_lines"), F.greatest(i - 9, F.lit(1)), F.least(i - 1, F.lit(9))))
@@ -245,8 +287,6 @@ def _what() -> Column:
 def _js_names() -> Column:
     t, what = F.col("_d.text"), F.col("_what")
     clause = F.regexp_extract(t, r"(?s)^import\s+(.*?)\s*\bfrom\s*['\"]", 1)
-    several = rf"^(?:var|let|const)\s+{_WORD}(?:\s*,\s*{_WORD})+\s*;?\s*$"
-    listed = F.regexp_extract_all(F.regexp_replace(t, r"^\w+\s+", ""), F.lit(_WORD), F.lit(0))
     declared = _ref(t, _JS_DEFAULT_DECL)
     ident = _ref(t, _JS_DEFAULT_NAME)
     one = lambda c: F.array(c)
@@ -257,8 +297,7 @@ def _js_names() -> Column:
         .when(what == "class", one(F.regexp_extract(t, _JS_CLASS, 1)))
         .when(what == "interface", one(F.regexp_extract(t, _TS_INTERFACE, 1)))
         .when(what == "type", one(F.regexp_extract(t, _TS_TYPE, 1)))
-        .when((what == "variable") & t.rlike(several), listed)
-        .when(what == "variable", one(F.regexp_extract(t, _JS_VARIABLE, 2)))
+        .when(what == "variable", declared_names(t))
         .when(what == "export", one(F.regexp_extract(t, _JS_EXPORT, 1)))
         .when(
             what == "default",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import evaluated_once
 
 
 def explode_lines(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -32,44 +33,49 @@ def _diff_lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
 
 
-def _times(items: Column, item: Column) -> Column:
-    return F.size(F.filter(items, lambda x: x == item))
+def _numbered(name: str) -> Column:
+    """The sorted lines in column ``name``, each with its number among equal lines in front: a multiset becomes a set.
+
+    Run starts are in column ``{name}_at``, so that each run is found once and the whole stays linear in the lines.
+    """
+    lines, at = F.col(name), F.col(f"{name}_at")
+    run = lambda s, j: F.transform(
+        F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(lines)) - s - 1),
+        lambda k: F.concat(k.cast("string"), F.lit(":"), F.get(lines, s)),
+    )
+    return F.flatten(F.transform(at, run))
+
+
+def _run_starts(name: str) -> Column:
+    lines = F.col(name)
+    places = F.transform(lines, lambda x, i: F.when((i == 0) | (x != F.get(lines, i - 1)), i))
+    return F.filter(places, lambda i: i.isNotNull())
 
 
 def with_line_delta(pairs: DataFrame, old: str, new: str) -> DataFrame:
     """Add ``added``, ``removed``, ``total`` and ``real_added`` for two versions of a text.
 
     Lines are compared as multisets, which equals a minimal line diff unless lines move.  Both versions sit in one row,
-    so everything stays local: a hash intersection for distinct lines, and counting only among the repeats, which
-    sorting brings together.  ``real_added`` tells if an added line is neither blank nor a ``//`` comment.
+    so everything stays local: equal lines are numbered, and set operations by hash do the rest in linear time.
+    ``real_added`` tells if an added line is neither blank nor a ``//`` comment.
     """
-    repeats = lambda name: F.filter(F.col(name), lambda x, i: (i > 0) & (x == F.get(F.col(name), i - 1)))
-    shared_repeats = F.aggregate(
-        F.array_intersect("_old_rep", "_new_rep"),
-        F.lit(0),
-        lambda acc, x: acc + F.least(_times(F.col("_old_rep"), x), _times(F.col("_new_rep"), x)),
-    )
-    more_often = F.filter(
-        F.array_intersect(F.array_distinct("_new_rep"), F.col("_old")),
-        lambda x: _times(F.col("_new_rep"), x) > _times(F.col("_old_rep"), x),
-    )
     is_real = lambda l: (tx.trim_all(l) != "") & ~tx.trim_all(l).startswith("//")
-    common = F.size(F.array_intersect("_old", "_new")) + F.col("_shared_rep")
-    return (
-        pairs.withColumn("_old", F.array_sort(_diff_lines(F.col(old))))
-        .withColumn("_new", F.array_sort(_diff_lines(F.col(new))))
-        .withColumn("_old_rep", repeats("_old"))
-        .withColumn("_new_rep", repeats("_new"))
-        .withColumn("_shared_rep", shared_repeats)
-        .withColumn("added", (F.size("_new") - common).cast("bigint"))
-        .withColumn("removed", (F.size("_old") - common).cast("bigint"))
-        .withColumn("total", (F.size("_new") + F.size("_old") - common).cast("bigint"))
-        .withColumn(
-            "real_added",
-            F.exists(F.array_except("_new", "_old"), is_real) | F.exists(more_often, is_real),
-        )
-        .drop("_old", "_new", "_old_rep", "_new_rep", "_shared_rep")
+    keep = pairs.columns
+    both = ("_old", "_new")
+    rows = evaluated_once(
+        pairs, {"_old": F.array_sort(_diff_lines(F.col(old))), "_new": F.array_sort(_diff_lines(F.col(new)))}, keep
     )
+    rows = evaluated_once(rows, {f"{c}_at": _run_starts(c) for c in both}, [*keep, *both])
+    rows = evaluated_once(rows, {c: _numbered(c) for c in both}, keep)
+    common = F.size(F.array_intersect("_old", "_new"))
+    plain = lambda l: F.regexp_replace(l, r"^\d+:", "")
+    delta = {
+        "added": (F.size("_new") - common).cast("bigint"),
+        "removed": (F.size("_old") - common).cast("bigint"),
+        "total": (F.size("_new") + F.size("_old") - common).cast("bigint"),
+        "real_added": F.exists(F.array_except("_new", "_old"), lambda l: is_real(plain(l))),
+    }
+    return evaluated_once(rows, delta, keep)
 
 
 def with_meaningful(pairs: DataFrame, old: str, new: str) -> DataFrame:

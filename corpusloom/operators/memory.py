@@ -10,9 +10,16 @@ from corpusloom.operators.ranking import top_n
 
 
 def append(
-    history: DataFrame, entries: DataFrame, key: str = "repo_id", order: str = "ord", keep: int = fixed.MEMORY_ENTRIES
+    history: DataFrame,
+    entries: DataFrame,
+    key: str = "repo_id",
+    order: str = "ord",
+    keep: int = fixed.MEMORY_ENTRIES,
+    ts: str = "ts",
 ) -> DataFrame:
-    """Add entries and keep the newest ``keep`` per key."""
+    """Add entries and keep the newest ``keep`` per key; entries whose time ``ts`` is null get the current one."""
+    if ts in entries.columns:
+        entries = with_timestamp(entries, ts, F.current_timestamp().cast(entries.schema[ts].dataType))
     return newest(history.unionByName(entries, allowMissingColumns=True), key, order, keep).drop("rank")
 
 

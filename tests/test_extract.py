@@ -136,3 +136,28 @@ def test_languages_by_extension(spark):
     rows = spark.createDataFrame([("a.mjs",), ("a.cs",), ("x/.js",), ("a.b.TSX",), ("none",)], "p string")
     got = [r[0] for r in rows.select(tx.language(tx.extension(F.col("p")))).collect()]
     assert got == ["javascript", "unknown", "unknown", "typescript", "unknown"]
+
+
+def test_js_nested_parameters_and_declarators(files):
+    text = (
+        "function f(a = g(1), b = 2) {}\n"
+        "function g(\n  a = h(1, (2)),\n  { x: { y }, z },\n  b = 'p, q)'\n) {}\n"
+        "let a1 = 1, b1 = f(2, 3), c1;\nconst m: Map<string, Array<number>> = x, n = [1, 2];\n"
+        "const open = call(x, y,\n  z)\nconst u = 'a, b'; f(v, w)\nvar r = /a,b/\n"
+        "class K {\n  m(a = g(1), b) {\n  }\n}\n"
+    )
+    got = [(r.type, r.name, r.params) for r in symbols(files, {"a.ts": text})]
+    assert got == [
+        ("function", "f", ["a", "b"]),
+        ("function", "g", ["a", "param", "b"]),
+        ("variable", "a1", None),
+        ("variable", "b1", None),
+        ("variable", "c1", None),
+        ("variable", "m", None),
+        ("variable", "n", None),
+        ("variable", "open", None),
+        ("variable", "u", None),
+        ("variable", "r", None),
+        ("class", "K", None),
+        ("method", "K.m", ["a", "b"]),
+    ]

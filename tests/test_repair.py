@@ -105,3 +105,10 @@ def test_regex_literals_are_not_code(spark, files):
     assert [r.ok for r in rows.orderBy("i").collect()] == [True] * len(valid)
     assert not one(spark, "a = f(/x/\n", lint.parses(F.col("t")))[0]
     assert repair.smart_repair(files({"a.js": valid[0]})).count() == 0
+
+
+def test_line_delta_of_many_repeated_lines(spark):
+    old, new = "a\nb\n" * 50_000, "a\n" * 40_000 + "c\n" * 60_000
+    r = lines.with_line_delta(spark.createDataFrame([(old, new), ("", "")], "o string, n string"), "o", "n").collect()
+    assert (r[0].added, r[0].removed, r[0].total, r[0].real_added) == (60_000, 60_000, 160_000, True)
+    assert (r[1].added, r[1].removed, r[1].total, r[1].real_added) == (0, 0, 0, False)
