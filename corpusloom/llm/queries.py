@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import credentials, exact, html, lines, minhash, mixing, packing, quality, rules, urls
+from corpusloom.llm import credentials, exact, html, lattice, lines, minhash, mixing, packing, periodic, quality, rules, trie, urls
 from corpusloom.llm.common import prepared, saved, table
 
 
@@ -64,6 +64,18 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_runs(periodic.rewritten(table(spark, sf_dir, "documents"))))
+
+
 _OPERATORS = {
     "op1_minhash_near_dedup": near_duplicates,
     "op2_line_dedup": line_dedup,
@@ -75,6 +87,9 @@ _OPERATORS = {
     "op8_secret_scans": secret_scans,
     "op9_html_extraction": html_text,
     "op10_source_mixing": source_mix,
+    "op11_conversation_trie": conversation_trie,
+    "op12_embedding_near_dedup": embedding_near_duplicates,
+    "op13_periodic_runs": periodic_runs,
 }
 
 QUERIES = {name: (lambda spark, sf_dir, q=q: q(prepared(spark), sf_dir)) for name, q in _OPERATORS.items()}
@@ -186,4 +201,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN hm ON f.source IS NOT DISTINCT FROM hm.source
 """
 
-ORACLES = {"op2_line_dedup": _LINES, "op3_exact_dedup": _EXACT, "op6_url_filters": _URLS, "op7_quality_rules": _RULES}
+#: CRC-32 of the decimal form of conv_id; every byte is one step of the outer fold, every bit one of the inner.
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda s, b: list_reduce([xor(s, b)] || range(8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS turns
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+o AS (SELECT conv_id, turns, {_CRC} % {trie.HEAD} AS h FROM t),
+c AS (
+  SELECT o.conv_id, CASE WHEN b.conv_id IS NULL THEN [] ELSE b.turns[1:h] END || o.turns[h + 1:] AS turns
+  FROM o LEFT JOIN t b ON b.conv_id = o.conv_id - o.conv_id % {trie.FAMILY}),
+p AS (SELECT conv_id, len(turns) AS size, d, turns[1:d] AS prefix FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)),
+n AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(prefix[d].x) END AS own,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM p GROUP BY prefix, d),
+k AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+s AS (
+  SELECT prefix[1:j] AS prefix, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS j FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (prefix) LEFT JOIN n u ON m.d > 0 AND u.prefix = m.prefix[1:m.d - 1]
+"""
+
+_LATTICE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, row_number() OVER () AS rid,
+         coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+                  AND len(list_filter(embedding, lambda e: e <> 0)) > 0, false) AS fine
+  FROM embeddings),
+f AS (SELECT rid, label, len(x) AS size, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda y: y * y)))) AS u FROM v WHERE fine),
+l AS (SELECT a.rid AS a, b.rid AS b FROM f a JOIN f b ON a.label = b.label AND a.size = b.size AND a.rid <> b.rid AND list_inner_product(a.u, b.u) >= {lattice.LEAST_COSINE}),
+r AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a AS rid, min(vec_id) AS component_id FROM r JOIN v ON r.b = v.rid GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.rid) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN g USING (rid)
+"""
+
+ORACLES = {
+    "op2_line_dedup": _LINES,
+    "op3_exact_dedup": _EXACT,
+    "op6_url_filters": _URLS,
+    "op7_quality_rules": _RULES,
+    "op11_conversation_trie": _TRIE,
+    "op12_embedding_near_dedup": _LATTICE,
+}
