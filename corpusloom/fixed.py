@@ -60,6 +60,8 @@ TRAILING_COMMA = r",(\s*[}\]])"
 LOW_SIMILARITY = 0.5
 HIGH_SIMILARITY = 0.7
 SHORT_NAME = 5
+HIGH_REASON = 'Export name "%s" doesn\'t match import "%s" which is closer to file name "%s"'
+MEDIUM_REASON = 'Export name "%s" appears to be a typo. File name is "%s" and imported as "%s"'
 
 # --- fixed values: search, context and budgets -----------------------------------
 VECTOR_DIM = 384

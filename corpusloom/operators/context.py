@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as tx
+from corpusloom.operators.containing import containing
 from corpusloom.operators.ranking import top_n
 from corpusloom.operators.search import hits_by_file, rank_files
+from corpusloom.session import stored
 
 KEYS = ["query_id", "repo_id"]
 _HIT = "array<struct<rank:int,name:string,type:string,line:int,similarity:double,documentation:string,signature:string>>"
@@ -62,21 +64,28 @@ def snippets(text: Column, hits: Column) -> Column:
 
 
 def file_context(grouped: DataFrame, meta: DataFrame, files: DataFrame, full: bool = False) -> DataFrame:
-    """Language, import and export names and snippets (or the whole text) for each grouped file."""
+    """Language, import and export names and snippets (or the whole text) for each grouped file.
+
+    The grouped files are written once, so that Spark knows their size.  They go to the bodies, not the bodies to them: the
+    snippets are cut where a body is read, and only these move on.  Where the list is too long to be sent to all tasks, the
+    join shuffles and filters the bodies by the keys of the list first.
+    """
+    grouped = stored(grouped, "grouped_files")
     names = lambda c: F.transform(F.col(c), lambda x: x["name"])
     known = meta.select("repo_id", "path", "language", names("imports").alias("imports"), names("exports").alias("exports"))
-    bodies = files.select("repo_id", "path", "content")
+    wanted = grouped.select(*KEYS, "path", F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["line"].alias("line"))).alias("_at"))
+    text = F.col("content")
+    read = F.lit(None).cast("string") if not full else text
+    cut = files.select("repo_id", "path", "content").join(wanted, ["repo_id", "path"]).select(
+        *KEYS, "path", F.when(text.isNotNull() & F.lit(not full), snippets(text, F.col("_at"))).alias("snippets"), read.alias("full_content")
+    )
     none = F.expr("cast(array() as array<string>)")
-    no_text = F.lit(None).cast("string")
     return (
         grouped.join(known, ["repo_id", "path"], "left")
-        .join(bodies, ["repo_id", "path"], "left")
+        .join(cut, [*KEYS, "path"], "left")
         .withColumn("language", F.coalesce("language", F.lit("unknown")))
         .withColumn("imports", F.coalesce("imports", none))
         .withColumn("exports", F.coalesce("exports", none))
-        .withColumn("snippets", F.when(F.col("content").isNotNull() & F.lit(not full), snippets(F.col("content"), F.col("symbols"))))
-        .withColumn("full_content", F.col("content") if full else no_text)
-        .drop("content")
     )
 
 
@@ -107,19 +116,16 @@ def dependencies(ranked_files: DataFrame, edges: DataFrame, parity: bool = False
 def call_graph(symbols: DataFrame, edges: DataFrame, n: int = fixed.REFERENCES_PER_SYMBOL) -> DataFrame:
     """First edges per function or method hit whose source or target contains its name.
 
-    ``symbols(query_id, repo_id, symbol_ord, name, type)``.  The names of a repository form one short list (search depth
-    times queries).  Each edge meets that list once through an equality join on the repository, and only matches leave
-    the row, so there is no join of all names with all edges.
+    ``symbols(query_id, repo_id, symbol_ord, name, type)``.  Distinct names meet distinct edge ends through an index of short
+    pieces; the edges of the matching ends follow by equality, and the first ones per hit are kept by a group limit that
+    also runs before the shuffle.
     """
-    wanted = (
-        symbols.filter(F.col("type").isin("function", "method"))
-        .groupBy("repo_id")
-        .agg(F.collect_list(F.struct("query_id", "symbol_ord", "name")).alias("_names"))
-    )
-    matching = F.filter("_names", lambda s: F.contains(F.col("dst"), s["name"]) | F.contains(F.col("src"), s["name"]))
-    found = edges.join(wanted, "repo_id").select(
-        "repo_id", "src", "dst", "src_file", "ord", F.inline(matching)
-    )
+    wanted = symbols.filter(F.col("type").isin("function", "method")).select(*KEYS, "symbol_ord", "name")
+    ends = F.explode(F.array_distinct(F.array("src", "dst"))).alias("text")
+    by_end = edges.select("repo_id", "src", "dst", "src_file", "ord", ends)
+    matches = stored(containing(wanted.select("repo_id", "name").distinct(), by_end.select("repo_id", "text").distinct()), "references")
+    referring = by_end.join(matches, ["repo_id", "text"]).drop("text").distinct()
+    found = referring.join(wanted, ["repo_id", "name"]).select("repo_id", "src", "dst", "src_file", "ord", "query_id", "symbol_ord", "name")
     return top_n(found, [*KEYS, "symbol_ord"], [F.col("src_file"), F.col("ord")], n, "ref_rank")
 
 
@@ -137,7 +143,7 @@ def retrieve_context(
     ``hits`` is read several times; hand in a stored table.  ``files``: path, language, symbols, imports, exports, snippets, full_content in rank order; ``symbols``: hits of the
     kept files; ``dependencies``, ``calls`` and ``summary``.
     """
-    ranked = file_hits(hits, max_files)
+    ranked = stored(file_hits(hits, max_files), "ranked")
     detailed = file_context(ranked, meta, files, full)
     block = F.struct(
         "file_rank", "path", "language", "symbols", "imports", "exports", "snippets", "full_content"
@@ -298,4 +304,4 @@ def compact_context(contexts: DataFrame, max_tokens: int = 10000) -> DataFrame:
 
 def related_symbols(hits: DataFrame, targets: DataFrame) -> DataFrame:
     """Similar entries of other files; hits in the target's own file are dropped after the cut."""
-    return hits.join(targets.select("query_id", "target"), "query_id").filter(F.col("file") != F.col("target"))
+    return hits.join(targets.select("query_id", "target", "entry_rank"), "query_id").filter(F.col("file") != F.col("target"))

@@ -1,22 +1,21 @@
 """Symbols of source files.
 
-One pass: a file's lines stay an array, a filter keeps the positions of declaration lines, and only those are exploded
-together with the few lines above or below that their documentation may use.  Nothing here shuffles.  JS and TS are read
-by patterns at column 0, because only top-level declarations count; a statement that goes on over several lines is
-joined first.
+One pass: a file's lines stay an array, and only declarations are exploded, together with the few lines above or below that
+their documentation may use.  Nothing here shuffles.  JS and TS declarations come as heads from the scan that also tells
+whether a text parses (``functions/js.py``), because only top-level declarations and members of classes count, on however
+many lines; in other languages a filter keeps the lines that look like declarations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
+from corpusloom.functions import js
 from corpusloom.functions import text as tx
 from corpusloom.functions.once import built_once, evaluated_once
-from corpusloom.operators import lint, repair
+from corpusloom.operators import repair
 
 SYMBOL_FIELDS = {
     "name": "string",
@@ -38,11 +37,12 @@ SYMBOL_FIELDS = {
 
 _WORD = r"[\w$]+"
 _STRING = r"""'(?:[^'\\\n]|\\.)*+'|"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`"""
-_DEPTH = 8
+_DEPTH = 2
 
 
 def _nested(opening: str, closing: str, inside: str, depth: int = _DEPTH) -> str:
-    """Pattern of what may stand between brackets: anything else, strings, and brackets up to ``depth`` levels."""
+    """Pattern of what may stand between brackets: anything else, strings, and brackets up to ``depth`` levels.  Heads have a
+    list and, emptied, the brackets inside of it."""
     text = rf"(?:{_STRING}|[^{opening}{closing}])*+"
     for _ in range(depth):
         text = rf"(?:{_STRING}|[^{opening}{closing}]|[{opening}]{text}[{closing}])*+"
@@ -52,13 +52,11 @@ def _nested(opening: str, closing: str, inside: str, depth: int = _DEPTH) -> str
 _IN_PARENS = _nested("(", ")", "any")
 _BRACKETED = _nested(r"(\[{", r")\]}", "pair")
 _GENERIC_ARGS = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>"
-_JS_DECL = r"^(?:import|export|function|async\s+function|class|abstract\s+class|var|let|const)\b"
-_TS_DECL = r"^(?:declare\s+)?(?:interface|type|class|function|abstract\s+class|var|let|const)\b"
 _PY_DECL = r"^(?:(?:from\s+\S+\s+)?import|def|class)\s"
 _GENERIC_DECL = r"function|def|class|interface|type|=>"
 _JS_FUNCTION = rf"(?s)^(?:declare\s+)?(async\s+)?function\s*\*?\s*({_WORD})\s*(?:<[^(]*>)?\s*\(({_IN_PARENS})\)"
 _JS_CLASS = rf"^(?:declare\s+)?(?:abstract\s+)?class\s+({_WORD})(?:\s*<[^{{]*?>)?(?:\s+extends\s+([\w$.]+))?"
-_JS_VARIABLE = rf"^(?:declare\s+)?(var|let|const)\s+({_WORD})"
+_JS_VARIABLE = r"^(?:declare\s+)?(var|let|const)\b"
 _JS_EXPORT = (
     r"^export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
     rf"(?:const\s+enum\s+|(?:const|let|var|class|interface|type|enum|namespace)\s+|function\s*\*?\s*)({_WORD})"
@@ -66,11 +64,13 @@ _JS_EXPORT = (
 _JS_DEFAULT = r"^export\s+default\b"
 _JS_DEFAULT_DECL = rf"^export\s+default\s+(?:async\s+)?(?:function\s*\*?\s*|(?:abstract\s+)?class\s+)({_WORD})"
 _JS_DEFAULT_NAME = r"^export\s+default\s+([A-Za-z_$][\w$]*)\s*;?\s*(?://.*)?$"
-_JS_METHOD = rf"^\s+(static\s+)?(async\s+)?\*?(?:get\s+|set\s+)?(#?{_WORD})\s*\(({_IN_PARENS})\).*\{{\s*(?://.*)?$"
+_MODIFIERS = r"(?:(?:public|private|protected|override|readonly|abstract)\s+)*"
+_JS_METHOD = rf"^{_MODIFIERS}(static\s+)?{_MODIFIERS}(async\s+)?\*?\s*(?:get\s+|set\s+)?(#?{_WORD})\s*\(({_IN_PARENS})\).*\{{$"
 _NOT_METHODS = ["if", "for", "while", "switch", "catch", "function", "return", "with"]
 _TS_INTERFACE = rf"^(?:declare\s+)?interface\s+({_WORD})"
 _TS_TYPE = rf"^(?:declare\s+)?type\s+({_WORD})\s*(?:<[^=]*>)?\s*="
 _LINE_STEP = 1_000_000
+_HEAD_STEP = 1_000
 
 
 def _ref(text: Column, pattern: str, group: int = 1) -> Column:
@@ -167,31 +167,9 @@ def import_locals(clause: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-def _statement(i: Column, line: Column, stop: Callable[[Column], Column]) -> Column:
-    """The line itself when ``stop`` holds for it, else it joined with the lines up to the first where it does."""
-    rest = F.slice(F.col("_lines"), i, F.size("_lines"))
-    end = F.array_position(F.transform(rest, stop), F.lit(True))
-    joined = F.array_join(F.slice(rest, F.lit(1), F.greatest(end, F.lit(1)).cast("int")), "\n")
-    return F.when(stop(line), line).otherwise(F.when(end > 0, joined).otherwise(line))
-
-
-def _call_statement(i: Column, line: Column) -> Column:
-    """The line itself when its parentheses close, else it joined with the lines up to the one that closes them."""
-    bare = lambda l: F.regexp_replace(l, _STRING, "")
-    count = lambda l: tx.count_of(bare(l), "(") - tx.count_of(bare(l), ")")
-    state = lambda depth, taken, done: F.struct(depth.cast("bigint").alias("depth"), taken.alias("taken"), done.alias("done"))
-    step = lambda acc, l: F.when(acc["done"], acc).otherwise(
-        state(acc["depth"] + count(l), acc["taken"] + 1, l.contains(")") & (acc["depth"] + count(l) <= 0))
-    )
-    rest = F.slice(F.col("_lines"), i, F.size("_lines"))
-    taken = F.aggregate(rest, state(F.lit(0), F.lit(0), F.lit(False)), step, lambda acc: F.when(acc["done"], acc["taken"]))
-    joined = F.array_join(F.slice(rest, F.lit(1), F.coalesce(taken, F.lit(1))), "\n")
-    return F.when(line.contains(")") & (count(line) <= 0), line).otherwise(joined)
-
-
-def _row(line: Column, text: Column, above: Column, below: Column, owner: Column) -> Column:
+def _row(line: Column, text: Column, above: Column, below: Column, owner: Column, nth: Column) -> Column:
     return F.struct(
-        line.alias("line"), text.alias("text"), above.alias("above"), below.alias("below"), owner.alias("owner")
+        line.alias("line"), text.alias("text"), above.alias("above"), below.alias("below"), owner.alias("owner"), nth.alias("nth")
     )
 
 
@@ -199,61 +177,20 @@ _NO_LINES = "cast(null as array<string>)"
 _NO_NAME = "cast(null as string)"
 
 
-def _method_rows(start: Column, class_line: Column, after: Column) -> Column:
-    """Rows for the members of a class body, which ends at the first closing brace at column 0."""
-    end = F.array_position(F.transform(after, lambda l: l.startswith("}")), F.lit(True))
-    body = F.when(end > 0, F.slice(after, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(after)
-    indent = F.regexp_extract(F.get(F.filter(body, lambda l: l.rlike(r"\S")), F.lit(0)), r"^\s+", 0)
-    owner = F.regexp_extract(class_line, _JS_CLASS, 1)
-    member = lambda l, k: F.when(
-        l.rlike(_JS_METHOD)
-        & (F.regexp_extract(l, r"^\s+", 0) == indent)
-        & ~F.regexp_extract(l, _JS_METHOD, 3).isin(_NOT_METHODS),
-        _row(
-            start + k + 1,
-            l,
-            F.reverse(F.slice(after, F.greatest(k - 8, F.lit(1)), F.least(k, F.lit(9)))),
-            F.expr(_NO_LINES),
-            owner,
-        ),
-    )
-    return F.filter(F.transform(body, member), lambda m: m.isNotNull())
-
-
 @built_once
 def _declarations(include_methods: bool) -> Column:
-    """``array<struct<line, text, above, below, owner>>`` of the declaration lines in ``_lines``."""
-    js, py = F.col("extractor") == "js", F.col("extractor") == "python"
-    at = lambda i: F.get(F.col("_lines"), i - 1)
-    is_decl = lambda l: (
-        F.when(js, l.rlike(_JS_DECL) | (F.col("_ts") & l.rlike(_TS_DECL)))
-        .when(py, l.rlike(_PY_DECL))
-        .otherwise(l.rlike(_GENERIC_DECL))
-    )
-    no_lines = F.expr(_NO_LINES)
-
-    def row(i: Column) -> Column:
-        line = at(i)
-        statement = (
-            F.when(js & line.rlike(r"^import\b"), _statement(i, line, lambda l: l.contains("'") | l.contains('"')))
-            .when(js & line.rlike(r"^(?:declare\s+)?(?:async\s+)?function\b"), _call_statement(i, line))
-            .otherwise(line)
-        )
-        above = F.reverse(F.slice(F.col("_lines"), F.greatest(i - 9, F.lit(1)), F.least(i - 1, F.lit(9))))
-        below = F.slice(F.col("_lines"), i + 1, F.lit(19))
-        own = F.array(
-            _row(
-                i, statement, F.when(js, above).otherwise(no_lines), F.when(py, below).otherwise(no_lines),
-                F.expr(_NO_NAME),
-            )
-        )
-        if not include_methods:
-            return own
-        after = F.slice(F.col("_lines"), i + 1, F.size("_lines"))
-        return F.when(js & line.rlike(_JS_CLASS), F.concat(own, _method_rows(i, line, after))).otherwise(own)
+    """``array<struct<line, text, above, below, owner, nth>>`` of the heads of JS and TS files, or of declaration lines."""
+    py, no_lines, no_name = F.col("extractor") == "python", F.expr(_NO_LINES), F.expr(_NO_NAME)
+    above = lambda i: F.reverse(F.slice(F.col("_lines"), F.greatest(i - 9, F.lit(1)), F.least(i - 1, F.lit(9))))
+    wanted = F.filter("_heads", lambda h: F.lit(include_methods) | h["owner"].isNull())
+    heads = F.transform(wanted, lambda h: _row(h["line"], h["text"], above(h["line"]), no_lines, h["owner"], h["nth"]))
 
+    at = lambda i: F.get(F.col("_lines"), i - 1)
+    is_decl = lambda l: F.when(py, l.rlike(_PY_DECL)).otherwise(l.rlike(_GENERIC_DECL))
+    below = lambda i: F.when(py, F.slice(F.col("_lines"), i + 1, F.lit(19)))
     positions = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: is_decl(at(i)))
-    return F.flatten(F.transform(positions, row))
+    lines = F.transform(positions, lambda i: _row(i, at(i), no_lines, below(i), no_name, F.lit(0)))
+    return F.when(F.col("extractor") == "js", heads).otherwise(lines)
 
 
 def _first_match(text: Column, patterns: list[str]) -> Column:
@@ -265,7 +202,10 @@ def _what() -> Column:
     """The kind of a declaration row; the first rule that fits wins."""
     t, ts, full = F.col("_d.text"), F.col("_ts"), ~F.col("_limited")
     js = (
-        F.when(F.col("_d.owner").isNotNull(), F.when(full, "method"))
+        F.when(
+            F.col("_d.owner").isNotNull(),
+            F.when(full & t.rlike(_JS_METHOD) & ~F.regexp_extract(t, _JS_METHOD, 3).isin(_NOT_METHODS), "method"),
+        )
         .when(t.rlike(r"^import\b"), "import")
         .when(t.rlike(_JS_FUNCTION), "function")
         .when(t.rlike(_JS_CLASS), "class")
@@ -378,7 +318,7 @@ def _symbol_rows(strip_close: bool) -> Column:
             **shared,
             "name": item["name"],
             "type": item["type"],
-            "ord": F.col("_d.line").cast("bigint") * _LINE_STEP + i,
+            "ord": F.col("_d.line").cast("bigint") * _LINE_STEP + F.col("_d.nth") * _HEAD_STEP + i,
             "signature": signed,
         }
         return F.struct(*[own[k].cast(t).alias(k) for k, t in SYMBOL_FIELDS.items()])
@@ -390,28 +330,29 @@ def route_files(files: DataFrame, parity: bool = False) -> DataFrame:
     """Choose an extractor per file and repair JS and TS files that do not parse.
 
     Adds ``extractor`` (``js``, ``python``, ``generic``), ``source`` (the text to read), ``repaired`` (read from the
-    repaired text), ``fixes`` and ``fixed_content``.  A JS or TS file that still does not parse after the repair is read
+    repaired text), ``fixes``, ``fixed_content`` and ``heads`` of JS and TS declarations.  A JS or TS file that still does not parse after the repair is read
     by the generic patterns from its original text, without a fix record.
     """
     ext = F.lower(tx.extension(F.col("path")))
     is_js = ext.isin(fixed.JS_EXTENSIONS + fixed.TS_EXTENSIONS)
-    checked = evaluated_once(files, {"_parses": F.when(is_js, lint.parses(F.col("content")))}, files.columns)
-    tried = repair.repair_files(checked, ~F.col("_parses"), parity)
-    repaired = F.coalesce(F.when(F.size("fixes") > 0, lint.parses(F.col("fixed_content"))), F.lit(False))
-    tried = evaluated_once(tried, {"repaired": repaired}, tried.columns)
-    done = F.col("repaired")
+    checked = files.withColumn("_scan", js.scan(F.when(is_js, F.col("content")), ext))
+    tried = repair.repair_files(checked, ~F.col("_scan.ok"), parity)
+    tried = tried.withColumn("_again", js.scan(F.when(F.size("fixes") > 0, F.col("fixed_content")), ext))
+    done = F.coalesce(F.col("_again.ok"), F.lit(False))
     extractor = (
-        F.when(is_js & (F.col("_parses") | done), F.lit("js"))
+        F.when(is_js & (F.col("_scan.ok") | done), F.lit("js"))
         .when(ext.isin(fixed.PY_EXTENSIONS), F.lit("python"))
         .otherwise(F.lit("generic"))
     )
     columns = {
+        "repaired": done,
         "extractor": extractor,
         "source": F.when(done, F.col("fixed_content")).otherwise(F.col("content")),
         "fixes": F.when(done, F.col("fixes")).otherwise(F.expr(repair.NO_FIXES)),
         "fixed_content": F.when(done, F.col("fixed_content")),
+        "heads": F.when(done, F.col("_again.heads")).otherwise(F.col("_scan.heads")),
     }
-    return evaluated_once(tried, columns, [*files.columns, "repaired"])
+    return evaluated_once(tried, columns, files.columns)
 
 
 def extract_symbols(
@@ -432,9 +373,10 @@ def extract_symbols(
             F.col("repaired").alias("_limited"),
             ext.isin(fixed.TS_EXTENSIONS).alias("_ts"),
             tx.split_lines(F.col("source")).alias("_lines"),
+            F.col("heads").alias("_heads"),
         )
         .withColumn("_d", F.explode(_declarations(include_methods)))
-        .drop("_lines")
+        .drop("_lines", "_heads")
     )
     return rows.withColumn("_what", _what()).select("repo_id", "file", "extractor", "language", F.inline(_symbol_rows(strip_close)))
 

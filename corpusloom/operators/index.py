@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom import fixed
 from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import embed_text
 from corpusloom.operators.ranking import top_n
+from corpusloom.sources import tables
 
 INDEX_SCHEMA = (
     "entry_kind int, file string, ord bigint, id string, symbol_name string, symbol_type string, line int, "
@@ -101,13 +103,17 @@ def build_embedding_index(
     return index_entries(symbols, meta).withColumn("embedding", embed(F.col("text")))
 
 
-def index_build_missing(existing: DataFrame, wanted: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Reuse what the index holds and build only the repositories it lacks.
+def index_build_missing(
+    spark: SparkSession, root: str, files: DataFrame, build: Callable[[DataFrame], DataFrame], schema: StructType
+) -> DataFrame:
+    """Reuse what the stored index holds, build and store only the repositories of ``files`` that it lacks, and read it back.
 
-    ``wanted`` has files or symbols of all repositories; ``build`` gets those of the missing ones.
+    ``build`` turns the files of the missing repositories into entries with vectors; it doesn't see the others.
     """
-    held = existing.select("repo_id").distinct()
-    return existing.unionByName(build(wanted.join(held, "repo_id", "left_anti")), allowMissingColumns=True)
+    held = tables.load_index(spark, root, schema).select("repo_id").distinct()
+    missing = files.join(held, "repo_id", "left_anti")
+    tables.save_index(build(missing).select(*schema.names), root)
+    return tables.load_index(spark, root, schema, files.select("repo_id"))
 
 
 def index_stats(index: DataFrame) -> DataFrame:

@@ -10,35 +10,11 @@ from corpusloom.functions import text as tx
 
 BRACKETS = [("brace", "{", "}"), ("bracket", "[", "]"), ("paren", "(", ")")]
 
-# Comments, strings, templates and regex literals, so that the parse check does not count brackets inside them. A slash opens
-# a regex literal where a value is expected: after an operator, an opening bracket or ``return``. ``/>`` closes a tag.
-_NOT_CODE = (
-    r"//[^\n]*|/\*[\s\S]*?\*/"
-    r"|'(?:[^'\\\n]++|\\.)*+'"
-    r'|"(?:[^"\\\n]++|\\.)*+"'
-    r"|`(?:[^`\\]++|\\.)*+`"
-    r"|(?<=[(,=:\[!&|?{;]\s{0,4}|\breturn\s{1,4})/(?!>)(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
-)
-_MODULE_STATEMENT = r"(?m)^(?=(?:import|export)\b)"
-
 
 def net_count(text: Column, opening: str, closing: str) -> Column:
     return tx.count_of(text, opening) - tx.count_of(text, closing)
 
 
-def parses(text: Column) -> Column:
-    """Whether a JS or TS text looks parseable.
-
-    Brackets outside of strings and comments must balance, and also before every import or export at column 0, because
-    those are only legal at the top level.  Balance at each of these points means balance within each piece between.
-    """
-    pieces = F.split(F.regexp_replace(text, _NOT_CODE, ""), _MODULE_STATEMENT, -1)
-    return F.forall(
-        pieces,
-        lambda p: (net_count(p, "{", "}") == 0) & (net_count(p, "[", "]") == 0) & (net_count(p, "(", ")") == 0),
-    )
-
-
 def bracket_issues(text: Column) -> Column:
     """``array<struct<ord, type, cnt, severity>>`` with the net surplus per bracket kind."""
     found = []

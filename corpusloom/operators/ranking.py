@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import stored
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key with their rank.
@@ -17,27 +19,24 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, value: str, out: str, span: int = 4096, limit: int | None = None
+    df: DataFrame, keys: list[str], order: str, value: str, out: str, limit: int | None = None
 ) -> DataFrame:
-    """Sum of ``value`` up to and including each row, ordered by a unique integer column.
+    """Sum of ``value`` up to and including each row, ordered by a unique column.
 
-    Two steps: totals per range of ``span`` order values give each range its starting sum, then a window adds up inside
-    the range.  No window ever holds more than one range of a key.  With ``limit`` the ranges that start above it are
-    dropped before the second step (valid for values that are not negative).
+    A distributed prefix sum: rows are dealt by ranges of key and order that hold about equally many rows, whatever the order
+    values, and written once.  Totals per key and range give each range its starting sum, then a window adds up inside the
+    range.  No window holds more rows than a range has, or a key has ranges.  With ``limit`` the ranges that start above it
+    are dropped before the second step (valid for values that are not negative).
     """
-    span_no = F.floor(F.col(order) / span).cast("bigint")
-    ranges = df.groupBy(*keys, span_no.alias("_span")).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(*keys, "_span", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], F.col(order)).withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, "ranges")
+    ranges = dealt.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     if limit is not None:
         starts = starts.filter(F.col("_start") <= limit)
-    inside = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.withColumn("_span", span_no)
-        .join(starts, [*keys, "_span"])
-        .withColumn(out, F.col("_start") + F.sum(value).over(inside))
-        .drop("_span", "_start")
-    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(starts, [*keys, "_range"]).withColumn(out, F.col("_start") + F.sum(value).over(inside)).drop("_range", "_start")
 
 
 def within_budget(df: DataFrame, keys: list[str], order: str, value: str, budget: int) -> DataFrame:

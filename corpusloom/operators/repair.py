@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
+from corpusloom.functions import js
 from corpusloom.functions import text as tx
 from corpusloom.functions.once import built_once, evaluated_once
 from corpusloom.operators import lint
@@ -172,9 +173,15 @@ def _fix_list() -> Column:
 
 
 def smart_repair(files: DataFrame, parity: bool = False) -> DataFrame:
-    """Repair the files that do not parse and keep those where a rule applied and the result parses."""
-    repaired = repair_files(files, ~lint.parses(F.col("content")), parity)
-    return repaired.filter((F.size("fixes") > 0) & lint.parses(F.col("fixed_content")))
+    """Repair the files that do not parse and keep those where a rule applied and the result parses.
+
+    A file whose brackets nest is never touched, whatever its strings, templates, regex literals and markup hold.
+    """
+    ext = F.lower(tx.extension(F.col("path")))
+    wanted = ext.isin(fixed.JS_EXTENSIONS + fixed.TS_EXTENSIONS)
+    scanned = files.withColumn("_scan", js.scan(F.when(wanted, F.col("content")), ext))
+    repaired = repair_files(scanned, ~F.col("_scan.ok"), parity).filter(F.size("fixes") > 0)
+    return repaired.withColumn("_scan", js.scan(F.col("fixed_content"), ext)).filter("_scan.ok").drop("_scan")
 
 
 def validate_fix(original: Column, repaired: Column) -> Column:

@@ -1,8 +1,7 @@
-"""Exact top-k cosine search of many queries over a partitioned index, in one scan."""
+"""Exact top-k cosine search of many queries over a partitioned index, without pairs of rows."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusloom import fixed
 from corpusloom.functions.vectors import embed_text
 from corpusloom.operators.ranking import top_n
 
-# Upper bound for the query vectors that travel to the tasks; larger query sets are searched block by block.
-MAX_BLOCK_BYTES = 64 * 1024 * 1024
+# Query vectors up to this size travel to the tasks that scan the index; larger sets meet it tile by tile.
+MAX_BLOCK_BYTES = 8 * 1024 * 1024
+# Index rows and queries of a tile, and queries that are scored at once.
+TILE_ROWS, TILE_QUERIES, CHUNK = 8192, 2048, 256
 
 
 def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
@@ -31,59 +34,91 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _scorer(queries: list, vector: str, key: str | None, order: list[str], k: int):
-    """Per Arrow batch: one matrix product, then the best ``k`` rows per query and key of this batch."""
-    ids = [q["query_id"] for q in queries]
-    scopes = [q["scope"] for q in queries]
-    dim = len(queries[0]["vector"])
-    unit_queries = _unit(np.array([q["vector"] for q in queries], dtype=np.float64))
+def _best(rows: pa.Table, units: np.ndarray, queries: np.ndarray, wanted: list, key: str | None, order: list[str], k: int):
+    """Per query and key the ``k`` best rows: positions in ``rows``, query numbers and scores.
+
+    Rows are sorted once by key and ``order``, so that a row's place settles ties; a partition per key finds the k-th score.
+    """
+    codes = (rows.column(key).combine_chunks() if key else pa.nulls(len(rows), pa.string())).dictionary_encode(null_encoding="encode")
+    names = {v: i for i, v in enumerate(codes.dictionary.to_pylist())}
+    sortable = pa.table({"_code": codes.indices, **{c: rows.column(c) for c in order}})
+    place = pc.sort_indices(sortable, [("_code", "ascending"), *[(c, "ascending") for c in order]]).to_numpy()
+    code, units = codes.indices.to_numpy()[place], units[place]
+    everywhere = np.array([w is None for w in wanted], bool)
+    own = np.array([-1 if w is None else names.get(w, -2) for w in wanted])
+    cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
+    found = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        asking = np.flatnonzero(everywhere | (own == code[a]))
+        for at in range(0, len(asking), CHUNK):
+            some = asking[at : at + CHUNK]
+            scores = np.round(units[a:b] @ queries[some].T, 9) + 0.0
+            if b - a > k:
+                row, col = np.nonzero(scores >= np.partition(scores, b - a - k, axis=0)[b - a - k])
+            else:
+                row, col = (x.ravel() for x in np.indices(scores.shape))
+            value = scores[row, col]
+            ranked = np.lexsort((row, -value, col))
+            row, col, value = row[ranked], col[ranked], value[ranked]
+            start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
+            keep = np.arange(len(col)) - np.repeat(start, np.diff(np.r_[start, len(col)])) < k
+            found.append((place[a + row[keep]], some[col[keep]], value[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _hits(index: pa.Table, queries: pa.Table, vector: str, key: str | None, order: list[str], k: int) -> pa.Table:
+    """The best rows of ``index`` for each of ``queries(query_id, vector, scope)``."""
+    dim = len(queries.column("vector")[0])
+    asked = _unit(_matrix(queries.column("vector").combine_chunks(), dim))
+    units = _unit(_matrix(index.column(vector).combine_chunks(), dim))
+    rows, query, score = _best(index, units, asked, queries.column("scope").to_pylist(), key, order, k)
+    kept = index.drop_columns([vector]).take(pa.array(rows))
+    ids = queries.column("query_id").take(pa.array(query))
+    return pa.Table.from_arrays([ids.cast(pa.string()), *kept.columns, pa.array(score)], ["query_id", *kept.column_names, "similarity"])
+
+
+def _scan(index: DataFrame, queries: pa.Table, schema: str, *how) -> DataFrame:
+    """Every Arrow batch of the index meets all queries; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            scores = np.round(_unit(_matrix(batch.column(vector), dim)) @ unit_queries.T, 9) + 0.0
-            kept = batch.select([c for c in batch.schema.names if c != vector])
-            keys = batch.column(key) if key else pa.nulls(batch.num_rows, pa.string())
-            codes = keys.dictionary_encode(null_encoding="encode")
-            code = np.asarray(codes.indices)
-            names = {v: i for i, v in enumerate(codes.dictionary.to_pylist())}
-            table = {"_code": pa.array(code), **{c: batch.column(c) for c in order}}
-            for j, query_id in enumerate(ids):
-                rows = np.arange(batch.num_rows)
-                if scopes[j] is not None:
-                    if scopes[j] not in names:
-                        continue
-                    rows = np.flatnonzero(code == names[scopes[j]])
-                part = pa.table({**table, "_score": pa.array(scores[:, j])}).take(pa.array(rows))
-                ranked = pc.sort_indices(
-                    part, [("_code", "ascending"), ("_score", "descending"), *[(c, "ascending") for c in order]]
-                )
-                rows = rows[np.asarray(ranked)]
-                run_code = code[rows]
-                starts = np.flatnonzero(np.r_[True, run_code[1:] != run_code[:-1]])
-                place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-                rows = rows[place < k]
-                best = kept.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_id] * len(rows), pa.string()), *best.columns, pa.array(scores[rows, j])],
-                    ["query_id", *kept.schema.names, "similarity"],
-                )
-
-    return run
-
-
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """Query rows in blocks of bounded size; the usual case is one block."""
-    stats = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    if not stats["n"]:
-        return
-    n_blocks = math.ceil(stats["n"] * stats["dim"] * 8 / MAX_BLOCK_BYTES)
-    for i in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
-        rows = block.collect()
-        if rows:
-            yield rows
+            if batch.num_rows:
+                yield from _hits(pa.Table.from_batches([batch]), queries, *how).to_batches()
+
+    return index.mapInArrow(run, schema)
+
+
+def _tiles(index: DataFrame, queries: DataFrame, scoped: bool, schema: str, *how) -> DataFrame:
+    """Index and queries in hash blocks; each pair of blocks is a tile of bounded size, scored by one task.
+
+    Scoped queries only meet blocks of their own key: the tiles of a key are its row blocks times its query blocks, so a
+    key with a third of all rows is many tiles.
+    """
+    _, key, order, _ = how
+    by = ["_scope"] if scoped else []
+    rows = index.withColumn("_scope", F.col(key)) if scoped else index
+    asked = queries.withColumn("_scope", F.col("scope").cast("string")) if scoped else queries
+    blocks = lambda df, size, name: df.groupBy(*by).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = blocks(rows, TILE_ROWS, "_m"), blocks(asked, TILE_QUERIES, "_n")
+    sizes = sizes[0].join(sizes[1], by) if by else sizes[0].crossJoin(sizes[1])  # one row each
+    deal = lambda df, on, mine, others, i, j: (
+        (df.join(sizes, by) if by else df.crossJoin(F.broadcast(sizes)))
+        .withColumn(i, F.pmod(F.xxhash64(*on), F.col(mine)).cast("int"))
+        .withColumn(j, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        .drop("_m", "_n")
+    )
+    tile = [*by, "_i", "_j"]
+    left = deal(rows, order, "_m", "_n", "_i", "_j").groupBy(*tile)
+    right = deal(asked.select("query_id", "vector", "scope", *by), ["query_id"], "_n", "_m", "_j", "_i").groupBy(*tile)
+
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(some: pa.Table, asking: pa.Table) -> pa.Table:
+        return _hits(some.drop_columns(tile), asking, *how) if len(some) and len(asking) else empty
+
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def vector_search(
@@ -96,10 +131,10 @@ def vector_search(
 ) -> DataFrame:
     """Best ``k`` rows per query, or per query and ``key``, by cosine similarity; exact, ties go by ``order``.
 
-    ``queries(query_id, vector[, scope])``; a query with a ``scope`` only looks at rows of that key.  There is no join
-    and no pair of rows: a bounded block of query vectors goes to the tasks, every Arrow batch of the index is scored by
-    one matrix product and gives back at most ``k`` rows per query and key, and the group limit before the shuffle cuts
-    this to ``k`` per map task.  The vectors themselves are dropped before any row leaves Python.
+    ``queries(query_id, vector[, scope])``; a query with a ``scope`` only looks at rows of that key.  No pair of rows ever
+    leaves a task: matrix products give back at most ``k`` rows per query and key, without vectors, and the group limit
+    before the shuffle cuts again.  A set of up to ``MAX_BLOCK_BYTES`` travels to the tasks that scan the index.  Larger sets
+    and the index are cut into blocks; scoped queries only meet the blocks of their key.
     """
     if "scope" not in queries.columns:
         queries = queries.withColumn("scope", F.lit(None).cast("string"))
@@ -107,14 +142,20 @@ def vector_search(
     schema = ", ".join(
         ["query_id string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "similarity double"]
     )
-    parts = [
-        index.mapInArrow(_scorer(block, vector, key, list(order), k), schema) for block in _blocks(queries)
-    ]
-    if not parts:
+    how = (vector, key, list(order), k)
+    one = queries.select(F.size("vector").alias("dim")).first()
+    if one is None:
         return index.sparkSession.createDataFrame([], schema + ", rank int")
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    size = queries.agg(F.count("*").alias("n"), F.count("scope").alias("scoped")).first()
+    if size["n"] * one["dim"] * 8 <= MAX_BLOCK_BYTES:
+        scored = _scan(index, queries.select("query_id", "vector", "scope").toArrow(), schema, *how)
+    else:
+        parts = []
+        if size["scoped"] and key:
+            parts.append(_tiles(index, queries.filter("scope IS NOT NULL"), True, schema, *how))
+        if size["n"] > size["scoped"]:
+            parts.append(_tiles(index, queries.filter("scope IS NULL"), False, schema, *how))
+        scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     groups = ["query_id", key] if key else ["query_id"]
     return top_n(scored, groups, [F.col("similarity").desc(), *[F.col(c) for c in order]], k)
 

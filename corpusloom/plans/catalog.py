@@ -115,12 +115,14 @@ def _index_schema() -> StructType:
     return StructType.fromDDL(index.INDEX_SCHEMA)
 
 
-def _saved_index(s: SparkSession, d: str) -> str:
-    files = _files(s, d)
-    raw = extract.extract_symbols(files)
-    built = index.build_embedding_index(graph.symbol_dedup(raw), graph.file_metadata(files, raw))
+def _built(s: SparkSession, files: DataFrame) -> DataFrame:
+    raw = graph_build.stored(extract.extract_symbols(files), "symbols")
+    return index.build_embedding_index(graph.symbol_dedup(raw), graph.file_metadata(files, raw))
+
+
+def _saved_index(s: SparkSession, d: str, where: str = "true") -> str:
     root = shared_dir(s, "index")
-    tables.save_index(built.select(*_index_schema().names), root)
+    tables.save_index(_built(s, _files(s, d).filter(where)).select(*_index_schema().names), root)
     return root
 
 
@@ -147,33 +149,36 @@ def index_load(s, d):
 def index_exists(s, d):
     repos = inputs.code_files(s, d).select("repo_id").distinct()
     asked = repos.unionByName(repos.select(F.concat("repo_id", F.lit("-none")).alias("repo_id")))
-    return tables.index_exists(asked, _entries(s, d).select("repo_id")).select("repo_id", F.col("exists").alias("held"))
+    stored = tables.load_index(s, _saved_index(s, d), _index_schema())
+    return tables.index_exists(asked, stored).select("repo_id", F.col("exists").alias("held"))
 
 
 @query
 def index_delete(s, d):
-    entries = _entries(s, d)
-    gone = inputs.code_files(s, d).filter(F.col("repo_id").startswith("org1/")).select("repo_id")
-    return tables.without_repos(entries, gone).groupBy("repo_id").agg(F.count("*").alias("n"))
+    """Delete repositories of a stored index, and some that it doesn't hold, and read it back."""
+    root, repos = _saved_index(s, d), inputs.code_files(s, d).select("repo_id")
+    gone = repos.filter(F.col("repo_id").startswith("org1/")).unionByName(repos.select(F.concat("repo_id", F.lit("-none")).alias("repo_id")))
+    tables.delete_index(s, root, gone, _index_schema())
+    return tables.load_index(s, root, _index_schema()).groupBy("repo_id").agg(F.count("*").alias("n"))
 
 
 @query
 def index_rebuild(s, d):
+    """Rebuild repositories from other files; those whose number ends in 3 have no file any more."""
     root = _saved_index(s, d)
     files = _files(s, d, "extended").filter(F.col("repo_id").startswith("org2/"))
-    raw = extract.extract_symbols(files)
-    rebuilt = index.build_embedding_index(graph.symbol_dedup(raw), graph.file_metadata(files, raw))
-    tables.rebuild_index(rebuilt.select(*_index_schema().names), root)
+    rebuilt = _built(s, files.filter(~F.col("repo_id").endswith("3"))).select(*_index_schema().names)
+    tables.rebuild_index(rebuilt, root, files.select("repo_id"))
     stored = tables.load_index(s, root, _index_schema())
     return stored.groupBy("repo_id", "symbol_type").agg(F.count("*").alias("n"))
 
 
 @query
 def index_build_missing(s, d):
-    files = _files(s, d)
-    held = files.filter(F.col("repo_id").rlike("^org[01]/")).select("repo_id", "path", F.lit("held").alias("origin"))
-    build = lambda missing: missing.select("repo_id", "path", F.lit("built").alias("origin"))
-    return index.index_build_missing(held, files, build)
+    """The index holds some repositories; the others are built, from files that would give other entries for the first."""
+    root = _saved_index(s, d, "repo_id rlike '^org[01]/'")
+    whole = index.index_build_missing(s, root, _files(s, d, "extended"), lambda missing: _built(s, missing), _index_schema())
+    return whole.groupBy("repo_id", "symbol_type").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("numbers"))
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
@@ -412,12 +417,12 @@ def extends_edges(s, d):
 
 @query
 def import_attempts(s, d):
-    return typos.import_attempts(_files(s, d)).select("repo_id", "path", "importer", "module", _joined("names").alias("names"))
+    return typos.import_attempts(_files(s, d, "imports")).select("repo_id", "path", "importer", "module", _joined("names").alias("names"))
 
 
 @query
 def typo_candidates(s, d):
-    found = typos.typo_candidates(_files(s, d))
+    found = typos.typo_candidates(_files(s, d, "imports"))
     return found.select("repo_id", "path", "line", "original", "suggested", "confidence", "imported_in", "reason")
 
 
@@ -469,8 +474,7 @@ def vector_search(s, d):
 @query
 def related_symbols(s, d):
     idx, _, _, _, files = _sources(s, d)
-    targets = files.groupBy("repo_id").agg(F.min("path").alias("file"))
-    found = graph_build.related_to_targets(targets, idx)
+    found = graph_build.related_to_targets(files.select("repo_id", F.col("path").alias("file")), idx)
     return found.select("repo_id", "query_id", "target", "id", "rank")
 
 
@@ -560,7 +564,7 @@ def symbol_dedup(s, d):
 
 @query
 def typo_dedup(s, d):
-    found = typos.typo_dedup(typos.typo_candidates(_files(s, d), importers=2))
+    found = typos.typo_dedup(typos.typo_candidates(_files(s, d, "imports"), importers=2))
     return found.select("repo_id", "path", "line", "original", "suggested", "confidence", "imported_in")
 
 
@@ -701,7 +705,7 @@ def adjacent_line(s, d):
 
 @query
 def sort_typos_desc(s, d):
-    found = typos.typo_dedup(typos.typo_candidates(_files(s, d), importers=2))
+    found = typos.typo_dedup(typos.typo_candidates(_files(s, d, "imports"), importers=2))
     renames = typos.fixes_by_file(found)
     return renames.select("repo_id", "path", F.posexplode("typos").alias("n", "_t")).select(
         "repo_id", "path", "n", "_t.line", "_t.original", "_t.suggested"
@@ -828,8 +832,9 @@ def build_embedding_index(s, d):
 
 @query
 def similar_symbols(s, d):
-    idx, _, _, _, _ = _sources(s, d)
-    names = table(s, d, "part").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("name")).distinct()
+    """Every symbol name of a repository as a query in that repository."""
+    idx, _, _, symbols, _ = _sources(s, d)
+    names = symbols.select(F.concat_ws("|", "repo_id", "name").alias("query_id"), "name", F.col("repo_id").alias("scope")).distinct()
     hits = search.similar_symbols(names, idx, fixed.SIMILAR_K)
     return hits.select("query_id", "repo_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
@@ -857,11 +862,17 @@ def retrieve_context(s, d):
 
 @query
 def focused_context(s, d):
+    """Every file as a target, and one unknown file for each repository."""
     idx, meta, edges, _, files = _sources(s, d)
-    targets = files.groupBy("repo_id").agg(F.min("path").alias("file"))
-    c = graph_build.focused_context(targets, idx, meta, edges, files)
-    return c.select("repo_id", "query_id", F.inline("files")).select(
-        "repo_id", "path", "language", F.size("symbols").alias("n_symbols"), F.size("snippets").alias("n_snippets")
+    targets = files.select("repo_id", F.col("path").alias("file"))
+    gone = targets.select("repo_id", F.lit("src/gone.js").alias("file")).distinct()
+    c = graph_build.focused_context(targets.unionByName(gone), idx, meta, edges, files)
+    own = F.get("files", F.lit(0))
+    return c.select(
+        "repo_id", own["path"].alias("path"), own["language"].alias("language"), "known", F.size(own["symbols"]).alias("n_symbols"),
+        F.when(own["snippets"].isNotNull(), F.size(own["snippets"])).alias("n_snippets"),
+        F.array_join(F.transform("dependencies", lambda x: x["dst"]), ", ").alias("dependencies"),
+        F.array_join(F.transform("related", lambda r: r["id"]), ", ").alias("related"),
     )
 
 
@@ -949,7 +960,7 @@ def smart_repair(s, d):
 
 @query
 def apply_typo_fixes(s, d):
-    files = _files(s, d)
+    files = _files(s, d, "imports")
     found = typos.typo_dedup(typos.typo_candidates(files, importers=2))
     out = typos.apply_typo_fixes(files, found)
     return out.select("file_id", "content", F.coalesce("fixed", F.lit(False)).alias("fixed"))
@@ -957,7 +968,7 @@ def apply_typo_fixes(s, d):
 
 @query
 def semantic_fix(s, d):
-    out, _ = graph_build.semantic_fix(_files(s, d))
+    out, _ = graph_build.semantic_fix(_files(s, d, "imports"))
     return out.groupBy("repo_id").agg(
         F.count_if("fixed").alias("n_fixed"), F.sum(F.coalesce(F.size("semantic_fixes"), F.lit(0))).alias("n_renames")
     )

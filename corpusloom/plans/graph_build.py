@@ -10,28 +10,16 @@ from corpusloom.operators import context as ctx
 from corpusloom.operators import graph, index, search, typos
 from corpusloom.operators.extract import extract_symbols, route_files
 from corpusloom.operators.ranking import top_n
-from corpusloom.session import shared_dir
+from corpusloom.session import stored
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    Cuts the lineage in a way that survives lost executors, and gives Spark the real size, so that it broadcasts the
-    table only when it is small.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def semantic_fix(files: DataFrame, context: DataFrame | None = None, mode: str = "segment") -> tuple[DataFrame, DataFrame]:
+def semantic_fix(files: DataFrame, context: DataFrame | None = None, mode: str = "contains") -> tuple[DataFrame, DataFrame]:
     """Files with renamed exports, and the rename table they came from."""
     found = stored(typos.typo_dedup(typos.typo_candidates(files, context, mode, importers=2)), "typos")
     return typos.apply_typo_fixes(files, found), found
 
 
-def build_symbol_graph(files: DataFrame, context: DataFrame | None = None, mode: str = "segment") -> dict[str, DataFrame]:
+def build_symbol_graph(files: DataFrame, context: DataFrame | None = None, mode: str = "contains") -> dict[str, DataFrame]:
     """Naming repair, syntax repair, extraction, then the graph tables.
 
     ``symbols``, ``files``, ``edges``, ``fixes``, ``typos`` and ``metadata``.  The extracted symbols are written once,
@@ -99,8 +87,11 @@ def usage_totals(usages: DataFrame) -> DataFrame:
 
 
 def related_to_targets(targets: DataFrame, idx: DataFrame) -> DataFrame:
-    """Entries of other files close to the first five entries of each target ``(repo_id, file)``."""
-    entries = idx.drop("embedding").join(targets.select("repo_id", "file"), ["repo_id", "file"])
+    """Entries of other files of the repository close to the first five entries of each target ``(repo_id, file)``.
+
+    Every target's names are queries that only meet their own repository, so all files may be targets at once.
+    """
+    entries = idx.drop("embedding").join(targets.select("repo_id", "file").distinct(), ["repo_id", "file"])
     first = top_n(entries, ["repo_id", "file"], [F.col("entry_kind"), F.col("ord")], fixed.SNIPPET_HITS, "entry_rank")
     names = stored(
         first.select(
@@ -119,17 +110,42 @@ def related_to_targets(targets: DataFrame, idx: DataFrame) -> DataFrame:
 def focused_context(
     targets: DataFrame, idx: DataFrame, meta: DataFrame, edges: DataFrame, files: DataFrame
 ) -> DataFrame:
-    """Own entries, snippets and imports of target files; ``targets(repo_id, file)``."""
-    entries = idx.drop("embedding").join(targets.select("repo_id", "file"), ["repo_id", "file"])
+    """One row for each target ``(repo_id, file)``: its own entries with snippets, its imports, and related entries of other
+    files in the order of the entries that they resemble.
+
+    A target that the index does not know keeps its row, with an empty file context.
+    """
+    targets = targets.select("repo_id", "file").distinct()
+    entries = idx.drop("embedding").join(targets, ["repo_id", "file"])
     own = index.symbols_in_file(entries).withColumn("query_id", F.col("file")).withColumn(
         "similarity", F.lit(None).cast("double")
     )
-    return ctx.retrieve_context(stored(own, "hits"), meta, edges, files)
+    found = ctx.retrieve_context(stored(own, "hits"), meta, edges, files)
+    row = F.struct("entry_rank", "rank", "id", "file", F.col("symbol_name").alias("name"), "similarity")
+    related = (
+        related_to_targets(targets, idx)
+        .groupBy("repo_id", F.col("target").alias("query_id"))
+        .agg(F.array_sort(F.collect_list(row)).alias("related"))
+    )
+    empty = F.struct(
+        F.lit(1).alias("file_rank"), F.col("query_id").alias("path"), F.lit("unknown").alias("language"), F.array().alias("symbols"),
+        F.array().alias("imports"), F.array().alias("exports"), F.lit(None).alias("snippets"), F.lit(None).alias("full_content"),
+    )
+    none = lambda c, df: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType))
+    return (
+        targets.withColumnRenamed("file", "query_id")
+        .join(found.select("query_id", "repo_id", "files", "dependencies"), ["query_id", "repo_id"], "left")
+        .join(related, ["query_id", "repo_id"], "left")
+        .withColumn("known", F.col("files").isNotNull())
+        .withColumn("files", F.coalesce("files", F.array(empty).cast(found.schema["files"].dataType)))
+        .withColumn("dependencies", none("dependencies", found))
+        .withColumn("related", none("related", related))
+    )
 
 
 def sources(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Index, file metadata, edges and symbols of a corpus, without the naming repair; symbols are written once."""
+    """Index, file metadata, edges and symbols of a corpus, without the naming repair; symbols and metadata are written once."""
     raw = stored(extract_symbols(files), "symbols")
     symbols = graph.symbol_dedup(raw)
-    meta = graph.file_metadata(files, raw)
+    meta = stored(graph.file_metadata(files, raw), "file_metadata")
     return index.build_embedding_index(symbols, meta), meta, graph.build_edges(raw), symbols

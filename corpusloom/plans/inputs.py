@@ -66,37 +66,77 @@ CASE WHEN m = 4 THEN
     || '  constructor(a, b = 2) {' || chr(10) || '    this.a = a;' || chr(10) || '  }' || chr(10)
     || '  // loads' || chr(10)
     || '  static async load(url, ...rest) {' || chr(10) || '    if (url) {' || chr(10) || '      return url;' || chr(10)
-    || '    }' || chr(10) || '  }' || chr(10) || '}' || chr(10)
+    || '    }' || chr(10) || '  }' || chr(10)
+    || '  wide(a,' || chr(10) || '    b = [1, 2]) {' || chr(10) || '    return typeof /x(/ + a / b;' || chr(10) || '  }' || chr(10) || '}' || chr(10)
     || CASE WHEN m IN (2, 3) THEN
          'interface I' || CAST(k AS STRING_T) || ' {' || chr(10) || '  a: string;' || chr(10) || '}' || chr(10)
          || 'type T' || CAST(k AS STRING_T) || ' = string;' || chr(10) ELSE '' END
     || 'async function go' || CAST(k AS STRING_T) || '(x, { y }, z = 1) {' || chr(10)
     || '  return x;' || chr(10) || '}' || chr(10)
     || 'let v' || CAST(k AS STRING_T) || ' = 1;' || chr(10)
+    || 'let p' || CAST(k AS STRING_T) || ' = 1,' || chr(10) || '    q' || CAST(k AS STRING_T) || ' = call(1, [2, 3]),' || chr(10)
+    || '    r' || CAST(k AS STRING_T) || ' = s => /[(]/.test(s);' || chr(10)
+    || 'const t' || CAST(k AS STRING_T) || ' = `$' || '{[`(`].map(x => `$' || '{x}]`)} it' || chr(39) || 's`;' || chr(10)
+    || CASE WHEN m = 2 THEN '' ELSE 'const el' || CAST(k AS STRING_T) || ' = <p className="x">it' || chr(39) || 's (fine {v}</p>;' || chr(10) END
+    || 'function deep' || CAST(k AS STRING_T) || '(a = q(w(e(r(t(y(u(i(o(p(1)))))))))),' || chr(10) || '  b) {' || chr(10)
+    || '  return a;' || chr(10) || '}' || chr(10)
     || 'export default ' || CASE WHEN k % 5 = 0 THEN '1' WHEN k % 5 = 1 THEN 'function h' || CAST(k AS STRING_T)
        || '() {}' ELSE 'K' || CAST(k AS STRING_T) END || ';' || chr(10)
   END
 """
 
-# Texts with the defects that the repair rules target.
-_BROKEN_BODY = """
-    'import { a } from ' || chr(39) || './a' || chr(39) || chr(10)
+# Texts with the defects that the repair rules target, and valid texts that must stay: regex literals after every kind of
+# token, templates in templates, markup.
+_VALID_BODY = """
+    'export const f' || CAST(k AS STRING_T) || ' = s => /[(]/.test(s);' || chr(10)
+    || 'const g = ys.filter(y => /' || chr(92) || '(/.test(y)), h = typeof /x(/;' || chr(10)
+    || 'switch (h) {' || chr(10) || '  case /' || chr(92) || '{/.test(h): break;' || chr(10)
+    || '  default: return /[)' || chr(92) || ']]/.test(h) / 2 / (g);' || chr(10) || '}' || chr(10)
+    || 'const t = `a$' || '{[`(`].map(x => `{$' || '{x}`)}{`, u = g++ / 2;' || chr(10)
+    || 'if (h) /}(/.exec(t);' || chr(10)
+    || CASE WHEN m = 2 THEN 'const list: Array<Map<string, (a: string) => void>> = [];' || chr(10)
+       ELSE 'const el = <p title="(">it' || chr(39) || 's ( here {g.map(x => <b key={x}>{x} )</b>)} <br/></p>;' || chr(10) END
+"""
+_BROKEN_BODY = rf"""
+CASE WHEN k % 3 = 0 AND m < 4 THEN {_VALID_BODY} ELSE
+    'import {{ a }} from ' || chr(39) || './a' || chr(39) || chr(10)
     || 'const n' || CAST(k AS STRING_T) || ' = a + 1' || chr(10)
-    || 'const opts = {' || chr(10) || '  size: ' || CAST(k AS STRING_T) || chr(10) || '  name: n,' || chr(10)
-    || '}' || chr(10)
+    || 'const opts = {{' || chr(10) || '  size: ' || CAST(k AS STRING_T) || chr(10) || '  name: n,' || chr(10)
+    || '}}' || chr(10)
     || CASE WHEN m IN (2, 3) THEN 'let later:' || chr(10) ELSE '' END
-    || 'export const api' || CAST(k AS STRING_T) || ' =' || chr(10)
-    || 'async load(a) {' || chr(10) || '  return a[0' || chr(10) || '}' || chr(10)
-    || 'async save(b) {' || chr(10) || '  return [b, 1,]' || chr(10) || '}' || chr(10)
+    || CASE WHEN m = 1 THEN 'const total = sum(n,' || chr(10) || '  2'
+      WHEN m = 3 THEN 'const rows = [n,' || chr(10) || '  2,'
+      ELSE 'export const api' || CAST(k AS STRING_T) || ' =' || chr(10)
+        || 'async load(a) {{' || chr(10) || '  return a[0]' || chr(10) || '}}' || chr(10)
+        || 'async save(b) {{' || chr(10) || '  return [b, 1,]' || chr(10) END
+  END
+"""
+
+# Names in mixed case, several importers and clause forms for a name, names with ``$``, file names that occur inside of other
+# module paths, many files called ``index``, and exports that both naming rules judge.
+_CAMEL = "(upper(substr({0}, 1, 1)) || replace(substr({0}, 2), '_', ''))"
+_IMPORTS_PATH = f"""'src/' || CAST(k AS STRING_T) || '/' || CASE k % 9 WHEN 0 THEN 'index' WHEN 1 THEN sym WHEN 2 THEN 'Go' ELSE {_CAMEL.format('sym')} END
+  || CASE m WHEN 0 THEN '.js' WHEN 1 THEN '.jsx' WHEN 2 THEN '.ts' WHEN 3 THEN '.tsx' WHEN 4 THEN '.service.js' WHEN 5 THEN '.go' ELSE '.cs' END"""
+_IMPORTS_BODY = f"""
+    'import {{ ' || {_CAMEL.format("coalesce(dep, 'none')")} || CASE WHEN k % 11 = 0 THEN 'X' ELSE '' END || ' }} from '
+    || chr(39) || './' || {_CAMEL.format("coalesce(dep, 'none')")} || chr(39) || chr(10)
+    || CASE WHEN k % 2 = 0 THEN 'import {{ a as b, $' || {_CAMEL.format("coalesce(dep, 'none')")} || ' as c }} from ' || chr(34) || '../pkg/'
+       || {_CAMEL.format("coalesce(dep, 'none')")} || '.js' || chr(34) || ';' || chr(10) ELSE '' END
+    || CASE WHEN k % 4 = 1 THEN 'import {{ index }} from ' || chr(39) || './' || coalesce(dep, 'none') || '/index' || chr(39) || chr(10) ELSE '' END
+    || CASE WHEN k % 3 = 0 THEN 'import * as ' || {_CAMEL.format("coalesce(dep, 'none')")} || ' from ' || chr(39) || 'lib/'
+       || {_CAMEL.format("coalesce(dep, 'none')")} || 'Mock' || chr(39) || '; import Go from ' || chr(39) || 'Go' || chr(39) || chr(10) ELSE '' END
+    || CASE WHEN k % 6 = 0 THEN 'export class tmp {{}}' || chr(10) ELSE '' END
+    || 'export const ' || CASE WHEN k % 5 = 0 THEN 'zz' WHEN k % 7 = 0 THEN sym ELSE {_CAMEL.format('sym')} END || ' = 1;' || chr(10)
 """
 
 
 def corpus_sql(kind: str = "plain", string_type: str = "STRING") -> str:
     """The WITH list that ends in ``code_files(file_id, repo_id, path, content, size)``."""
-    body = {"plain": _BODY, "extended": _EXTENDED_BODY, "broken": _BROKEN_BODY}[kind]
+    body = {"plain": _BODY, "extended": _EXTENDED_BODY, "broken": _BROKEN_BODY, "imports": _IMPORTS_BODY}[kind]
+    path = _IMPORTS_PATH if kind == "imports" else "path"
     octets = "octet_length(content)" if string_type == "STRING" else "strlen(content)"
     text = f"""{_CORPUS},
-bodies AS (SELECT k AS file_id, repo_id, path, {body} AS content FROM g),
+bodies AS (SELECT k AS file_id, repo_id, {path} AS path, {body} AS content FROM g),
 code_files AS (SELECT *, CAST({octets} AS BIGINT) AS size FROM bodies)"""
     return text.replace("STRING_T", string_type)
 

@@ -58,16 +58,23 @@ def _sym(type_: str, where: str, name: str, pos: str = "0", source: str = "lines
     )
 
 
-_FN = r"^(async\s+)?function\s*\*?\s*([\w$]+)\s*\((.*?)\)"
-_METHOD = r"^  (static\s+)?(async\s+)?([\w$]+)\s*\(([^)]*)\)\s*\{$"
+_FN = r"^(async\s+)?function\s*\*?\s*([\w$]+)\s*\((.*)\)\s*\{"
+_METHOD = r"^  (static\s+)?(async\s+)?([\w$]+)\s*\((.*)\)\s*\{$"
+
+
+def _bare(text: str) -> str:
+    """Innermost round and square brackets go, again and again; the corpus nests them eleven deep."""
+    return f"list_reduce([{text}] || list_transform(range(12), lambda i: ''), lambda s, i: regexp_replace(s, '[(\\[][^()\\[\\]]*[)\\]]', '', 'g'))"
+
+
 _JS_PARAMS = (
     "list_transform(list_filter(string_split({0}, ','), lambda p: trim(p) <> ''), lambda p: CASE "
     "WHEN starts_with(trim(p), '{{') THEN 'param' "
     "WHEN starts_with(trim(p), '...') THEN '...' || regexp_extract(trim(p), '^[.]+([\\w$]+)', 1) "
     "ELSE regexp_extract(trim(p), '^([\\w$]+)', 1) END)"
 )
-_fn_params = _JS_PARAMS.format(f"regexp_extract(t, '{_FN}', 3)")
-_method_params = _JS_PARAMS.format(f"regexp_extract(t, '{_METHOD}', 4)")
+_fn_params = _JS_PARAMS.format(_bare(f"regexp_extract(stmt, '{_FN}', 3)"))
+_method_params = _JS_PARAMS.format(_bare(f"regexp_extract(stmt, '{_METHOD}', 4)"))
 _py_params = (
     f"list_filter(list_transform(string_split(regexp_extract(t, '{fixed.PY_FUNCTION}', 2), ','), "
     "lambda p: trim(split_part(trim(p), '=', 1))), lambda p: p <> '')"
@@ -75,8 +82,8 @@ _py_params = (
 _generic_fn = "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in fixed.GENERIC_FUNCTIONS) + ")"
 _generic_cl = "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in fixed.GENERIC_CLASSES) + ")"
 _sig = (
-    f"CASE WHEN regexp_extract(t, '{_FN}', 1) <> '' THEN 'async ' ELSE '' END || 'function ' || "
-    f"regexp_extract(t, '{_FN}', 2) || '(' || array_to_string({_fn_params}, ', ') || ')'"
+    f"CASE WHEN regexp_extract(stmt, '{_FN}', 1) <> '' THEN 'async ' ELSE '' END || 'function ' || "
+    f"regexp_extract(stmt, '{_FN}', 2) || '(' || array_to_string({_fn_params}, ', ') || ')'"
 )
 _js, _py, _ge = "extractor = 'js'", "extractor = 'python'", "extractor = 'generic'"
 _q3 = "chr(34) || chr(34) || chr(34)"
@@ -89,7 +96,8 @@ routed AS (
 split AS (SELECT repo_id, path AS file, extractor, language, ext, string_split(content, chr(10)) AS l FROM routed),
 numbered AS (SELECT *, unnest(range(1, len(l) + 1)) AS no FROM split),
 texts AS (
-  SELECT *, l[no] AS t,
+  SELECT *, l[no] AS t, array_to_string(l[no:no - 1 + coalesce(nullif(list_position(
+      list_transform(l[no:], lambda x: NOT regexp_matches(x, '[,(]$')), true), 0), 1)], ' ') AS stmt,
     list_reverse(list_transform(l[greatest(no - 9, 1):no - 1], lambda x: trim(x))) AS above,
     substr(trim(l[no + 1]), 4) || ' ' || array_to_string(list_transform(l[no + 2:no + 19],
       lambda x: CASE WHEN contains(x, {_q3}) THEN x ELSE trim(x) END), ' ') AS below,
@@ -106,6 +114,8 @@ docs AS (
   FROM stops),
 lines AS (
   SELECT *,
+    list_filter(list_transform(string_split({_bare("regexp_replace(stmt, '^(var|let|const)', '')")}, ','),
+      lambda p: regexp_extract(p, '^\s*([\w$]+)', 1)), lambda x: x <> '') AS var_names,
     list_filter(list_transform(string_split(regexp_replace(regexp_extract(t, '^import\s+(.*?)\s*\bfrom\s*[''"]', 1),
       '[{{}}]', ',', 'g'), ','), lambda p: regexp_extract(p, '([\w$]+)\s*$', 1)), lambda x: x <> '') AS js_names,
     list_transform(string_split(regexp_extract(t, '{fixed.PY_IMPORT}', 2), ','),
@@ -115,6 +125,8 @@ js_imports AS (SELECT *, unnest(range(1, len(js_names) + 1)) AS i FROM lines
   WHERE {_js} AND regexp_matches(t, '^import\b')),
 py_imports AS (SELECT *, unnest(range(1, len(py_names) + 1)) AS i FROM lines
   WHERE {_py} AND regexp_matches(t, '{fixed.PY_IMPORT}')),
+variables AS (SELECT *, unnest(range(1, len(var_names) + 1)) AS i FROM lines
+  WHERE {_js} AND regexp_matches(t, '^(var|let|const)\s')),
 raw AS (
 """ + "\nUNION ALL ".join(
     [
@@ -122,21 +134,20 @@ raw AS (
              from_module=r"regexp_extract(t, '\bfrom\s*[''\"]([^''\"]*)[''\"]', 1)"),
         _sym("import", "true", "py_names[i]", "i - 1", "py_imports",
              from_module=f"nullif(regexp_extract(t, '{fixed.PY_IMPORT}', 1), '')"),
-        _sym("function", f"{_js} AND regexp_matches(t, '{_FN}')", f"regexp_extract(t, '{_FN}', 2)", params=_fn_params,
-             is_async=f"regexp_extract(t, '{_FN}', 1) <> ''", documentation="js_doc", signature=_sig),
+        _sym("function", f"{_js} AND regexp_matches(stmt, '{_FN}')", f"regexp_extract(stmt, '{_FN}', 2)", params=_fn_params,
+             is_async=f"regexp_extract(stmt, '{_FN}', 1) <> ''", documentation="js_doc", signature=_sig),
         _sym("class", rf"{_js} AND regexp_matches(t, '^class\s')", r"regexp_extract(t, '^class\s+([\w$]+)', 1)",
              documentation="js_doc", extends=r"nullif(regexp_extract(t, '\sextends\s+([\w$.]+)', 1), '')"),
-        _sym("method", f"{_js} AND regexp_matches(t, '{_METHOD}')",
-             rf"regexp_extract(owner_line, '^class\s+([\w$]+)', 1) || '.' || regexp_extract(t, '{_METHOD}', 3)",
-             params=_method_params, is_async=f"regexp_extract(t, '{_METHOD}', 2) <> ''",
-             is_static=f"regexp_extract(t, '{_METHOD}', 1) <> ''", documentation="js_doc",
+        _sym("method", f"{_js} AND regexp_matches(stmt, '{_METHOD}')",
+             rf"regexp_extract(owner_line, '^class\s+([\w$]+)', 1) || '.' || regexp_extract(stmt, '{_METHOD}', 3)",
+             params=_method_params, is_async=f"regexp_extract(stmt, '{_METHOD}', 2) <> ''",
+             is_static=f"regexp_extract(stmt, '{_METHOD}', 1) <> ''", documentation="js_doc",
              class_name=r"regexp_extract(owner_line, '^class\s+([\w$]+)', 1)"),
         _sym("interface", rf"{_js} AND regexp_matches(t, '^interface\s')", r"regexp_extract(t, '^interface\s+([\w$]+)', 1)",
              documentation="js_doc"),
         _sym("type", rf"{_js} AND regexp_matches(t, '^type\s')", r"regexp_extract(t, '^type\s+([\w$]+)', 1)",
              documentation="js_doc"),
-        _sym("variable", rf"{_js} AND regexp_matches(t, '^(var|let|const)\s')",
-             r"regexp_extract(t, '^\w+\s+([\w$]+)', 1)", kind=r"regexp_extract(t, '^(\w+)', 1)", exported="false"),
+        _sym("variable", "true", "var_names[i]", "i - 1", "variables", kind=r"regexp_extract(t, '^(\w+)', 1)", exported="false"),
         _sym("export", rf"{_js} AND regexp_matches(t, '^export\s+default\s')",
              r"coalesce(nullif(regexp_extract(t, '^export\s+default\s+function\s+(\w+)', 1), ''), "
              r"nullif(regexp_extract(t, '^export\s+default\s+([A-Za-z]\w*);$', 1), ''), 'default')", is_default="true"),
@@ -306,8 +317,6 @@ O["index_exists"] = _F + """, repos AS (SELECT DISTINCT repo_id FROM code_files)
   SELECT repo_id FROM repos UNION ALL SELECT repo_id || '-none' FROM repos)
 SELECT repo_id, repo_id IN (SELECT repo_id FROM files) AS held FROM asked"""
 O["index_delete"] = _E + "SELECT repo_id, count(*) AS n FROM entries WHERE NOT starts_with(repo_id, 'org1/') GROUP BY 1"
-O["index_build_missing"] = _F + """SELECT repo_id, path,
-  CASE WHEN regexp_matches(repo_id, '^org[01]/') THEN 'held' ELSE 'built' END AS origin FROM files"""
 _last = "row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)"
 O["memory_append"] = f"SELECT conv_id, turn, role, md5(text) AS body FROM conversations QUALIFY {_last} <= 5"
 O["memory_append_stream"] = O["memory_append"]
@@ -364,7 +373,7 @@ O["parse_review_json"] = _F + f"""SELECT file_id,
   CASE file_id % 4 WHEN 0 THEN {_TARGET} WHEN 1 THEN 'a' END AS first_file,
   CASE file_id % 4 WHEN 0 THEN 'a,b' END AS affected FROM files"""
 O["run_status"] = _F + f""", fixes AS (
-  SELECT repo_id, count(*) AS n FROM files WHERE ext IN ('.js', '.jsx', '.ts', '.tsx') GROUP BY 1),
+  SELECT repo_id, count(*) AS n FROM files WHERE ext IN ('.js', '.jsx', '.ts', '.tsx') AND file_id % 3 <> 0 GROUP BY 1),
 latest AS (SELECT repo_id, max(file_id) AS k, arg_max(path, file_id) AS path FROM files GROUP BY 1),
 counts AS (
   SELECT r.repo_id, coalesce(f.n, 0) AS n_files, coalesce(x.n, 0) AS n_fixes,
@@ -415,14 +424,17 @@ FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS t,
 # -- joins
 O["import_edges"] = _ED + "SELECT repo_id, src, dst, module, ord FROM edges WHERE type = 'imports'"
 O["extends_edges"] = _with(_FILES, _SYMBOLS_RAW, _EDGES, kind="extended") + "SELECT repo_id, src, dst, type FROM edges WHERE type = 'extends'"
-_ATT = rf"""clauses AS (
-  SELECT repo_id, path AS importer, regexp_extract(s, 'from [''"](.*?)[''"]', 1) AS module,
-    trim(regexp_extract(s, '\{{([^}}]+)\}}', 1)) AS names
-  FROM (SELECT repo_id, path, unnest(regexp_extract_all(content, 'import \{{[^}}]+\}} from [''"].*?[''"]')) AS s FROM files)),
+_ATT = f"""clauses AS (
+  SELECT repo_id, path AS importer, pos, regexp_extract(s, '{{fixed.IMPORT_CLAUSE_SQL}}', 4) AS module,
+    list_transform(string_split(coalesce(nullif(regexp_extract(s, '{{fixed.IMPORT_CLAUSE_SQL}}', 1), ''),
+      nullif(regexp_extract(s, '{{fixed.IMPORT_CLAUSE_SQL}}', 2), ''), regexp_extract(s, '{{fixed.IMPORT_CLAUSE_SQL}}', 3)), ','),
+      lambda n: trim(split_part(trim(n), ' as ', 1))) AS names
+  FROM (SELECT repo_id, path, unnest(l) AS s, generate_subscripts(l, 1) AS pos
+    FROM (SELECT *, regexp_extract_all(content, '{{fixed.IMPORT_CLAUSE_SQL}}') AS l FROM files))),
 attempts AS (
-  SELECT f.repo_id, f.path, c.importer, c.module, c.names, split_part(f.base, '.', 1) AS stem
+  SELECT f.repo_id, f.path, c.importer, c.pos, c.module, c.names, regexp_replace(f.base, '^(.+)[.][^.]*$', '\\1') AS stem
   FROM files f JOIN clauses c ON c.repo_id = f.repo_id AND c.importer <> f.path
-    AND regexp_extract(c.module, '([^/]*)$', 1) = split_part(f.base, '.', 1))"""
+    AND contains(c.module, regexp_replace(f.base, '^(.+)[.][^.]*$', '\\1')))""".replace("{fixed.IMPORT_CLAUSE_SQL}", fixed.IMPORT_CLAUSE.replace("'", "''"))
 _sim = lambda a, b: (
     f"(CASE WHEN lower({a}) = lower({b}) THEN 1.0::DOUBLE ELSE "
     f"1 - levenshtein(lower({a}), lower({b})) / greatest(len({a}), len({b})) END)"
@@ -431,26 +443,38 @@ _TYPOS = f"""exported AS (
   SELECT repo_id, path, regexp_extract(t, '{fixed.EXPORT_ANYWHERE}', 1) AS name, CAST(no AS BIGINT) AS line
   FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS t,
     generate_subscripts(string_split(content, chr(10)), 1) AS no FROM files) WHERE regexp_matches(t, '{fixed.EXPORT_ANYWHERE}')),
+named_uses AS (SELECT *, unnest(names) AS imported, generate_subscripts(names, 1) AS name_pos FROM attempts),
+close_uses AS (
+  SELECT e.line, e.name, a.* FROM exported e JOIN named_uses a ON a.repo_id = e.repo_id AND a.path = e.path
+  WHERE {_sim('a.imported', 'a.stem')} > {fixed.HIGH_SIMILARITY}),
 cand AS (
-  SELECT e.repo_id, e.path, e.line, e.name AS original, a.names AS suggested, 'high' AS confidence,
-    a.importer AS imported_in, 'Export name "' || e.name || '" doesn''t match import "' || a.names ||
-    '" which is closer to file name "' || a.stem || '"' AS reason
-  FROM exported e JOIN attempts a ON a.repo_id = e.repo_id AND a.path = e.path
-  WHERE {_sim('e.name', 'a.names')} < 0.5 AND {_sim('a.names', 'a.stem')} > 0.7),
+  SELECT repo_id, path, line, name AS original, imported AS suggested, 'high' AS confidence, importer AS imported_in,
+    'Export name "' || name || '" doesn''t match import "' || imported || '" which is closer to file name "' || stem || '"' AS reason,
+    pos, name_pos
+  FROM close_uses WHERE {_sim('name', 'imported')} < {fixed.LOW_SIMILARITY}
+  UNION ALL
+  SELECT repo_id, path, line, name, stem, 'medium', importer,
+    'Export name "' || name || '" appears to be a typo. File name is "' || stem || '" and imported as "' || imported || '"', pos, name_pos
+  FROM close_uses WHERE len(name) <= {fixed.SHORT_NAME} AND name = lower(name) AND len(stem) > {fixed.SHORT_NAME} AND stem <> lower(stem)),
 typos AS (SELECT * FROM cand QUALIFY row_number() OVER (
-  PARTITION BY repo_id, path, original || suggested ORDER BY imported_in) = 1)"""
-O["import_attempts"] = _with(_FILES, _ATT) + "SELECT repo_id, path, importer, module, names FROM attempts"
-O["typo_candidates"] = _with(_FILES, _ATT, _TYPOS) + "SELECT * FROM cand"
-O["typo_dedup"] = _with(_FILES, _ATT, _TYPOS) + "SELECT repo_id, path, line, original, suggested, confidence, imported_in FROM typos"
-O["sort_typos_desc"] = _with(_FILES, _ATT, _TYPOS) + """SELECT repo_id, path,
-  row_number() OVER (PARTITION BY repo_id, path ORDER BY line DESC, imported_in) - 1 AS n, line, original, suggested FROM typos"""
-_RENAMED = r"""renamed AS (
-  SELECT f.*, t.suggested IS NOT NULL AS fixed, CASE WHEN t.suggested IS NULL THEN f.content ELSE
-    replace(f.content, 'export const ' || t.original || ' ', 'export const ' || t.suggested || ' ') END AS new_content
-  FROM files f LEFT JOIN typos t ON t.repo_id = f.repo_id AND t.path = f.path)"""
-O["apply_typo_fixes"] = _with(_FILES, _ATT, _TYPOS, _RENAMED) + "SELECT file_id, new_content AS content, fixed FROM renamed"
-O["semantic_fix"] = _with(_FILES, _ATT, _TYPOS, _RENAMED) + """SELECT repo_id, count(*) FILTER (fixed) AS n_fixed,
-  CAST(count_if(fixed) AS BIGINT) AS n_renames FROM renamed GROUP BY repo_id"""
+  PARTITION BY repo_id, path, original || suggested ORDER BY confidence, line, imported_in, pos, name_pos) = 1)"""
+_RENAME_ORDER = "ORDER BY line DESC, imported_in, pos, name_pos"
+O["import_attempts"] = _with(_FILES, _ATT, kind="imports") + "SELECT repo_id, path, importer, module, array_to_string(names, ', ') AS names FROM attempts"
+O["typo_candidates"] = _with(_FILES, _ATT, _TYPOS, kind="imports") + "SELECT * EXCLUDE (pos, name_pos) FROM cand"
+O["typo_dedup"] = _with(_FILES, _ATT, _TYPOS, kind="imports") + "SELECT repo_id, path, line, original, suggested, confidence, imported_in FROM typos"
+O["sort_typos_desc"] = _with(_FILES, _ATT, _TYPOS, kind="imports") + f"""SELECT repo_id, path,
+  row_number() OVER (PARTITION BY repo_id, path {_RENAME_ORDER}) - 1 AS n, line, original, suggested FROM typos WHERE confidence = 'high'"""
+_RENAMED = rf"""renames AS (
+  SELECT repo_id, path, list(original || '>' || suggested {_RENAME_ORDER}) AS l FROM typos WHERE confidence = 'high' GROUP BY ALL),
+renamed AS (
+  SELECT f.*, t.l AS renames, coalesce(CASE WHEN t.l IS NOT NULL THEN list_reduce([f.content] || t.l, lambda c, r: regexp_replace(c,
+      '(export\s+(?:const|let|var|class|function|interface|type)\s+)' || split_part(r, '>', 1) || '\b', '\1' || split_part(r, '>', 2), 'g')) END,
+      f.content) AS new_content
+  FROM files f LEFT JOIN renames t ON t.repo_id = f.repo_id AND t.path = f.path),
+marked AS (SELECT *, new_content <> content AS fixed, CASE WHEN new_content <> content THEN len(renames) ELSE 0 END AS n_renames FROM renamed)"""
+O["apply_typo_fixes"] = _with(_FILES, _ATT, _TYPOS, _RENAMED, kind="imports") + "SELECT file_id, new_content AS content, fixed FROM marked"
+O["semantic_fix"] = _with(_FILES, _ATT, _TYPOS, _RENAMED, kind="imports") + """SELECT repo_id, count(*) FILTER (fixed) AS n_fixed,
+  CAST(sum(n_renames) AS BIGINT) AS n_renames FROM marked GROUP BY repo_id"""
 O["build_symbol_graph"] = _with(
     _FILES, _ATT, _TYPOS, _RENAMED,
     _SYMBOLS_RAW.replace("FROM files)", "FROM (SELECT * REPLACE (new_content AS content) FROM renamed))", 1), _EDGES,
@@ -458,14 +482,14 @@ O["build_symbol_graph"] = _with(
 sy AS (SELECT repo_id, count(DISTINCT (file, name)) AS total_symbols FROM raw GROUP BY 1),
 ed AS (SELECT repo_id, count(*) AS n_edges FROM edges GROUP BY 1),
 ty AS (SELECT repo_id, count(*) AS n_typos FROM typos GROUP BY 1),
-fx AS (SELECT repo_id, count(*) AS n_fixes FROM renamed WHERE fixed GROUP BY 1)
+fx AS (SELECT repo_id, count(*) AS n_fixes FROM marked WHERE fixed GROUP BY 1)
 SELECT n.repo_id, coalesce(total_symbols, 0) AS total_symbols, total_files, n_edges, n_typos, n_fixes
 FROM n LEFT JOIN sy ON sy.repo_id = n.repo_id LEFT JOIN ed ON ed.repo_id = n.repo_id
 LEFT JOIN ty ON ty.repo_id = n.repo_id LEFT JOIN fx ON fx.repo_id = n.repo_id"""
 O["attach_fixes"] = _with(_FILES, _ATT, _TYPOS, _RENAMED) + """SELECT repo_id, path,
-  CAST(CASE WHEN fixed THEN 1 ELSE 0 END AS BIGINT) AS n_semantic,
-  CAST(CASE WHEN m > 3 THEN 0 WHEN m >= 2 THEN 8 ELSE 7 END AS BIGINT) AS n_syntax
-FROM (SELECT *, file_id % 8 AS m FROM renamed) WHERE fixed OR m < 4"""
+  n_renames AS n_semantic,
+  CAST(CASE WHEN m > 3 OR file_id % 3 = 0 THEN 0 ELSE CASE m WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 5 END END AS BIGINT) AS n_syntax
+FROM (SELECT *, file_id % 8 AS m FROM marked) WHERE fixed OR (m < 4 AND file_id % 3 <> 0)"""
 O["dependency_graph"] = _ED + "SELECT repo_id, src_file AS path, dst, name AS symbol FROM edges WHERE type = 'imports'"
 O["call_graph"] = _REVIEW + "SELECT query_id, repo_id, symbol_ord, caller, callee, name FROM calls"
 O["file_context"] = _REVIEW + """SELECT r.repo_id, r.file AS path, r.file_rank, r.hits, m.language,
@@ -497,14 +521,11 @@ FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS s FROM em
 O["cosine_similarity"] = f"""WITH {_CENTROID} SELECT e.vec_id, CAST(e.label AS BIGINT) AS label,
   round(list_cosine_similarity(e.embedding::DOUBLE[], c.v), 6) AS similarity
 FROM embeddings e JOIN cent c ON c.query_id = CAST(e.label AS VARCHAR)"""
-_RELATED = """SELECT t.repo_id || '|' || t.file || '|' || t.r AS query_id, 'function or class named ' || t.symbol_name AS qt,
-  t.repo_id AS scope FROM (
-    SELECT e.*, row_number() OVER (PARTITION BY e.repo_id ORDER BY entry_kind, ord) AS r FROM entries e
-    JOIN (SELECT repo_id, min(path) AS file FROM files GROUP BY 1) g ON g.repo_id = e.repo_id AND g.file = e.file) t
-  WHERE r <= 5"""
+_RELATED = """SELECT repo_id || '|' || file || '|' || r AS query_id, 'function or class named ' || symbol_name AS qt,
+  repo_id AS scope, file AS target, r FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, file ORDER BY entry_kind, ord) AS r FROM entries) WHERE r <= 5"""
 O["related_symbols"] = _with(*_ALL, _search(_RELATED, 5, scoped=True)) + """
-SELECT h.repo_id, h.query_id, split_part(h.query_id, '|', 2) AS target, h.id, h.rank FROM hits h
-WHERE h.file <> split_part(h.query_id, '|', 2)"""
+SELECT h.repo_id, h.query_id, q.target, h.id, h.rank FROM hits h JOIN q ON q.query_id = h.query_id WHERE h.file <> q.target"""
 _USAGES = _with(*_ALL, _search(_one_query("hot_gear", "function or class named hot_gear"), 10)) + """, usages AS (
 SELECT repo_id, 'definition' AS kind, symbol_id AS id, type AS detail FROM symbols WHERE contains(lower(name), 'hot_gear')
 UNION ALL SELECT repo_id, 'similar', id, CAST(rank AS VARCHAR) FROM hits
@@ -630,8 +651,8 @@ SELECT repo_id, id, text FROM entries WHERE entry_kind = 0"""
 O["file_text"] = _E + "SELECT repo_id, file AS path, text FROM entries WHERE entry_kind = 1"
 O["build_embedding_index"] = _with(*_ALL) + """SELECT e.repo_id, e.symbol_type, count(DISTINCT e.id) AS n, count(*) AS filled
 FROM entries e JOIN vec v ON v.repo_id = e.repo_id AND v.id = e.id GROUP BY ALL"""
-O["similar_symbols"] = _with(*_ALL, _search(
-    "SELECT DISTINCT p_name AS query_id, 'function or class named ' || p_name AS qt FROM part", 5)) + """
+O["similar_symbols"] = _with(*_ALL, _search("""SELECT DISTINCT repo_id || '|' || name AS query_id, 'function or class named ' || name AS qt,
+  repo_id AS scope FROM symbols""", 5, scoped=True)) + """
 SELECT query_id, repo_id, id, rank, round(similarity, 6) AS similarity FROM hits"""
 O["pattern_query"] = _with(*_ALL, _search(_many(list(fixed.PATTERN_QUERIES)), 30), _context(15)) + """
 SELECT query_id, repo_id, file_rank - 1 AS n, file AS path, hits FROM ranked"""
@@ -691,12 +712,14 @@ _CHAIN = [
     f"s5 AS (SELECT *, CASE WHEN ext IN ('.ts', '.tsx') THEN {_TY.format('c3')} ELSE c3 END AS c4 FROM s4)",
     f"s6 AS (SELECT *, {_TE.format('c4')} AS c5 FROM s5)",
     f"s7 AS (SELECT *, {_closed('c5')} AS c6 FROM s6)",
-    f"repaired AS (SELECT *, {_TC.format('c6')} AS fixed_content FROM s7 WHERE ext IN ('.js', '.jsx', '.ts', '.tsx'))",
+    f"all_repaired AS (SELECT *, {_TC.format('c6')} AS fixed_content FROM s7 WHERE ext IN ('.js', '.jsx', '.ts', '.tsx'))",
+    "repaired AS (SELECT * FROM all_repaired WHERE file_id % 3 <> 0)",
 ]
 O["smart_repair"] = _with(*_CHAIN, kind="broken") + r"""SELECT file_id, fixed_content,
-  'incomplete-object-declaration,' || repeat('missing-semicolon,', n_semi) || 'missing-comma,'
+  CASE WHEN file_id % 8 IN (0, 2) THEN 'incomplete-object-declaration,' ELSE '' END || repeat('missing-semicolon,', n_semi) || 'missing-comma,'
   || CASE WHEN ext IN ('.ts', '.tsx') THEN 'incomplete-type,' ELSE '' END
-  || 'missing-closing-brace,missing-closing-bracket' AS fixes FROM repaired"""
+  || CASE file_id % 8 WHEN 1 THEN 'missing-closing-paren' WHEN 3 THEN 'missing-closing-bracket' ELSE 'missing-closing-brace' END AS fixes
+FROM repaired"""
 O["apply_fixes"] = _with(*_CHAIN, kind="broken") + f""", plain AS (
   SELECT k AS file_id, repo_id, path, {{body}} AS content FROM g WHERE m < 7)
 SELECT p.repo_id, p.path, md5(coalesce(r.fixed_content, p.content)) AS body, r.fixed_content IS NOT NULL AS modified
@@ -705,13 +728,16 @@ O["apply_fixes"] = O["apply_fixes"].replace("{body}", _BODY.replace("STRING_T",
 O["validate_fix"] = _with(*_CHAIN, kind="broken") + """SELECT f.file_id,
   len(string_split(r.fixed_content, chr(10))) <= len(string_split(f.content, chr(10))) * 1.1 AND """ + " AND ".join(
     f"abs({_n(c, 'r.fixed_content')} - {_n(c, 'f.content')}) <= 3" for c in "{}[]()"
-) + " AS valid FROM files f JOIN repaired r ON r.file_id = f.file_id"
+) + " AS valid FROM files f JOIN all_repaired r ON r.file_id = f.file_id"
 
 # -- contexts as text, focused contexts, reports
-O["index_rebuild"] = f"""SELECT * FROM ({_E} SELECT repo_id, symbol_type, count(*) AS n FROM entries
-  WHERE NOT starts_with(repo_id, 'org2/') GROUP BY ALL)
-UNION ALL SELECT * FROM ({_with(_FILES, _SYMBOLS_RAW, _SYMBOLS, _META, _ENTRIES, kind="extended")}
-  SELECT repo_id, symbol_type, count(*) AS n FROM entries WHERE starts_with(repo_id, 'org2/') GROUP BY ALL)"""
+_other = lambda where, numbers="": f"""SELECT repo_id, symbol_type, count(*) AS n{numbers} FROM entries WHERE {where} GROUP BY ALL"""
+_XE = _with(_FILES, _SYMBOLS_RAW, _SYMBOLS, _META, _ENTRIES, kind="extended")
+O["index_rebuild"] = f"""SELECT * FROM ({_E} {_other("NOT starts_with(repo_id, 'org2/')")})
+UNION ALL SELECT * FROM ({_XE} {_other("starts_with(repo_id, 'org2/') AND NOT ends_with(repo_id, '3')")})"""
+_numbers = f", CAST(count(*) * {fixed.VECTOR_DIM} AS BIGINT) AS numbers"
+O["index_build_missing"] = f"""SELECT * FROM ({_E} {_other("regexp_matches(repo_id, '^org[01]/')", _numbers)})
+UNION ALL SELECT * FROM ({_XE} {_other("NOT regexp_matches(repo_id, '^org[01]/')", _numbers)})"""
 _TEXT = """symbol_text AS (
   SELECT query_id, repo_id, file, string_agg('  - ' || symbol_name || ' (' || symbol_type || ') at line ' || line
     || coalesce(chr(10) || '    Doc: ' || nullif(documentation, ''), '')
@@ -780,17 +806,24 @@ O["build_prompts"] = _RENDERED + f"""SELECT repo_id, md5(p) AS prompt, CAST(ceil
   SELECT repo_id, 'Review the repository ' || repo_id || '.' || chr(10) || chr(10) || text || chr(10) || chr(10)
     || 'The context lists the files and symbols most relevant to the review. Suggest only changes that matter, weigh them by relevance, and say so when none is needed.'
     || chr(10) || 'Answer with JSON of this shape:' || chr(10) || '{_shape}' AS p FROM rendered)"""
-O["focused_context"] = _E + """, target AS (SELECT repo_id, min(path) AS file FROM files GROUP BY 1),
-own AS (SELECT e.*, row_number() OVER (PARTITION BY e.repo_id ORDER BY e.entry_kind, e.ord) AS r
-  FROM entries e JOIN target t ON t.repo_id = e.repo_id AND t.file = e.file),
+O["focused_context"] = _with(*_ALL, _search(_RELATED, 5, scoped=True)) + """, own AS (
+  SELECT e.*, row_number() OVER (PARTITION BY e.repo_id, e.file ORDER BY e.entry_kind, e.ord) AS r FROM entries e),
 held_lines AS (
-  SELECT f.repo_id, o.r, n FROM (SELECT f.repo_id, unnest(range(1, len(string_split(f.content, chr(10))) + 1)) AS n
-    FROM files f JOIN target t ON t.repo_id = f.repo_id AND t.file = f.path) f
-  JOIN own o ON o.repo_id = f.repo_id AND o.r <= 5 AND o.line > 0 AND abs(f.n - o.line) <= 5
-  QUALIFY row_number() OVER (PARTITION BY f.repo_id, n ORDER BY o.r) = 1)
-SELECT t.repo_id, t.file AS path, m.language, (SELECT count(*) FROM own o WHERE o.repo_id = t.repo_id) AS n_symbols,
-  (SELECT count(DISTINCT h.r) FROM held_lines h WHERE h.repo_id = t.repo_id) AS n_snippets
-FROM target t JOIN meta m ON m.repo_id = t.repo_id AND m.path = t.file"""
+  SELECT f.repo_id, f.path, o.r, n FROM (SELECT repo_id, path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM files) f
+  JOIN own o ON o.repo_id = f.repo_id AND o.file = f.path AND o.r <= 5 AND o.line > 0 AND abs(f.n - o.line) <= 5
+  QUALIFY row_number() OVER (PARTITION BY f.repo_id, f.path, n ORDER BY o.r) = 1),
+rel AS (
+  SELECT q.scope AS repo_id, q.target AS path, string_agg(h.id, ', ' ORDER BY q.r, h.rank) AS related
+  FROM hits h JOIN q ON q.query_id = h.query_id WHERE h.file <> q.target GROUP BY ALL),
+dep AS (SELECT repo_id, src_file AS path, string_agg(dst, ', ' ORDER BY ord) AS dependencies FROM edges WHERE type = 'imports' GROUP BY ALL),
+n_own AS (SELECT repo_id, file AS path, least(count(*), 50) AS n FROM own GROUP BY ALL),
+n_snip AS (SELECT repo_id, path, count(DISTINCT r) AS n FROM held_lines GROUP BY ALL)
+SELECT m.repo_id, m.path, m.language, true AS known, o.n AS n_symbols, coalesce(s.n, 0) AS n_snippets,
+  coalesce(d.dependencies, '') AS dependencies, coalesce(r.related, '') AS related
+FROM meta m JOIN n_own o ON o.repo_id = m.repo_id AND o.path = m.path LEFT JOIN n_snip s ON s.repo_id = m.repo_id AND s.path = m.path
+LEFT JOIN dep d ON d.repo_id = m.repo_id AND d.path = m.path LEFT JOIN rel r ON r.repo_id = m.repo_id AND r.path = m.path
+UNION ALL
+SELECT DISTINCT repo_id, 'src/gone.js', 'unknown', false, 0, NULL::BIGINT, '', '' FROM files"""
 O["review_report"] = _with(*_CHAIN, kind="broken") + f""", all_files AS (
   SELECT k AS file_id, repo_id, path FROM g WHERE m < 7),
 latest AS (SELECT repo_id, max(file_id) % 4 AS f FROM all_files GROUP BY 1),
@@ -806,10 +839,11 @@ UNION ALL SELECT repo_id, 2, 0, '## Syntax Fixes Applied' || chr(10) || chr(10)
   CASE WHEN count(*) > 1 THEN ' files' ELSE ' file' END || ' that did not parse:' FROM b GROUP BY repo_id
 UNION ALL SELECT repo_id, 3, row_number() OVER (PARTITION BY repo_id ORDER BY file_id),
   (row_number() OVER (PARTITION BY repo_id ORDER BY file_id)) || '. **' || path || '**' || chr(10)
-  || '   - Fixed incomplete object literal after export declaration' || repeat(chr(10) || '   - missing-semicolon', n_semi)
+  || array_to_string(list_value(CASE WHEN file_id % 8 IN (0, 2) THEN '   - Fixed incomplete object literal after export declaration' END,
+    repeat('   - missing-semicolon' || chr(10), n_semi - 1) || '   - missing-semicolon'), chr(10))
   || chr(10) || '   - Added missing commas in object literals'
   || CASE WHEN ext IN ('.ts', '.tsx') THEN chr(10) || '   - Added default "any" type for incomplete annotations' ELSE '' END
-  || chr(10) || '   - missing-closing-brace' || chr(10) || '   - missing-closing-bracket' FROM b
+  || chr(10) || '   - missing-closing-' || CASE file_id % 8 WHEN 1 THEN 'paren' WHEN 3 THEN 'bracket' ELSE 'brace' END FROM b
 UNION ALL SELECT repo_id, 4, 0, '## Code Improvements' FROM latest
 UNION ALL SELECT repo_id, 5, row_number() OVER (PARTITION BY repo_id ORDER BY ord),
   (row_number() OVER (PARTITION BY repo_id ORDER BY ord)) || '. **' || file || '**' || chr(10) || '   - ' || description FROM changed

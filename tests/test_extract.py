@@ -99,13 +99,18 @@ def test_generic_patterns_take_the_first_match(files):
 
 
 def test_broken_js_is_repaired_or_read_by_patterns(files):
-    repaired = "// Doc\nfunction f(a) {\n  return [a\n}\nlet v = 1;\n"
+    repaired = "// Doc\nfunction f(a) {\n  return [a]\nlet v = 1;\n"
     hopeless = "function f(a) {\nexport const x = 1;\n"
+    crossed = "function f(a) {\n  return [a\n}\nlet v = 1;\n"  # a bracket at the end of the file would not nest
     got = [
         (r.file, r.extractor, r.type, r.name, r.documentation, r.signature)
-        for r in symbols(files, {"a.js": repaired, "b.js": hopeless})
+        for r in symbols(files, {"a.js": repaired, "b.js": hopeless, "c.js": crossed})
+    ]
+    assert got == [
+        ("a.js", "js", "function", "f", None, None),
+        ("b.js", "generic", "function", "f", None, None),
+        ("c.js", "generic", "function", "f", None, None),
     ]
-    assert got == [("a.js", "js", "function", "f", None, None), ("b.js", "generic", "function", "f", None, None)]
 
 
 def test_brackets_in_strings_and_comments_do_not_break_a_file(files):
@@ -161,3 +166,33 @@ def test_js_nested_parameters_and_declarators(files):
         ("class", "K", None),
         ("method", "K.m", ["a", "b"]),
     ]
+
+
+def test_js_declarations_over_several_lines(files):
+    deep = "q(w(e(r(t(y(u(i(o(p(1))))))))))"
+    text = (
+        f"function d(a = {deep},\n  b) {{\n}}\n"
+        "let a = 1,\n  b = 2,\n  c = function () {\n    let hidden = 1;\n  },\n  d = s => /[(,]/.test(s);\n"
+        "class K {\n  /** Doc. */\n  wide(a,\n    b = {}) {\n  }\n  private static async load(x: Map<string, number>, y): Promise<Array<number>> {\n  }\n"
+        "  field = (z) => {\n  }\n  get size() { return 1 }\n}\n"
+        "let one = 1; let two = 2;\n  function indented() {}\nconst { gone } = o,\n  stays = 1\n"
+        "`\nfunction text() {}\n`;\n/*\nlet comment = 1;\n*/\nif (x) {\nlet inner = 1;\n}\n"
+    )
+    got = [(r.type, r.name, r.params, r.line, r.documentation) for r in symbols(files, {"a.ts": text})]
+    assert got == [
+        ("function", "d", ["a", "b"], 1, None),
+        ("variable", "a", None, 4, None),
+        ("variable", "b", None, 4, None),
+        ("variable", "c", None, 4, None),
+        ("variable", "d", None, 4, None),
+        ("class", "K", None, 10, None),
+        ("method", "K.wide", ["a", "b"], 12, "Doc."),
+        ("method", "K.load", ["x", "y"], 15, None),
+        ("method", "K.size", [], 19, None),
+        ("variable", "one", None, 21, None),
+        ("variable", "two", None, 21, None),
+        ("function", "indented", [], 22, None),
+        ("variable", "stays", None, 23, None),
+    ]
+    load = [r for r in symbols(files, {"a.ts": text}) if r.name == "K.load"][0]
+    assert load.is_async and load.is_static

@@ -1,7 +1,10 @@
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import js
 from corpusloom.operators import lines, lint, repair
 
 
@@ -99,12 +102,28 @@ def test_adjacent_lines(files):
     assert [(r.line_no, r.line, r.next_line) for r in rows] == [(1, "x", "y"), (2, "  y ", "z"), (3, "z", None)]
 
 
-def test_regex_literals_are_not_code(spark, files):
-    valid = ["const re = /[(]/;\n", "x.split(/['\"(]/g)\n", "return /\\(/\n", "f(a, /[/(]/)\n", "const e = <A b={c} />;\n", "y = (a) / b / (c)\n"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(valid)], "i int, t string").select("i", lint.parses(F.col("t")).alias("ok"))
-    assert [r.ok for r in rows.orderBy("i").collect()] == [True] * len(valid)
-    assert not one(spark, "a = f(/x/\n", lint.parses(F.col("t")))[0]
-    assert repair.smart_repair(files({"a.js": valid[0]})).count() == 0
+VALID = [
+    "const re = /[(]/;\n", "x.split(/['\"(]/g)\n", "f(a, /[/(]/)\n", "const e = <A b={c} />;\n", "y = (a) / b / (c)\n",
+    "export const f = s => /[(]/.test(s);\n", "ys.filter(y => /\\(/.test(y))\n", "typeof /x(/\n", "switch (x) { case /\\{/.test(x): break }\n",
+    "const t = `a${f(`b${1}(`)}{`;\n", "const p = <p title='('>it's ( {y.map(z => <b key={z}>{z} )</b>)}</p>;\n", "const q = <></>;\n",
+    "if (a) /x(/.test(b)\n", "a = b++ / 2; c = {a: 1} / 2 / (d)\n", "for (let i = 0; i < 2; i++) {}\n", "#!/usr/bin/env node (\nlet a\n",
+    "let m: Map<string, (a: {b: string}) => void> = new Map<string, Array<number>>();\n", "const g = <T,>(x: T) => x\n",
+]
+BROKEN = ["function f() {\n", "a = f(/x/\n", "(]\n", "}\n", "`abc", "/* x", "a = [1;]\n", "function f() {\nimport x from 'y'\n}\n"]
+
+
+def test_brackets_in_literals_and_markup_are_not_code(files):
+    assert [js.scan_text(t)["ok"] for t in VALID] == [True] * len(VALID)
+    assert [js.scan_text(t)["ok"] for t in BROKEN] == [False] * len(BROKEN)
+    given = files({f"a{i}.tsx": t for i, t in enumerate(VALID)} | {"b.js": "f(a"})
+    assert [r.path for r in repair.smart_repair(given).collect()] == ["b.js"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "a<", "'", "/", "`${", "(", "\\", "/*", '"\\\n', "<a>", "{", "x = /[", "x = /[a]", "= /[a]b["])
+def test_scan_time_follows_the_length(piece):
+    started = time.perf_counter()
+    js.scan_text(piece * (100_000 // len(piece)))
+    assert time.perf_counter() - started < 5
 
 
 def test_line_delta_of_many_repeated_lines(spark):

@@ -24,9 +24,12 @@ def test_embedding_is_a_unit_vector(spark):
     assert set(rows[1]) == {0.0}
 
 
-@pytest.mark.parametrize("block_bytes", [64 * 1024 * 1024, 1024])
+@pytest.mark.parametrize("block_bytes", [8 * 1024 * 1024, 1024])
 def test_search_equals_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(search, "MAX_BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(search, "TILE_ROWS", 90)
+    monkeypatch.setattr(search, "TILE_QUERIES", 7)
+    monkeypatch.setattr(search, "CHUNK", 3)
     rng = np.random.default_rng(5)
     vectors = rng.integers(-2, 3, (600, 8)).astype(float)
     repos = ["hot" if i % 3 else f"r{i % 5}" for i in range(600)]
@@ -65,7 +68,7 @@ def test_search_refuses_other_lengths(spark):
 def test_running_total_equals_window(spark):
     rows = [("hot" if i % 3 else "b", i, (i * 7) % 11) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
-    got = {(r.k, r.o): r.t for r in ranking.running_total(df, ["k"], "o", "v", "t", span=16).collect()}
+    got = {(r.k, r.o): r.t for r in ranking.running_total(df, ["k"], "o", "v", "t").collect()}
     sums, want = {}, {}
     for k, o, v in rows:
         sums[k] = sums.get(k, 0) + v
@@ -75,6 +78,19 @@ def test_running_total_equals_window(spark):
     assert sorted((r.k, r.o) for r in kept) == sorted(x for x, t in want.items() if t <= 100)
 
 
+def test_running_total_of_one_key_with_sparse_order(spark):
+    rows = [("one", i * i * 10**12 - 10**15, i % 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    total = ranking.running_total(df, ["k"], "o", "v", "t")
+    got = [r.t for r in total.orderBy("o").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == list(np.cumsum([v for _, _, v in rows]))
+    plan = total._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert len(windows) == 2 and sum("_range" in w.split("], [")[1] for w in windows) == 1
+
+
 def _hits(spark, lines, path="a.js"):
     rows = [("q", "o/r", path, i + 1, f"s{i}", "function" if l else "file", l, 0.5, None, None) for i, l in enumerate(lines)]
     return spark.createDataFrame(
@@ -135,3 +151,60 @@ def test_render_and_compact(spark, files):
     assert [len(small[c]) for c in ("files", "symbols", "dependencies")] == [5, 20, 7]
     assert all(len(f.snippets) == 2 for f in small["files"]) and small.summary.total_files == 7
     assert len(ctx.compact_context(full, 10**6).first()["files"]) == 7
+
+
+def test_names_meet_texts_by_pieces(spark):
+    from corpusloom.operators.containing import containing
+
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abé/"), n))
+    names = {("r", word(int(rng.integers(1, 6)))) for _ in range(60)} | {("r", ""), ("s", "ab"), ("t", "x")}
+    texts = {(str(rng.choice(["r", "s"])), word(int(rng.integers(0, 30)))) for _ in range(200)}
+    got = containing(spark.createDataFrame(sorted(names), "repo_id string, name string"), spark.createDataFrame(sorted(texts), "repo_id string, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((r, n, t) for r, n in names for s, t in texts if r == s and n in t)
+
+
+def _corpus(spark, files, contents):
+    from corpusloom.plans import graph_build
+
+    given = None
+    for repo, texts in contents.items():
+        part = files(texts, repo)
+        given = part if given is None else given.unionByName(part)
+    return graph_build.sources(spark, given), given
+
+
+def test_focused_context_of_many_targets(spark, files, monkeypatch):
+    from corpusloom.plans import graph_build
+
+    monkeypatch.setattr(search, "MAX_BLOCK_BYTES", 1024)
+    contents = {
+        repo: {f"f{i}.js": f"import {{ x{i} }} from './m';\nfunction load{i}(a) {{\n}}\nfunction save{i}(a) {{\n}}\n" for i in range(6)}
+        for repo in ("o/1", "o/2")
+    }
+    (idx, meta, edges, _), given = _corpus(spark, files, contents)
+    targets = given.select("repo_id", F.col("path").alias("file")).unionByName(
+        spark.createDataFrame([("o/1", "gone.js")], "repo_id string, file string")
+    )
+    rows = {(r.repo_id, r.query_id): r for r in graph_build.focused_context(targets, idx, meta, edges, given).collect()}
+    assert len(rows) == 13
+    gone = rows["o/1", "gone.js"]
+    assert not gone.known and gone["files"][0].language == "unknown" and gone["files"][0].snippets is None
+    assert (gone["files"][0].symbols, gone.dependencies, gone.related) == ([], [], [])
+    one = rows["o/2", "f3.js"]
+    assert one.known and [d.symbol for d in one.dependencies] == ["x3"] and len(one["files"][0].snippets) == 1
+    assert one.related and all(r.file != "f3.js" for r in one.related)
+    assert [(r.entry_rank, r["rank"]) for r in one.related] == sorted((r.entry_rank, r["rank"]) for r in one.related)
+
+
+def test_rendering_moves_no_bodies(spark, files):
+    from corpusloom.plans import graph_build
+
+    contents = {"o/1": {f"f{i}.js": "import { x } from './m';\nfunction g() {}\n" * 3 for i in range(12)}}
+    (idx, meta, edges, _), given = _corpus(spark, files, contents)
+    text = ctx.render_context(graph_build.review_context(spark, idx, meta, edges, given))
+    assert text.count() == 1
+    text.collect()
+    plan = text._jdf.queryExecution().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line and "content#" in line]
+    assert not moved and "CartesianProduct" not in plan

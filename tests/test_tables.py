@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -7,7 +8,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import changes, memory, review
 from corpusloom.plans import inputs
 from corpusloom.sources import corpus, tables
-from corpusloom.streaming.memory import compact_memory, read_memory, start_memory_stream
+from corpusloom.streaming.memory import read_memory, start_memory_stream
 
 
 def test_tree_scan_rules(spark, tmp_path):
@@ -49,14 +50,60 @@ def test_index_save_load_delete_rebuild(spark, tmp_path):
     root = str(tmp_path / "index")
     schema = StructType.fromDDL("id string, repo_id string")
     make = lambda rows: spark.createDataFrame(rows, schema)
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "repo_id string")
     assert tables.load_index(spark, root, schema).count() == 0
+    tables.delete_index(spark, root, named("a/b"), schema)
     tables.save_index(make([("1", "a/b"), ("2", "a/b"), ("3", "a_b"), ("4", "x=y %/z")]), root)
-    read = lambda: sorted((r.repo_id, r.id) for r in tables.load_index(spark, root, schema).collect())
+    read = lambda *repos: sorted((r.repo_id, r.id) for r in tables.load_index(spark, root, schema, named(*repos) if repos else None).collect())
     assert read() == [("a/b", "1"), ("a/b", "2"), ("a_b", "3"), ("x=y %/z", "4")]
+    assert read("a_b", "not there") == [("a_b", "3")]
     tables.rebuild_index(make([("9", "a/b")]), root)
     assert read() == [("a/b", "9"), ("a_b", "3"), ("x=y %/z", "4")]
-    tables.delete_index(spark, root, ["x=y %/z", "not there"])
+    tables.delete_index(spark, root, named("x=y %/z", "not there"), schema)
     assert read() == [("a/b", "9"), ("a_b", "3")]
+    tables.rebuild_index(make([("5", "new")]), root, named("new", "a_b"))
+    assert read() == [("a/b", "9"), ("new", "5")]
+
+
+def test_index_changes_rewrite_only_their_buckets_and_commit_once(spark, tmp_path):
+    root = str(tmp_path / "index")
+    schema = StructType.fromDDL("id string, repo_id string")
+    rows = [(str(i), f"o/{i}") for i in range(200)]
+    tables.save_index(spark.createDataFrame(rows, schema), root)
+    first = tables._manifest(spark, root)
+    tables.rebuild_index(spark.createDataFrame([("new", "o/7")], schema), root)
+    second = tables._manifest(spark, root)
+    changed = [b for b in second["held"] if first["held"].get(b) != second["held"][b]]
+    assert len(changed) == 1 and len(os.listdir(f"{root}/version=2")) <= 4
+    with pytest.raises(Exception, match="exist"):
+        tables._commit(spark, root, second)
+    # A writer that fails before its manifest leaves the table as it was.
+    tables._write_buckets(spark.createDataFrame([("lost", "o/8")], schema), f"{root}/version=3", tables.BUCKETS)
+    held = {r.repo_id: r.id for r in tables.load_index(spark, root, schema).collect()}
+    assert held == {**{r: i for i, r in rows}, "o/7": "new"}
+    tables.delete_index(spark, root, spark.createDataFrame([(f"o/{i}",) for i in range(0, 200, 2)], "repo_id string"), schema)
+    tables.vacuum_index(spark, root, keep=1)
+    assert sorted(r.repo_id for r in tables.load_index(spark, root, schema).collect()) == sorted(f"o/{i}" for i in range(1, 200, 2))
+    assert len(os.listdir(f"{root}/manifests")) <= 2
+
+
+def test_missing_repositories_are_built_and_stored(spark, tmp_path):
+    from corpusloom.operators import index
+
+    root = str(tmp_path / "index")
+    schema = StructType.fromDDL("id string, repo_id string")
+    tables.save_index(spark.createDataFrame([("old", "a")], schema), root)
+    files = spark.createDataFrame([("x", "a"), ("y", "b"), ("z", "c")], schema)
+    asked = []
+
+    def build(missing):
+        asked.append(sorted(r.repo_id for r in missing.collect()))
+        return missing
+
+    for _ in range(2):
+        got = sorted((r.repo_id, r.id) for r in index.index_build_missing(spark, root, files, build, schema).collect())
+        assert got == [("a", "old"), ("b", "y"), ("c", "z")]
+    assert asked == [["b", "c"], []]
 
 
 def test_urls(spark):
@@ -109,20 +156,27 @@ def test_memory_keeps_the_newest_fifty(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    batches = [[("a", 3 * b + i) for i in range(3)] + [("b", b)] for b in range(4)]
+    source, table, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), tmp_path / "cp"
+    batches = [[("a", 3 * b + i) for i in range(3)] + [("b", b)] for b in range(11)]
     everything = None
+    held = lambda: sorted(tuple(r) for r in read_memory(spark, table, everything.schema, keep=5).collect())
     for n, rows in enumerate(batches):
         part = spark.createDataFrame(rows, "repo_id string, ord long").coalesce(1)
         part.write.mode("append").parquet(source)
         everything = part if everything is None else everything.unionByName(part)
-        stream = spark.readStream.schema(part.schema).parquet(source)
-        start_memory_stream(stream, table, str(tmp_path / "cp"), keep=5).awaitTermination()
-    want = sorted(tuple(r) for r in memory.newest(everything, n=5).drop("rank").collect())
-    got = sorted(tuple(r) for r in read_memory(spark, table, everything.schema, keep=5).collect())
-    assert got == want and len(os.listdir(table)) == 4
-    compact_memory(spark, table, str(tmp_path / "t2"), everything.schema, keep=5)
-    assert sorted(tuple(r) for r in read_memory(spark, str(tmp_path / "t2"), everything.schema, keep=5).collect()) == want
+        run = lambda: start_memory_stream(
+            spark.readStream.schema(part.schema).parquet(source), table, str(checkpoint), keep=5, merge_every=3
+        ).awaitTermination()
+        run()
+        want = sorted(tuple(r) for r in memory.newest(everything, n=5).drop("rank").collect())
+        assert held() == want
+        # Forget that the batch was done: it runs again, merges again, and nothing changes.
+        for name in (f"{n}", f".{n}.crc"):
+            (checkpoint / "commits" / name).unlink(missing_ok=True)
+        run()
+        assert held() == want
+    folders = sorted(os.listdir(table))
+    assert len([f for f in folders if f.startswith("batch=")]) <= 5 and [f for f in folders if f.startswith("base=")] == ["base=5", "base=8"][-2:]
 
 
 def test_same_result_for_any_shuffle_width(spark):
