@@ -65,9 +65,10 @@ def start_memory_stream(
         if not parts[0].endswith(f"/base={batch_id}"):
             merged = newest(spark.read.schema(schema).parquet(*parts), key, order, keep).drop("rank")
             merged.write.mode("overwrite").parquet(f"{table}/base={batch_id}")
-        for kind in ("base", "batch"):
+        before = batch_id - merge_every  # the base that this one replaces; it and its readers stay until the next merge
+        for kind, last in (("base", before - 1), ("batch", before)):
             for old in _folders(spark, table, kind):
-                if old <= batch_id - merge_every:
+                if old <= last:
                     _delete(spark, f"{table}/{kind}={old}")
 
     return (
