@@ -13,9 +13,11 @@ they come.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ TASK_PIECES, FEWER = 20_000, 8
 #: Fixed value: how a byte-level vocabulary splits a text before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
+#: White space in a row from which the fast split isn't used.
+LONG_RUN = 1 << 16
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class Encoder:
@@ -48,7 +53,15 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path.replace(".tiktoken", ".json"))
+
     def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
