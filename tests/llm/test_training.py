@@ -135,6 +135,82 @@ def test_classifier_tells_held_out_rows_apart(spark):
     assert not quality.fit(docs, labels.limit(0)).any()
 
 
+def test_near_duplicate_recall_against_all_pairs(spark):
+    """Whole table of the hundredth scale: of all links, at least 99 of 100 end in one class, and no class is wider than its links."""
+    rows = prepared(spark).read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets, n = _sets(rows), len(rows)
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    weight = {g: min(1.0, max(1e-9, math.log(n / len(h)) / math.log(10))) for g, h in holders.items()}
+    total = [sum(v * weight[g] for g, v in s.items()) for s in sets]
+    parent, links = list(range(n)), 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = []
+    for i, s in enumerate(sets):
+        for j in {j for g in s for j in holders[g] if j < i and min(total[i], total[j]) >= 0.8 * max(total[i], total[j])}:
+            t = sets[j]
+            shared = sum(min(v, t[g]) * weight[g] for g, v in s.items() if g in t)
+            if shared >= 0.8 * (total[i] + total[j] - shared):
+                pairs.append((i, j))
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    empty = [i for i, s in enumerate(sets) if not s]
+    for i in empty[1:]:
+        parent[find(i)] = find(empty[0])
+    got = {r.doc_id: r.class_id for r in minhash.classes(prepared(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    found = sum(got[rows[i].doc_id] == got[rows[j].doc_id] for i, j in pairs)
+    assert len(pairs) > 50 and found >= 0.99 * len(pairs)
+    for i, r in enumerate(rows):
+        assert find(i) == find(next(k for k, x in enumerate(rows) if x.doc_id == got[r.doc_id]))
+
+
+def test_common_shingles_are_exact_however_the_rows_are_dealt(spark):
+    rng = random.Random(5)
+    texts = [" ".join(["one two three four five"] * (k % 5 != 0) + [rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 60))]) for k in range(400)]
+    sets = _sets([type("Row", (), {"text": t}) for t in texts])
+    held = Counter(g for s in sets for g in s)
+    expected = sorted(round(math.log(400 / k) / math.log(10), 9) for k in held.values() if k > 40)
+    for parts in (1, 7, 200):
+        df = prepared(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        assert sorted(round(v, 9) for v in minhash.common_shingles(df).values()) == expected
+
+
+def test_bound_never_rules_out_a_link(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(90)]
+    texts = [None, "", "a", "a b c d e f"]
+    for k in range(60):
+        words = list(base)
+        for _ in range(k % 12):
+            words[rng.randrange(90)] = rng.choice("klmno") * 3
+        texts.append(" ".join(words * (1 + k % 2)))
+    df = prepared(spark).createDataFrame(list(enumerate(texts)), "id long, text string")
+    held = minhash.weighted_sets(df, {}).cache()
+    sets = {r.id: (np.array(r.shingles, np.int64).view(np.uint64), np.array(r.weights if r.weights else [1.0] * len(r.shingles))) for r in held.collect()}
+    both = minhash._marks(held, "a", "a").join(minhash._marks(held, "b", "b"), F.col("a") < F.col("b"))
+    kept = {(r.a, r.b) for r in both.where(minhash._may_reach("a", "b", 0.8)).select("a", "b").collect()}
+    near = {(a, b) for a in sets for b in sets if a < b and minhash.similarity(sets[a], sets[b]) >= 0.8}
+    assert near - {(0, 1)} <= kept and len(kept) < 2 * len(near) + 50
+
+
+@pytest.mark.parametrize("kind", [" ", "\n", "\t ", "\u00a0", "a", "7", "-", "é"])
+def test_long_runs_are_encoded_like_the_named_file(kind):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path().replace(".tiktoken", ".json"))
+    text = "start" + kind * (1_000_000 if kind.isspace() else 100_000) + "x end"
+    assert np.frombuffer(packing.Encoder(tokenizer_path()).encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
