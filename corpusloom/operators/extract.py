@@ -175,6 +175,7 @@ def _row(line: Column, text: Column, above: Column, below: Column, owner: Column
 
 _NO_LINES = "cast(null as array<string>)"
 _NO_NAME = "cast(null as string)"
+_NO_SYMBOLS = "cast(array() as array<struct<" + ", ".join(f"{k}: {t}" for k, t in SYMBOL_FIELDS.items()) + ">>)"
 
 
 @built_once
@@ -197,13 +198,12 @@ def _first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[_ref(text, p) for p in patterns])
 
 
-@built_once
-def _what() -> Column:
+def _what(d: Column) -> Column:
     """The kind of a declaration row; the first rule that fits wins."""
-    t, ts, full = F.col("_d.text"), F.col("_ts"), ~F.col("_limited")
+    t, ts, full = d["text"], F.col("_ts"), ~F.col("_limited")
     js = (
         F.when(
-            F.col("_d.owner").isNotNull(),
+            d["owner"].isNotNull(),
             F.when(full & t.rlike(_JS_METHOD) & ~F.regexp_extract(t, _JS_METHOD, 3).isin(_NOT_METHODS), "method"),
         )
         .when(t.rlike(r"^import\b"), "import")
@@ -223,16 +223,15 @@ def _what() -> Column:
     return F.when(F.col("extractor") == "js", js).when(F.col("extractor") == "python", py).otherwise(F.lit("generic"))
 
 
-@built_once
-def _js_names() -> Column:
-    t, what = F.col("_d.text"), F.col("_what")
+def _js_names(d: Column, what: Column) -> Column:
+    t = d["text"]
     clause = F.regexp_extract(t, r"(?s)^import\s+(.*?)\s*\bfrom\s*['\"]", 1)
     declared = _ref(t, _JS_DEFAULT_DECL)
     ident = _ref(t, _JS_DEFAULT_NAME)
     one = lambda c: F.array(c)
     return (
         F.when(what == "import", import_locals(clause))
-        .when(what == "method", one(F.concat(F.col("_d.owner"), F.lit("."), F.regexp_extract(t, _JS_METHOD, 3))))
+        .when(what == "method", one(F.concat(d["owner"], F.lit("."), F.regexp_extract(t, _JS_METHOD, 3))))
         .when(what == "function", one(F.regexp_extract(t, _JS_FUNCTION, 2)))
         .when(what == "class", one(F.regexp_extract(t, _JS_CLASS, 1)))
         .when(what == "interface", one(F.regexp_extract(t, _TS_INTERFACE, 1)))
@@ -250,9 +249,8 @@ def _js_names() -> Column:
     )
 
 
-@built_once
-def _py_names() -> Column:
-    t, what = F.col("_d.text"), F.col("_what")
+def _py_names(d: Column, what: Column) -> Column:
+    t = d["text"]
     parts = F.split(F.regexp_extract(t, fixed.PY_IMPORT, 2), ",", -1)
     return (
         F.when(what == "import", F.transform(parts, lambda p: F.substring_index(tx.trim_all(p), " as ", 1)))
@@ -261,26 +259,24 @@ def _py_names() -> Column:
     )
 
 
-@built_once
-def _items() -> Column:
+def _items(d: Column, what: Column) -> Column:
     """``array<struct<type, name>>``: an import or a generic line may hold several symbols."""
-    t, what = F.col("_d.text"), F.col("_what")
+    t = d["text"]
     named = lambda type_, name: F.struct(type_.alias("type"), name.alias("name"))
     generic = F.array(
         named(F.lit("function"), _first_match(t, fixed.GENERIC_FUNCTIONS)),
         named(F.lit("class"), _first_match(t, fixed.GENERIC_CLASSES)),
     )
     type_ = F.when(what == "default", "export").otherwise(what)
-    names = F.when(F.col("extractor") == "js", _js_names()).otherwise(_py_names())
+    names = F.when(F.col("extractor") == "js", _js_names(d, what)).otherwise(_py_names(d, what))
     return F.when(what == "generic", F.filter(generic, lambda x: x["name"].isNotNull())).otherwise(
         F.transform(names, lambda n: named(type_, n))
     )
 
 
-@built_once
-def _symbol_rows(strip_close: bool) -> Column:
+def _symbol_rows(d: Column, what: Column, strip_close: bool) -> Column:
     """``array<struct>`` of the symbols of one declaration row; all but name, type and position is shared."""
-    t, what, full = F.col("_d.text"), F.col("_what"), ~F.col("_limited")
+    t, full = d["text"], ~F.col("_limited")
     is_js, is_py = F.col("extractor") == "js", F.col("extractor") == "python"
     function, method = what == "function", what == "method"
     js_params = F.when(function, F.regexp_extract(t, _JS_FUNCTION, 3)).when(method, F.regexp_extract(t, _JS_METHOD, 4))
@@ -290,7 +286,7 @@ def _symbol_rows(strip_close: bool) -> Column:
     )
     bases = F.when(is_js, _ref(t, _JS_CLASS, 2)).otherwise(_ref(t, r"^class\s+\w+\(\s*([\w.]+)"))
     shared = {
-        "line": F.col("_d.line"),
+        "line": d["line"],
         "params": F.when(is_js, param_names(js_params)).when(
             is_py & function, py_param_names(F.regexp_extract(t, fixed.PY_FUNCTION, 2))
         ),
@@ -299,12 +295,12 @@ def _symbol_rows(strip_close: bool) -> Column:
             method, F.regexp_extract(t, _JS_METHOD, 2) != ""
         ),
         "is_static": F.when(method, F.regexp_extract(t, _JS_METHOD, 1) != ""),
-        "class_name": F.col("_d.owner"),
+        "class_name": d["owner"],
         "kind": F.when(what == "variable", F.regexp_extract(t, _JS_VARIABLE, 1)),
         "exported": F.when(what == "variable", False).when(what == "export", True),
         "is_default": F.when(what == "default", True),
-        "documentation": F.when(documented, js_docstring(F.col("_d.above"), strip_close)).when(
-            is_py & what.isin("function", "class"), py_docstring(F.col("_d.below"))
+        "documentation": F.when(documented, js_docstring(d["above"], strip_close)).when(
+            is_py & what.isin("function", "class"), py_docstring(d["below"])
         ),
         "extends": F.when(what == "class", bases),
     }
@@ -318,12 +314,19 @@ def _symbol_rows(strip_close: bool) -> Column:
             **shared,
             "name": item["name"],
             "type": item["type"],
-            "ord": F.col("_d.line").cast("bigint") * _LINE_STEP + F.col("_d.nth") * _HEAD_STEP + i,
+            "ord": d["line"].cast("bigint") * _LINE_STEP + d["nth"] * _HEAD_STEP + i,
             "signature": signed,
         }
         return F.struct(*[own[k].cast(t).alias(k) for k, t in SYMBOL_FIELDS.items()])
 
-    return F.transform(_items(), row)
+    return F.transform(_items(d, what), row)
+
+
+@built_once
+def _file_symbols(include_methods: bool, strip_close: bool) -> Column:
+    """The symbols of a file as one array, in order; the kind of a declaration is told once."""
+    told = F.transform(_declarations(include_methods), lambda d: F.struct(d.alias("d"), _what(d).alias("what")))
+    return F.flatten(F.transform(told, lambda x: F.coalesce(_symbol_rows(x["d"], x["what"], strip_close), F.expr(_NO_SYMBOLS))))
 
 
 def route_files(files: DataFrame, parity: bool = False) -> DataFrame:
@@ -355,30 +358,40 @@ def route_files(files: DataFrame, parity: bool = False) -> DataFrame:
     return evaluated_once(tried, columns, files.columns)
 
 
-def extract_symbols(
+def file_symbols(
     files: DataFrame, include_methods: bool = True, strip_close: bool = True, parity: bool = False
 ) -> DataFrame:
-    """All symbols of ``files(repo_id, path, content)`` with ``extractor`` and ``language`` columns.
+    """(repo_id, path, extractor, language, size, symbols): one row per file of ``files(repo_id, path, content)``.
 
+    ``symbols`` is an array in order, so that what a file needs of its own symbols is folded in its row, without a shuffle.
     Files may come routed already (see :func:`route_files`).
     """
     routed = files if "extractor" in files.columns else route_files(files, parity)
     ext = F.lower(tx.extension(F.col("path")))
-    rows = (
-        routed.select(
-            "repo_id",
-            F.col("path").alias("file"),
-            "extractor",
-            tx.language(ext).alias("language"),
-            F.col("repaired").alias("_limited"),
-            ext.isin(fixed.TS_EXTENSIONS).alias("_ts"),
-            tx.split_lines(F.col("source")).alias("_lines"),
-            F.col("heads").alias("_heads"),
-        )
-        .withColumn("_d", F.explode(_declarations(include_methods)))
-        .drop("_lines", "_heads")
+    rows = routed.select(
+        "repo_id",
+        "path",
+        "extractor",
+        tx.language(ext).alias("language"),
+        tx.utf16_length(F.col("content")).alias("size"),
+        F.col("repaired").alias("_limited"),
+        ext.isin(fixed.TS_EXTENSIONS).alias("_ts"),
+        tx.split_lines(F.col("source")).alias("_lines"),
+        F.col("heads").alias("_heads"),
     )
-    return rows.withColumn("_what", _what()).select("repo_id", "file", "extractor", "language", F.inline(_symbol_rows(strip_close)))
+    return evaluated_once(rows, {"symbols": _file_symbols(include_methods, strip_close)}, ["repo_id", "path", "extractor", "language", "size"])
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """One row per symbol of :func:`file_symbols`."""
+    return rows.select("repo_id", F.col("path").alias("file"), "extractor", "language", F.inline("symbols"))
+
+
+def extract_symbols(
+    files: DataFrame, include_methods: bool = True, strip_close: bool = True, parity: bool = False
+) -> DataFrame:
+    """All symbols of ``files(repo_id, path, content)`` with ``extractor`` and ``language`` columns."""
+    return exploded(file_symbols(files, include_methods, strip_close, parity))
 
 
 def export_scan(files: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import evaluated_once
 from corpusloom.operators.extract import SYMBOL_FIELDS
 
 
@@ -26,6 +27,57 @@ def symbol_dedup(symbols: DataFrame) -> DataFrame:
     )
 
 
+def with_distinct(rows: DataFrame) -> DataFrame:
+    """``extract.file_symbols`` with ``distinct``: per name the values of the last declaration at the position of the first, in
+    order.  A fold over the sorted symbols of a file in its own row; nothing is shuffled."""
+    keep = rows.columns
+    by_name = F.array_sort(F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["ord"].alias("ord"), s.alias("s"))))
+    rows = evaluated_once(rows, {"_sorted": by_name}, keep)
+    at = F.col("_sorted")
+    starts = F.transform(at, lambda x, i: F.when((i == 0) | (x["name"] != F.get(at, i - 1)["name"]), i))
+    rows = evaluated_once(rows, {"_starts": F.filter(starts, lambda i: i.isNotNull())}, [*keep, "_sorted"])
+
+    def row(start: Column, j: Column) -> Column:
+        last = F.get(at, F.coalesce(F.get("_starts", j + 1), F.size(at)) - 1)["s"]
+        return F.struct(F.get(at, start)["ord"].alias("ord"), *(last[k].alias(k) for k in SYMBOL_FIELDS if k != "ord"))
+
+    return evaluated_once(rows, {"distinct": F.array_sort(F.transform("_starts", row))}, keep)
+
+
+def distinct_symbols(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`symbol_dedup`, from :func:`with_distinct`."""
+    fields = [k for k in SYMBOL_FIELDS if k not in ("name", "ord")]
+    given = rows.select("repo_id", F.col("path").alias("file"), "language", F.inline("distinct"))
+    return given.select("repo_id", tx.symbol_id(F.col("file"), F.col("name")).alias("symbol_id"), "file", "name", "language", *fields, "ord")
+
+
+def _named(symbols: Column, type_: str) -> Column:
+    return F.filter(symbols, lambda s: s["type"] == type_)
+
+
+def metadata_of(rows: DataFrame, **more: Column) -> DataFrame:
+    """The rows of :func:`file_metadata`, from ``extract.file_symbols``, with more columns on demand."""
+    pair = lambda s: F.struct(s["name"].alias("name"), s["from_module"].alias("from_module"))
+    return rows.select(
+        "repo_id",
+        "path",
+        "language",
+        F.size("symbols").alias("symbol_count"),
+        "size",
+        F.transform(_named(F.col("symbols"), "import"), pair).alias("imports"),
+        F.transform(_named(F.col("symbols"), "export"), lambda s: F.struct(s["name"].alias("name"))).alias("exports"),
+        *(column.alias(name) for name, column in more.items()),
+    )
+
+
+def hierarchy_of(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`symbol_hierarchy`, from :func:`with_distinct`."""
+    names = lambda t: F.transform(_named(F.col("distinct"), t), lambda s: s["name"])
+    return rows.filter(F.size("distinct") > 0).select(
+        "repo_id", F.col("path").alias("file"), *(names(t).alias(c) for t, c in (("class", "classes"), ("function", "functions"), ("import", "imports"), ("export", "exports")))
+    )
+
+
 def import_edges(symbols: DataFrame) -> DataFrame:
     """``file::name`` to ``module::name``; a bare import points into ``null``."""
     module = F.coalesce("from_module", F.lit("null"))

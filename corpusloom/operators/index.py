@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from corpusloom import fixed
 from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import embed_text
+from corpusloom.operators import graph
 from corpusloom.operators.ranking import top_n
 from corpusloom.sources import tables
 
@@ -44,7 +45,13 @@ def first_n_names(symbols: DataFrame, n: int = fixed.NAMES_PER_FILE) -> DataFram
     )
 
 
-def file_text(meta: DataFrame, symbols: DataFrame) -> DataFrame:
+def names_of(rows: DataFrame, n: int = fixed.NAMES_PER_FILE) -> DataFrame:
+    """The rows of :func:`first_n_names`, from ``graph.with_distinct``; nothing is shuffled."""
+    named = rows.filter(F.size("distinct") > 0)
+    return named.select("repo_id", "path", F.transform(F.slice("distinct", 1, n), lambda s: s["name"]).alias("contains"))
+
+
+def _with_text(described: DataFrame) -> DataFrame:
     """Path, language and the first names of imports, exports and contained symbols; adds ``text``."""
     first = lambda c: F.transform(F.slice(c, 1, fixed.NAMES_PER_FILE), lambda x: x["name"])
     part = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(names, ", ")))
@@ -56,7 +63,18 @@ def file_text(meta: DataFrame, symbols: DataFrame) -> DataFrame:
         part("exports", first("exports")),
         part("contains", F.col("contains")),
     )
-    return meta.join(first_n_names(symbols), ["repo_id", "path"], "left").withColumn("text", text)
+    return described.withColumn("text", text)
+
+
+def file_text(meta: DataFrame, symbols: DataFrame) -> DataFrame:
+    """File texts from file metadata and deduplicated symbols."""
+    return _with_text(meta.join(first_n_names(symbols), ["repo_id", "path"], "left"))
+
+
+def text_of(rows: DataFrame) -> DataFrame:
+    """File texts from ``graph.with_distinct``."""
+    contains = F.transform(F.slice("distinct", 1, fixed.NAMES_PER_FILE), lambda s: s["name"])
+    return _with_text(graph.metadata_of(rows, contains=contains))
 
 
 def symbol_entries(symbols: DataFrame) -> DataFrame:
@@ -75,8 +93,8 @@ def symbol_entries(symbols: DataFrame) -> DataFrame:
     )
 
 
-def file_entries(meta: DataFrame, symbols: DataFrame) -> DataFrame:
-    return file_text(meta, symbols).select(
+def _file_entries(described: DataFrame) -> DataFrame:
+    return described.select(
         "repo_id",
         F.lit(1).alias("entry_kind"),
         F.col("path").alias("file"),
@@ -93,7 +111,18 @@ def file_entries(meta: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def index_entries(symbols: DataFrame, meta: DataFrame) -> DataFrame:
     """Symbol entries and file entries, still without vectors; ``symbols`` without duplicates."""
-    return symbol_entries(symbols).unionByName(file_entries(meta, symbols), allowMissingColumns=True)
+    return symbol_entries(symbols).unionByName(_file_entries(file_text(meta, symbols)), allowMissingColumns=True)
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`index_entries`, from ``graph.with_distinct``; nothing is shuffled."""
+    symbols = symbol_entries(graph.distinct_symbols(rows))
+    return symbols.unionByName(_file_entries(text_of(rows)), allowMissingColumns=True)
+
+
+def build_index_of(rows: DataFrame, embed: Callable[[Column], Column] = embed_text) -> DataFrame:
+    """The rows of :func:`build_embedding_index`, from ``graph.with_distinct``."""
+    return entries_of(rows).withColumn("embedding", embed(F.col("text")))
 
 
 def build_embedding_index(

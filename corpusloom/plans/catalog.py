@@ -48,8 +48,12 @@ def _symbols(s: SparkSession, d: str, kind: str = "plain") -> DataFrame:
     return extract.extract_symbols(_files(s, d, kind))
 
 
+def _file_rows(s: SparkSession, d: str, kind: str = "plain") -> DataFrame:
+    return graph.with_distinct(extract.file_symbols(_files(s, d, kind)))
+
+
 def _graph_symbols(s: SparkSession, d: str, kind: str = "plain") -> DataFrame:
-    return graph.symbol_dedup(_symbols(s, d, kind))
+    return graph.distinct_symbols(_file_rows(s, d, kind))
 
 
 def _sources(s: SparkSession, d: str):
@@ -58,9 +62,7 @@ def _sources(s: SparkSession, d: str):
 
 
 def _entries(s: SparkSession, d: str) -> DataFrame:
-    files = _files(s, d)
-    raw = extract.extract_symbols(files)
-    return index.index_entries(graph.symbol_dedup(raw), graph.file_metadata(files, raw))
+    return index.entries_of(graph_build.stored(_file_rows(s, d), "file_symbols"))
 
 
 def _joined(c: str) -> Column:
@@ -76,7 +78,12 @@ def _body(c: str = "content") -> Column:
 
 @query
 def scan_code_files(s, d):
-    return _files(s, d).select("repo_id", "path", "size", _body().alias("body"))
+    return _files(s, d, "imports").select("repo_id", "path", "size", _body().alias("body"))
+
+
+@query
+def rejected_files(s, d):
+    return corpus.rejected_files(inputs.code_files(s, d, "imports"))
 
 
 @query
@@ -100,9 +107,8 @@ def read_bodies(s, d):
 
 @query
 def write_graph(s, d):
-    files = _files(s, d)
-    raw = extract.extract_symbols(files)
-    out = {"symbols": graph.symbol_dedup(raw), "files": graph.file_metadata(files, raw), "edges": graph.build_edges(raw)}
+    rows = graph_build.stored(_file_rows(s, d), "file_symbols")
+    out = {"symbols": graph.distinct_symbols(rows), "files": graph.metadata_of(rows), "edges": graph.build_edges(extract.exploded(rows))}
     root = shared_dir(s, "graph")
     tables.write_graph(out, root)
     parts = [
@@ -116,8 +122,7 @@ def _index_schema() -> StructType:
 
 
 def _built(s: SparkSession, files: DataFrame) -> DataFrame:
-    raw = graph_build.stored(extract.extract_symbols(files), "symbols")
-    return index.build_embedding_index(graph.symbol_dedup(raw), graph.file_metadata(files, raw))
+    return index.build_index_of(graph_build.stored(graph.with_distinct(extract.file_symbols(files)), "file_symbols"))
 
 
 def _saved_index(s: SparkSession, d: str, where: str = "true") -> str:
@@ -263,7 +268,7 @@ def find_references(s, d):
 
 @query
 def symbol_hierarchy(s, d):
-    h = graph.symbol_hierarchy(_graph_symbols(s, d))
+    h = graph.hierarchy_of(_file_rows(s, d))
     return h.select("repo_id", "file", *[_joined(c).alias(c) for c in ("classes", "functions", "imports", "exports")])
 
 
@@ -549,8 +554,7 @@ def graph_metadata(s, d):
 
 @query
 def file_metadata(s, d):
-    files = _files(s, d)
-    meta = graph.file_metadata(files, extract.extract_symbols(files))
+    meta = graph.metadata_of(extract.file_symbols(_files(s, d)))
     names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ", ")
     return meta.select(
         "repo_id", "path", "language", "symbol_count", "size", names("imports").alias("imports"), names("exports").alias("exports")
@@ -667,7 +671,7 @@ def snippets(s, d):
 
 @query
 def first_n_names(s, d):
-    return index.first_n_names(_graph_symbols(s, d, "extended")).select("repo_id", "path", _joined("contains").alias("names"))
+    return index.names_of(_file_rows(s, d, "extended")).select("repo_id", "path", _joined("contains").alias("names"))
 
 
 @query
@@ -816,10 +820,7 @@ def symbol_text(s, d):
 
 @query
 def file_text(s, d):
-    files = _files(s, d)
-    raw = extract.extract_symbols(files)
-    built = index.file_text(graph.file_metadata(files, raw), graph.symbol_dedup(raw))
-    return built.select("repo_id", "path", "text")
+    return index.text_of(_file_rows(s, d)).select("repo_id", "path", "text")
 
 
 @query

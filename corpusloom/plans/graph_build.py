@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed
 from corpusloom.operators import context as ctx
 from corpusloom.operators import graph, index, search, typos
-from corpusloom.operators.extract import extract_symbols, route_files
+from corpusloom.operators.extract import exploded, file_symbols, route_files
 from corpusloom.operators.ranking import top_n
 from corpusloom.session import stored
 
@@ -23,11 +23,12 @@ def build_symbol_graph(files: DataFrame, context: DataFrame | None = None, mode:
     """Naming repair, syntax repair, extraction, then the graph tables.
 
     ``symbols``, ``files``, ``edges``, ``fixes``, ``typos`` and ``metadata``.  The extracted symbols are written once,
-    because four of the tables start from them.
+    one row per file, because four of the tables start from them.
     """
     renamed, found = semantic_fix(files, context, mode)
     routed = route_files(renamed)
-    raw = stored(extract_symbols(routed), "symbols")
+    rows = stored(graph.with_distinct(file_symbols(routed)), "file_symbols")
+    raw = exploded(rows)
     fixes = routed.filter((F.size("fixes") > 0) | F.col("fixed")).select(
         "repo_id",
         "path",
@@ -37,8 +38,8 @@ def build_symbol_graph(files: DataFrame, context: DataFrame | None = None, mode:
         "semantic_fixes",
     )
     return {
-        "symbols": graph.symbol_dedup(raw),
-        "files": graph.file_metadata(renamed, raw),
+        "symbols": graph.distinct_symbols(rows),
+        "files": graph.metadata_of(rows),
         "edges": graph.build_edges(raw),
         "fixes": fixes,
         "typos": found,
@@ -144,8 +145,9 @@ def focused_context(
 
 
 def sources(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Index, file metadata, edges and symbols of a corpus, without the naming repair; symbols and metadata are written once."""
-    raw = stored(extract_symbols(files), "symbols")
-    symbols = graph.symbol_dedup(raw)
-    meta = stored(graph.file_metadata(files, raw), "file_metadata")
-    return index.build_embedding_index(symbols, meta), meta, graph.build_edges(raw), symbols
+    """Index, file metadata, edges and symbols of a corpus, without the naming repair.
+
+    One row per file with its symbols is written once; all four are folds of such rows or explode them.
+    """
+    rows = stored(graph.with_distinct(file_symbols(files)), "file_symbols")
+    return index.build_index_of(rows), graph.metadata_of(rows), graph.build_edges(exploded(rows)), graph.distinct_symbols(rows)

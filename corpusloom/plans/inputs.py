@@ -113,11 +113,12 @@ CASE WHEN k % 3 = 0 AND m < 4 THEN {_VALID_BODY} ELSE
 """
 
 # Names in mixed case, several importers and clause forms for a name, names with ``$``, file names that occur inside of other
-# module paths, many files called ``index``, and exports that both naming rules judge.
+# module paths, many files called ``index``, exports that both naming rules judge, and some files over the size limit.
 _CAMEL = "(upper(substr({0}, 1, 1)) || replace(substr({0}, 2), '_', ''))"
 _IMPORTS_PATH = f"""'src/' || CAST(k AS STRING_T) || '/' || CASE k % 9 WHEN 0 THEN 'index' WHEN 1 THEN sym WHEN 2 THEN 'Go' ELSE {_CAMEL.format('sym')} END
   || CASE m WHEN 0 THEN '.js' WHEN 1 THEN '.jsx' WHEN 2 THEN '.ts' WHEN 3 THEN '.tsx' WHEN 4 THEN '.service.js' WHEN 5 THEN '.go' ELSE '.cs' END"""
 _IMPORTS_BODY = f"""
+CASE WHEN k % 97 = 0 THEN repeat('// more than a file may have' || chr(10), 4000) ELSE
     'import {{ ' || {_CAMEL.format("coalesce(dep, 'none')")} || CASE WHEN k % 11 = 0 THEN 'X' ELSE '' END || ' }} from '
     || chr(39) || './' || {_CAMEL.format("coalesce(dep, 'none')")} || chr(39) || chr(10)
     || CASE WHEN k % 2 = 0 THEN 'import {{ a as b, $' || {_CAMEL.format("coalesce(dep, 'none')")} || ' as c }} from ' || chr(34) || '../pkg/'
@@ -127,6 +128,7 @@ _IMPORTS_BODY = f"""
        || {_CAMEL.format("coalesce(dep, 'none')")} || 'Mock' || chr(39) || '; import Go from ' || chr(39) || 'Go' || chr(39) || chr(10) ELSE '' END
     || CASE WHEN k % 6 = 0 THEN 'export class tmp {{}}' || chr(10) ELSE '' END
     || 'export const ' || CASE WHEN k % 5 = 0 THEN 'zz' WHEN k % 7 = 0 THEN sym ELSE {_CAMEL.format('sym')} END || ' = 1;' || chr(10)
+  END
 """
 
 

@@ -289,7 +289,9 @@ ORACLES: dict[str, str] = {}
 O = ORACLES
 
 # -- scans, sources, sinks
-O["scan_code_files"] = _F + "SELECT repo_id, path, size, md5(content) AS body FROM files"
+O["scan_code_files"] = _with(_FILES, kind="imports") + "SELECT repo_id, path, size, md5(content) AS body FROM files"
+O["rejected_files"] = _with(_NAMED, kind="imports") + f"""SELECT repo_id, path, size, 'too_large' AS problem FROM named
+WHERE ext IN ({_list(fixed.CODE_EXTENSIONS)}) AND NOT regexp_matches(path, '{_skip(fixed.CODE_SKIP_DIRS, True)}') AND size > {fixed.MAX_FILE_BYTES}"""
 O["scan_context_files"] = _with(_NAMED) + f"""
 , flags AS (SELECT *, ext IN ({_list(fixed.CODE_EXTENSIONS)}) AND size <= {fixed.MAX_FILE_BYTES}
     AND NOT regexp_matches(path, '{_skip(fixed.CODE_SKIP_DIRS, True)}') AS c,

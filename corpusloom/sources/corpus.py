@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as tx
+from corpusloom.session import stored
 
 
 def _skipped(path: Column, names: list[str], dot_dirs: bool) -> Column:
@@ -39,6 +40,12 @@ def scan_code_files(files: DataFrame, max_size: int = fixed.MAX_FILE_BYTES) -> D
     return files.filter(is_code_file(F.col("path"), F.col("size"), max_size))
 
 
+def rejected_files(files: DataFrame, max_size: int = fixed.MAX_FILE_BYTES) -> DataFrame:
+    """Code files that the scan leaves out because of their size: ``(repo_id, path, size, problem)``."""
+    right = is_code_file(F.col("path"), F.lit(0).cast("long"))
+    return files.filter(right & (F.col("size") > max_size)).select("repo_id", "path", "size", F.lit("too_large").alias("problem"))
+
+
 def scan_context_files(files: DataFrame) -> DataFrame:
     """Per repository the context set where it has more files than the analysed set, else the analysed set."""
     flagged = files.withColumn("_code", is_code_file(F.col("path"), F.col("size"))).withColumn(
@@ -92,45 +99,62 @@ def read_bodies(requests: DataFrame, files: DataFrame) -> DataFrame:
 # Spark's own file listing leaves out names that start with "_" or "." (``__init__.py``, ``.eslintrc.js``), so trees
 # are listed and read in tasks through pyarrow file systems, which cover local paths, HDFS and object stores.
 
+_LISTED = "repo_id string, root string, path string, size long, folder boolean, problem string"
 
-def _walk(filesystem: pafs.FileSystem, folder: str, skip: set[str], dot_dirs: bool) -> Iterator[pafs.FileInfo]:
-    pending = [folder]
-    while pending:
-        try:
-            entries = filesystem.get_file_info(pafs.FileSelector(pending.pop()))
-        except OSError:
-            continue
-        for entry in entries:
-            if entry.type == pafs.FileType.Directory:
-                if entry.base_name not in skip and not (dot_dirs and entry.base_name.startswith(".")):
-                    pending.append(entry.path)
-            elif entry.type == pafs.FileType.File:
-                yield entry
 
+def _list_folders(skip: set[str], dot_dirs: bool):
+    """Rows of the entries of each folder; a folder that can't be listed is one row with its problem."""
 
-def _listing(skip: set[str], dot_dirs: bool, chunk: int = 5000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            [("repo_id", pa.string()), ("root", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_()), ("problem", pa.string())]
+        )
         for batch in batches:
-            for repo_id, root in zip(batch["repo_id"].to_pylist(), batch["root"].to_pylist()):
-                filesystem, folder = pafs.FileSystem.from_uri(root)
-                folder = folder.rstrip("/")
-                rows: list[dict] = []
-                for entry in _walk(filesystem, folder, skip, dot_dirs):
-                    path = entry.path[len(folder) + 1 :]
-                    rows.append({"repo_id": repo_id, "root": root, "path": path, "size": entry.size})
-                    if len(rows) == chunk:
-                        yield pa.RecordBatch.from_pylist(rows)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
+            for repo_id, root, folder in zip(*(batch[c].to_pylist() for c in ("repo_id", "root", "path"))):
+                row = {"repo_id": repo_id, "root": root, "size": None, "folder": False, "problem": None}
+                rows = []
+                try:
+                    filesystem, top = pafs.FileSystem.from_uri(root)
+                    top = top.rstrip("/")
+                    for entry in filesystem.get_file_info(pafs.FileSelector(f"{top}/{folder}" if folder else top)):
+                        path = entry.path[len(top) + 1 :]
+                        if entry.type == pafs.FileType.Directory:
+                            if entry.base_name not in skip and not (dot_dirs and entry.base_name.startswith(".")):
+                                rows.append({**row, "path": path, "folder": True})
+                        elif entry.type == pafs.FileType.File:
+                            rows.append({**row, "path": path, "size": entry.size})
+                except (OSError, pa.ArrowInvalid) as error:
+                    rows = [{**row, "path": folder, "problem": f"folder: {error}"}]
+                for at in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 5000], schema=schema)
 
     return run
 
 
+def list_tree(roots: DataFrame, context: bool = False, partitions: int | None = None) -> DataFrame:
+    """(repo_id, root, path, size, problem): the files below ``roots(repo_id, root)``, and the folders that can't be listed.
+
+    Folders are expanded level by level.  Each level is dealt by folder, so one large tree is listed by many tasks, and written
+    before the next begins.
+    """
+    skip = fixed.CONTEXT_SKIP_DIRS if context else fixed.CODE_SKIP_DIRS
+    n = partitions or int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = roots.select("repo_id", "root", F.lit("").alias("path"))
+    found = None
+    while True:
+        dealt = level.repartition(n, "root", "path")
+        listed = stored(dealt.mapInArrow(_list_folders(set(skip), dot_dirs=not context), _LISTED), "tree_level")
+        files = listed.filter(~F.col("folder")).drop("folder")
+        found = files if found is None else found.unionByName(files)
+        level = listed.filter("folder").select("repo_id", "root", "path")
+        if level.isEmpty():
+            return found
+
+
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     systems: dict[str, tuple[pafs.FileSystem, str]] = {}
     schema = pa.schema(
-        [("repo_id", pa.string()), ("path", pa.string()), ("content", pa.string()), ("size", pa.int64())]
+        [("repo_id", pa.string()), ("path", pa.string()), ("content", pa.string()), ("size", pa.int64()), ("problem", pa.string())]
     )
     for batch in batches:
         rows: list[dict] = []
@@ -143,10 +167,10 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 with filesystem.open_input_stream(f"{folder.rstrip('/')}/{row['path']}") as stream:
                     body = stream.read()
-            except OSError:
-                continue
-            rows.append({**row, "content": body.decode("utf-8", "replace")})
-            held += len(body)
+                rows.append({**row, "content": body.decode("utf-8", "replace"), "problem": None})
+                held += len(body)
+            except OSError as error:
+                rows.append({**row, "content": None, "problem": f"file: {error}"})
             if held > 32_000_000:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows, held = [], 0
@@ -154,18 +178,28 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def read_tree(roots: DataFrame, context: bool = False, partitions: int | None = None) -> DataFrame:
-    """Read the code files below ``roots(repo_id, root)``; ``root`` is a URI or an absolute path.
+def scan_tree(roots: DataFrame, context: bool = False, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The code files below ``roots(repo_id, root)`` and what was left out for a reason other than its name.
 
-    Size and name rules apply to the listing, before any body is opened.  The listing is then spread by path, so the
-    bodies of one large repository are read by many tasks.
+    ``root`` is a URI or an absolute path.  Size and name rules apply to the listing, before any body is opened.  The listing is
+    then spread by path, so the bodies of one large repository are read by many tasks.  The second table has a row for each
+    folder that could not be listed, file over the size limit, and file that could not be read: ``(repo_id, path, size,
+    problem)``; asking for it reads the bodies.
     """
-    spark = roots.sparkSession
-    skip = fixed.CONTEXT_SKIP_DIRS if context else fixed.CODE_SKIP_DIRS
-    listed = roots.select("repo_id", "root").mapInArrow(
-        _listing(set(skip), dot_dirs=not context), "repo_id string, root string, path string, size long"
-    )
+    listed = list_tree(roots, context, partitions)
+    n = partitions or int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = F.col("problem").isNull()
     wanted = is_context_file(F.col("path")) if context else is_code_file(F.col("path"), F.col("size"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = listed.filter(wanted).repartition(n, "repo_id", "path")
-    return spread.mapInArrow(_reading, "repo_id string, path string, content string, size long")
+    spread = listed.filter(good & wanted).drop("problem").repartition(n, "repo_id", "path")
+    read = spread.mapInArrow(_reading, "repo_id string, path string, content string, size long, problem string")
+    problems = listed.filter(~good).select("repo_id", "path", "size", "problem").unionByName(
+        read.filter(~good).select("repo_id", "path", "size", "problem")
+    )
+    if not context:
+        problems = problems.unionByName(rejected_files(listed.filter(good)))
+    return read.filter(good).drop("problem"), problems
+
+
+def read_tree(roots: DataFrame, context: bool = False, partitions: int | None = None) -> DataFrame:
+    """The files of :func:`scan_tree`."""
+    return scan_tree(roots, context, partitions)[0]

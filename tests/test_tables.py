@@ -29,10 +29,30 @@ def test_tree_scan_rules(spark, tmp_path):
     roots = spark.createDataFrame([("o/r", str(tmp_path)), ("o/none", str(tmp_path / "absent"))], "repo_id string, root string")
     rows = {r.path: (r.content, r.size) for r in corpus.read_tree(roots).collect()}
     assert rows == {"src/__init__.py": ("a", 1), "src/.eslintrc.js": ("b", 1), "_lib/y.js": ("é", 2)}
+    _, problems = corpus.scan_tree(roots)
+    found = {(r.repo_id, r.path): r.problem for r in problems.collect()}
+    assert found["o/r", "src/big.js"] == "too_large" and found["o/none", ""].startswith("folder: ") and len(found) == 2
     wider = {r.path for r in corpus.read_tree(roots, context=True).collect()}
     assert wider == {"src/__init__.py", "src/.eslintrc.js", "_lib/y.js", ".hidden/z.js", "src/big.js", "src/h.h"}
 
 
+def test_one_tree_is_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        path = tmp_path / f"d{i}" / "deep" / "er" / "a.py"
+        path.parent.mkdir(parents=True)
+        path.write_text(str(i))
+    (tmp_path / "d0" / "gone.py").symlink_to(tmp_path / "nowhere")
+    roots = spark.createDataFrame([("o/r", f"file://{tmp_path}")], "repo_id string, root string")
+    levels = []
+    monkeypatch.setattr(corpus, "stored", lambda df, name: levels.append(df.withColumn("_task", F.spark_partition_id()).cache()) or levels[-1].drop("_task"))
+    listed = corpus.list_tree(roots, partitions=8)
+    assert listed.filter("problem IS NULL").count() == 40 and len(levels) == 4
+    assert levels[1].select("_task").distinct().count() > 4
+    lost = listed.limit(1).withColumn("path", F.lit("d1/none.py")).select("repo_id", "root", "path", "size")
+    read = lost.mapInArrow(corpus._reading, "repo_id string, path string, content string, size long, problem string").first()
+    assert read.content is None and read.problem.startswith("file: ")
+
+
 def test_context_files_only_where_there_are_more(files):
     wide = files({"a.js": "", "b.h": "", "c.h": ""}, "o/wide").unionByName(files({"a.cs": "", "b.rb": "", "c.h": ""}, "o/narrow"))
     got = sorted((r.repo_id, r.path) for r in corpus.scan_context_files(wide).collect())
