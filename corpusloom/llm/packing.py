@@ -43,12 +43,14 @@ class Encoder:
     """Ids of texts as bytes of little-endian 32-bit numbers, from a file of ranks.
 
     The rank file holds the same vocabulary as the JSON file of the tokenizers library and gives the same ids, several times
-    faster. The name of the end of a text, where a text contains it, is one id, as it is there.
+    faster. The name of the end of a text, where a text contains it, is one id, as it is there. The split needs a stack as deep
+    as a run of white space is long, so texts with runs of ``LONG_RUN`` or more are encoded from the JSON file beside it.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
+        self.path = path
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
