@@ -27,9 +27,6 @@ JS_EXTENSIONS = [".js", ".jsx", ".mjs"]
 TS_EXTENSIONS = [".ts", ".tsx"]
 PY_EXTENSIONS = [".py"]
 
-# --- fixed values: symbol types --------------------------------------------------
-SYMBOL_TYPES = ["function", "class", "method", "variable", "import", "export", "interface", "type"]
-
 # --- fixed values: extraction patterns -------------------------------------------
 PY_IMPORT = r"^(?:from\s+(\S+)\s+)?import\s+(.+)"
 PY_FUNCTION = r"^def\s+(\w+)\s*\((.*?)\)"
@@ -55,6 +52,9 @@ COMMA_BETWEEN_PROPERTIES = r"(\w+:\s*[^,\n]+)\s*\n\s*(\w+:)"
 INCOMPLETE_TYPE = r"(?m):\s*$"
 TRAILING_COMMA_AT_END = r"(?m),(\s*\}\s*;?\s*)$"
 TRAILING_COMMA = r",(\s*[}\]])"
+FIXED_OBJECT = "Fixed incomplete object literal after export declaration"
+FIXED_COMMAS = "Added missing commas in object literals"
+FIXED_TYPES = 'Added default "any" type for incomplete annotations'
 
 # --- fixed values: naming defects ------------------------------------------------
 LOW_SIMILARITY = 0.5

@@ -20,12 +20,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
-def token_bucket(token: Column, dim: int = fixed.VECTOR_DIM) -> Column:
-    """Bucket of one token as a JVM expression, equal to the one used for whole vectors."""
-    head = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, F.lit(dim)).cast("int")
-
-
 def _unit_vector_udf(dim: int):
     @F.arrow_udf("array<float>")
     def unit_vectors(token_lists: pa.Array) -> pa.Array:

@@ -153,17 +153,17 @@ def _fix_list() -> Column:
             F.col("_0").rlike(fixed.INCOMPLETE_OBJECT),
             _fix(
                 "incomplete-object-declaration",
-                description="Fixed incomplete object literal after export declaration",
+                description=fixed.FIXED_OBJECT,
             ),
         ),
         semicolons,
         _fix_if(
             F.col("_3a").rlike(fixed.COMMA_BETWEEN_PROPERTIES),
-            _fix("missing-comma", description="Added missing commas in object literals"),
+            _fix("missing-comma", description=fixed.FIXED_COMMAS),
         ),
         _fix_if(
             F.col("_ts") & F.col("_3").rlike(fixed.INCOMPLETE_TYPE),
-            _fix("incomplete-type", description='Added default "any" type for incomplete annotations'),
+            _fix("incomplete-type", description=fixed.FIXED_TYPES),
         ),
     ]
     for name, o, c in (lint.BRACKETS[0], lint.BRACKETS[2], lint.BRACKETS[1]):
