@@ -366,3 +366,22 @@ def test_pipeline_stages_match_the_operators(tmp_path, spark):
             assert ids and len(ids) == len(set(ids))  # copies have lost their lines before, so the first of each stays
         seen = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == corpus_pipeline.packed_sequences(spark, seen, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<nav><article>", "<!-- ", '<a "', "<a '\">", "<p>x", "<", "<svg>", "<!"])
+def test_pages_are_parsed_in_linear_time(piece):
+    import time
+
+    for end in ("", ">", "</nav>"):
+        started = time.perf_counter()
+        html.blocks(piece * (1_000_000 // len(piece)) + end)
+        assert time.perf_counter() - started < 10
+
+
+def test_marks_equal_one_pattern_over_the_whole_page():
+    rng = random.Random(1)
+    bits = ["<a ", "<a>", "</a>", '<p class="x">', "text ", "<!-- c -->", "<!-- ", "-->", "<!-->", "<script>", "</script>", "<script ", "<svg", ">",
+            '"', "'", "<!doctype", "<nav>", "</nav>", "<article>", "<br/>", "< ", "<p\n", "<style>x</style >"]
+    for _ in range(5000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert [m.span() for m in html.marks(page)] == [m.span() for m in html._MARK.finditer(page)]
