@@ -208,3 +208,27 @@ def test_rendering_moves_no_bodies(spark, files):
     plan = text._jdf.queryExecution().toString()
     moved = [line for line in plan.split("\n") if "Exchange" in line and "content#" in line]
     assert not moved and "CartesianProduct" not in plan
+
+
+def test_pieces_are_never_broadcast(spark):
+    """A text of n characters has about 3 n pieces, which no estimate knows of; only a hint keeps them out of a broadcast."""
+    from corpusloom.operators.containing import containing
+
+    names = spark.createDataFrame([("o/r", "ab"), ("o/r", "zz")], "repo_id string, name string")
+    texts = spark.createDataFrame([("o/r", "xaby")], "repo_id string, text string")
+    found = containing(names, texts)
+    assert [tuple(r) for r in found.collect()] == [("o/r", "ab", "xaby")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_code_queries_trust_small_estimates_only(spark):
+    import __spark_entry__ as entry
+    from corpusloom.llm.common import prepared
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    entry.queries()["path_parts"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "1m"
+    prepared(spark)
+    assert spark.conf.get(key) == before
