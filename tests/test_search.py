@@ -220,6 +220,7 @@ def test_pieces_are_never_broadcast(spark):
     assert [tuple(r) for r in found.collect()] == [("o/r", "ab", "xaby")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+    assert containing(names, texts, few=True).collect() == found.collect()
 
 
 def test_code_queries_trust_small_estimates_only(spark):
@@ -232,3 +233,32 @@ def test_code_queries_trust_small_estimates_only(spark):
     assert spark.conf.get(key) == "1m"
     prepared(spark)
     assert spark.conf.get(key) == before
+
+
+def test_vectors_and_scans_work_in_bounded_passes(spark, monkeypatch):
+    """The vectors of a batch are counted in passes and equal those of one pass; scans gather short batches, but not all."""
+    import pyarrow as pa
+
+    from corpusloom.functions import vectors
+
+    lists = pa.array([["a", "b", "a"], [], None, ["c"] * 50, ["d", "a"], ["b"]] * 40, pa.list_(pa.string())).slice(1)
+    monkeypatch.setattr(vectors.F, "arrow_udf", lambda _: lambda f: f)
+    passes, one_pass = [], vectors._unit_vectors
+    monkeypatch.setattr(vectors, "_unit_vectors", lambda x, *how: passes.append(len(x.flatten())) or one_pass(x, *how))
+    whole = vectors._unit_vector_udf(16)(lists)
+    monkeypatch.setattr(vectors, "PASS_ROWS", 7)
+    monkeypatch.setattr(vectors, "PASS_TOKENS", 20)
+    passes.clear()
+    assert vectors._unit_vector_udf(16)(lists).equals(whole) and len(whole) == len(lists)
+    assert len(passes) > 30 and max(passes) == 50 and sorted(passes)[-41] <= 20
+
+    met = []
+    monkeypatch.setattr(search, "_hits", lambda rows, *how: met.append(len(rows)) or rows)
+    monkeypatch.setattr(search, "SCAN_ROWS", 25)
+
+    class Index:
+        def mapInArrow(self, run, schema):
+            batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (10, 10, 10, 0, 40, 5)]
+            return [b.num_rows for b in run(iter(batches))]
+
+    assert sum(search._scan(Index(), None, "x long")) == 75 and met == [20, 10, 40, 5]
