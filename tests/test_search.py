@@ -223,13 +223,16 @@ def test_pieces_are_never_broadcast(spark):
     assert containing(names, texts, few=True).collect() == found.collect()
 
 
-def test_code_queries_trust_small_estimates_only(spark):
+def test_code_queries_trust_small_estimates_only(spark, tmp_path):
     import __spark_entry__ as entry
     from corpusloom.llm.common import prepared
 
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
-    entry.queries()["path_parts"](spark, "/root/testdata/sf0.001")
+    row = (1, "hot gear", "Brand#1", "ECONOMY", 1, 1.0)
+    part = spark.createDataFrame([row], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    assert entry.queries()["path_parts"](spark, str(tmp_path)).count() == 1
     assert spark.conf.get(key) == "1m"
     prepared(spark)
     assert spark.conf.get(key) == before
