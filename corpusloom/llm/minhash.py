@@ -1,9 +1,14 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, bands, weighted Jaccard.
 
 A document is the weighted set of its five-word shingles (words by white space, A-Z lower-cased; fewer than five words make
-one shingle). The weight is count x idf, and idf saturates: 1 for every shingle in at most ``common`` (a tenth) of all
-documents, less for more frequent ones. So at most 10 x (mean shingles of a document) shingles have an idf below 1, however
-large the corpus is; summaries of the tasks find them, a second pass counts them exactly, and they may be broadcast.
+one shingle). The weight is count x idf. With ``common=None``, as the queries have it, idf is ln(documents / documents with the
+shingle) of every shingle, over ln(documents), which changes no similarity and gives 1 to what one document has. Documents are
+dealt to chunks of bounded size; a chunk's shingles go to ranges of hashes, where all documents are counted, and the counts
+above 1 go back to the chunk. So no list of shingles is held whole anywhere.
+
+With a share ``common``, idf saturates: 1 for every shingle in at most that share of all documents, less for more frequent
+ones. So at most 10 x (mean shingles of a document) shingles have an idf below 1, however large the corpus is; summaries of the
+tasks find them, a second pass counts them exactly, and they may be broadcast.
 
 Equal sets are folded first. Signatures of the others are cut into bands; rows that share a band hash form a bucket. Each
 bucket compares all rows with one leader; then the rows outside of the bucket's largest class with all rows of the bucket,
@@ -18,10 +23,12 @@ equal texts only; its class is null if no equal text has an id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +43,8 @@ BANDS, ROWS = 16, 4
 COMMON = 0.1
 #: Bits of the marks that bound a similarity before two sets are compared.
 MARKS = 2048
+#: Bytes of text in a chunk of documents, and shingles of all chunks in a range of hashes.
+CHUNK_BYTES, RANGE_SHINGLES = 1 << 23, 1 << 21
 
 _SLOTS = 1 << 16
 
@@ -111,9 +120,15 @@ def common_shingles(docs: DataFrame, n: int = WORDS, common: float = COMMON) ->
 
 
 class _Idf:
-    def __init__(self, idf: dict[int, float]):
-        self.keys = np.array(sorted(idf), np.uint64)
-        self.values = np.array([idf[int(k)] for k in self.keys])
+    """Weights from the idf of some shingles; all others have 1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    @classmethod
+    def of(cls, idf: dict[int, float]) -> _Idf:
+        return cls(np.fromiter(idf.keys(), np.uint64, len(idf)), np.fromiter(idf.values(), np.float64, len(idf)))
 
     def weights(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
         out = count.astype(np.float64)
@@ -123,6 +138,85 @@ class _Idf:
         return np.maximum(out, 1e-9)  # a shingle that all documents hold still tells an empty text from others
 
 
+def dealt(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, text, chunk, bytes): rows in chunks of about ``size`` bytes; one longer text is a chunk of its own."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            chunks = np.empty(len(sizes), np.int64)
+            for i, n in enumerate(sizes.to_numpy()):
+                if held and held + n > size:
+                    chunk, held = chunk + 1, 0
+                chunks[i] = chunk
+                held += n + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks), sizes], ["doc_id", "text", "chunk", "bytes"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return saved(rows.mapInArrow(deal, "doc_id long, text string, chunk long, bytes long"), "dealt")
+
+
+def shared_shingles(chunks: DataFrame, n: int = WORDS, size: int = RANGE_SHINGLES) -> tuple[DataFrame, int]:
+    """(chunk, shingles, counts): for each chunk its shingles that more than one document holds, with how many do, and the
+    number of all documents. Counts are exact; a range of hashes gets about ``size`` shingles, however often copies repeat."""
+    total = chunks.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    ranges = int((total["bytes"] or 0) / 6 / size) + 1
+    edges = np.array([k * 2**64 // ranges for k in range(ranges)], np.uint64)
+
+    def parts(key: pa.Array, keys: np.ndarray, counts: np.ndarray, cut: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        cut = pa.array(cut.astype(np.int32))
+        lists = pa.ListArray.from_arrays(cut, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(counts.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*key, *lists], [*names, "shingles", "counts"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, last = [], None
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(found), return_counts=True)
+            found.clear()
+            cut = np.append(np.searchsorted(keys, edges), len(keys))
+            return parts([pa.array(np.arange(ranges)), pa.array(np.full(ranges, last))], keys, counts, cut, ["range", "chunk"])
+
+        for batch in batches:
+            chunk = batch.column(1).to_numpy()
+            first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
+            for s, e in zip(first, np.append(first[1:], len(chunk))):
+                if found and chunk[s] != last:
+                    yield flush()
+                last = int(chunk[s])
+                found += [shingle for _, shingle, _, _, _ in _sets(batch.column(0).slice(s, e - s), n)]
+        if found:
+            yield flush()
+
+    def counted(table: pa.Table) -> pa.Table:
+        shingles, counts = table["shingles"].combine_chunks(), table["counts"].combine_chunks()
+        keys, inverse = np.unique(shingles.flatten().to_numpy().view(np.uint64), return_inverse=True)
+        held = np.bincount(inverse, counts.flatten().to_numpy(), len(keys)).astype(np.int64)[inverse]
+        often = held > 1
+        kept = np.append(0, np.cumsum(often))[np.append(0, np.cumsum(pc.list_value_length(shingles).to_numpy()))]
+        back = parts([table["chunk"].combine_chunks()], shingles.flatten().to_numpy()[often], held[often], kept, ["chunk"])
+        return pa.Table.from_batches([back])
+
+    schema = "shingles array<long>, counts array<int>"
+    found = chunks.select("text", "chunk").mapInArrow(sent, f"range long, chunk long, {schema}").where(F.size("shingles") > 0)
+    back = found.groupBy("range").applyInArrow(counted, f"chunk long, {schema}").where(F.size("shingles") > 0)
+    return saved(back, "shared_shingles"), total["rows"]
+
+
+def _with_idf(chunks: DataFrame, shared: DataFrame, rows: int, make: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``make(ids, texts, idf)`` of the rows (id, text, chunk), chunk by chunk, with the idf of the chunk's shingles."""
+
+    def of_chunk(texts: pa.Table, known: pa.Table) -> pa.Table:
+        flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy() for x in known[c].chunks)])
+        held = flat("counts", np.int32)
+        idf = _Idf(flat("shingles", np.int64).view(np.uint64), np.log(rows / held) / np.log(rows) if len(held) else held.astype(np.float64))
+        return pa.Table.from_batches([made for b in texts.to_batches() for made in make(b.column(0), b.column(1), idf)], names)
+
+    names = _arrow_schema(schema)
+    return chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(of_chunk, schema)
+
+
 def _samples(shingle: np.ndarray, weight: np.ndarray, start: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
     """Consistent weighted samples: for each set and hash function the (element, level) with the smallest draw.
 
@@ -131,7 +225,8 @@ def _samples(shingle: np.ndarray, weight: np.ndarray, start: np.ndarray, n: int,
     """
     r_table, c_table = _gamma_table(1).astype(np.float32), np.log(_gamma_table(2)).astype(np.float32)
     log_w = np.log(weight).astype(np.float32)
-    plain = not log_w.any()
+    odd_at = np.flatnonzero(log_w)
+    log_w = log_w[odd_at]
     out = np.empty((len(start), n), np.uint32)
     odd = tokens.mix(np.arange(skip + 1, skip + n + 1, dtype=np.uint64)) | np.uint64(1)
     for i in range(n):
@@ -141,38 +236,70 @@ def _samples(shingle: np.ndarray, weight: np.ndarray, start: np.ndarray, n: int,
         r = r_table[(h >> np.uint64(48)).astype(np.int32)]
         c = c_table[((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)]
         beta = ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2**-16)
-        if plain:  # ln w = 0, so t = floor(beta) = 0
-            value, name = c - r + r * beta, h
-        else:
+        value = c - r + r * beta  # where ln w = 0, t = floor(beta) = 0
+        if len(odd_at):
+            r, c, beta = r[odd_at], c[odd_at], beta[odd_at]
             t = np.floor(log_w / r + beta)
-            value, name = c - r * (t - beta) - r, h + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            value[odd_at] = c - r * (t - beta) - r
+            h[odd_at] += t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bits = value.view(np.uint32)
         ordered = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        packed = (ordered << np.uint64(32)) | ((name ^ (name >> np.uint64(31))) & np.uint64(0xFFFFFFFF))
+        packed = (ordered << np.uint64(32)) | ((h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFF))
         out[:, i] = np.minimum.reduceat(packed, start).astype(np.uint32)
     return out
 
 
+_SIGNED = "doc_id long, key binary, sig array<int>"
+_HELD = "id long, shingles array<long>, weights array<double>, total double, held array<long>, heavy array<long>"
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
+             "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split(" ") for field in schema.split(", "))])
+
+
+def _signed(ids: pa.Array, texts: pa.Array, idf: _Idf, n: int, samples: int) -> Iterator[pa.RecordBatch]:
+    for first, shingle, row, count, rows in _sets(texts, n):
+        sig = np.zeros((rows, samples), np.uint32)
+        keys = [b"\0" * 16] * rows
+        if len(row):
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            sig[row[start]] = _samples(shingle, idf.weights(shingle, count), start, samples)
+            both = np.column_stack((shingle, count.astype(np.uint64)))
+            for s, e in zip(start, np.append(start[1:], len(row))):
+                keys[row[s]] = hashlib.blake2b(both[s:e].tobytes(), digest_size=16).digest()
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * samples), pa.array(sig.ravel().view(np.int32)))
+        yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(keys, pa.binary()), flat], schema=_arrow_schema(_SIGNED))
+
+
 def signatures(docs: DataFrame, idf: dict[int, float], n: int = WORDS, samples: int = BANDS * ROWS) -> DataFrame:
     """(doc_id, key, sig): ``key`` is equal for equal shingle sets, ``sig`` has one integer per hash function."""
-    known = _Idf(idf)
+    known = _Idf.of(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, shingle, row, count, rows in _sets(batch.column(1), n):
-                sig = np.zeros((rows, samples), np.uint32)
-                keys = [b"\0" * 16] * rows
-                if len(row):
-                    start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    sig[row[start]] = _samples(shingle, known.weights(shingle, count), start, samples)
-                    both = np.column_stack((shingle, count.astype(np.uint64)))
-                    for s, e in zip(start, np.append(start[1:], len(row))):
-                        keys[row[s]] = hashlib.blake2b(both[s:e].tobytes(), digest_size=16).digest()
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * samples), pa.array(sig.ravel().view(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(keys, pa.binary()), flat], ["doc_id", "key", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, key binary, sig array<int>")
+            yield from _signed(batch.column(0), batch.column(1), known, n, samples)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, _SIGNED)
+
+
+def _bits(row: np.ndarray, shingle: np.ndarray, rows: int) -> pa.Array:
+    marks = np.zeros((rows, MARKS), np.uint8)
+    marks[row, (shingle >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64)] = 1
+    packed = np.packbits(marks, axis=1).reshape(-1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (MARKS // 64)), pa.array(packed))
+
+
+def _held(ids: pa.Array, texts: pa.Array, idf: _Idf, n: int) -> Iterator[pa.RecordBatch]:
+    for first, shingle, row, count, rows in _sets(texts, n):
+        weight, cut = idf.weights(shingle, count), np.searchsorted(row, np.arange(rows + 1))
+        lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(shingle.view(np.int64)))
+        heavy = [None if (weight[s:e] == 1).all() else weight[s:e] for s, e in zip(cut[:-1], cut[1:])]
+        total = pa.array(np.bincount(row, weight, rows) if len(row) else np.zeros(rows))
+        full, firm = _bits(row, shingle, rows), _bits(row[weight >= 1], shingle[weight >= 1], rows)
+        columns = [ids.slice(first, rows), lists, pa.array(heavy, pa.list_(pa.float64())), total, full, firm]
+        yield pa.RecordBatch.from_arrays(columns, schema=_arrow_schema(_HELD))
 
 
 def weighted_sets(texts: DataFrame, idf: dict[int, float], n: int = WORDS) -> DataFrame:
@@ -180,28 +307,13 @@ def weighted_sets(texts: DataFrame, idf: dict[int, float], n: int = WORDS) -> Da
 
     ``held`` has a bit for the first bits of each shingle, ``heavy`` for those of weight 1 or more.
     """
-    known = _Idf(idf)
-
-    def bits(row: np.ndarray, shingle: np.ndarray, rows: int) -> pa.Array:
-        marks = np.zeros((rows, MARKS), np.uint8)
-        marks[row, (shingle >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64)] = 1
-        packed = np.packbits(marks, axis=1).reshape(-1).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (MARKS // 64)), pa.array(packed))
+    known = _Idf.of(idf)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, shingle, row, count, rows in _sets(batch.column(1), n):
-                weight, cut = known.weights(shingle, count), np.searchsorted(row, np.arange(rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(shingle.view(np.int64)))
-                heavy = [None if (weight[s:e] == 1).all() else weight[s:e] for s, e in zip(cut[:-1], cut[1:])]
-                total = pa.array(np.bincount(row, weight, rows) if len(row) else np.zeros(rows))
-                full, firm = bits(row, shingle, rows), bits(row[weight >= 1], shingle[weight >= 1], rows)
-                columns = [batch.column(0).slice(first, rows), lists, pa.array(heavy, pa.list_(pa.float64())), total, full, firm]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "weights", "total", "held", "heavy"])
-
-    return texts.select("id", "text").mapInArrow(
-        sets, "id long, shingles array<long>, weights array<double>, total double, held array<long>, heavy array<long>"
-    )
+            yield from _held(batch.column(0), batch.column(1), known, n)
+
+    return texts.select("id", "text").mapInArrow(sets, _HELD)
 
 
 def _marks(sets: DataFrame, node: str, end: str) -> DataFrame:
@@ -262,10 +374,30 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("comp_a != comp_b").select("a", "b")
 
 
-def classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, class_size, kept): one row per document; ``class_id`` is the smallest doc_id of its class."""
-    idf = common_shingles(docs, n)
-    signed = saved(signatures(docs, idf, n, bands * rows), "signatures")
+def _weighing(docs: DataFrame, n: int, samples: int, common: float | None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The signatures of ``docs``, and a function that gives the weighted sets of the documents with some ids."""
+    as_id = F.col("doc_id").cast("long").alias("id")
+    if common is not None:
+        idf = common_shingles(docs, n, common)
+        return signatures(docs, idf, n, samples), lambda ids: weighted_sets(docs.select(as_id, "text").join(ids, "id", "left_semi"), idf, n)
+    chunks = dealt(docs)
+    shared, total = shared_shingles(chunks, n)
+    texts = chunks.select(as_id, "text", "chunk")
+    return (
+        _with_idf(texts, shared, total, lambda ids, column, idf: _signed(ids, column, idf, n, samples), _SIGNED),
+        lambda ids: _with_idf(texts.join(ids, "id", "left_semi").select("id", "text", "chunk"), shared, total, lambda i, column, idf: _held(i, column, idf, n), _HELD),
+    )
+
+
+def classes(
+    docs: DataFrame, n: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, common: float | None = COMMON
+) -> DataFrame:
+    """(doc_id, class_id, class_size, kept): one row per document; ``class_id`` is the smallest doc_id of its class.
+
+    ``common=None`` weighs every shingle by its idf; a share weighs alike what at most that share of the documents holds.
+    """
+    signed, sets_of = _weighing(docs, n, bands * rows, common)
+    signed = saved(signed, "signatures")
     sets = saved(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "sets")
     nodes = signed.join(sets, "key").where(F.col("doc_id") == F.col("node")).select("node", "sig").dropDuplicates(["node", "sig"])
     nodes = saved(nodes, "nodes")
@@ -284,8 +416,7 @@ def classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY, bands: i
     members = saved(shared.select("band", "bucket", "node").join(leaders, ["band", "bucket"]), "members")
     pairs = saved(members.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b"), "central").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    held = saved(weighted_sets(texts, idf, n).dropDuplicates(["id", "shingles"]), "candidate_sets")  # only these move more than once
+    held = saved(sets_of(ids).dropDuplicates(["id", "shingles"]), "candidate_sets")  # only these move more than once
 
     # Each row meets the most central of its leaders first. Its other leaders matter only if they are of another class then,
     # and if the marks allow a link; so the sets of most rows move once, not once for each band.
@@ -329,7 +460,7 @@ def classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY, bands: i
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, common: float | None = COMMON) -> DataFrame:
     """The rows of ``docs`` whose document stands for its class; rows without a class stay."""
-    gone = classes(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = classes(docs, common=common).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

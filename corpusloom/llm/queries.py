@@ -17,7 +17,7 @@ def tokenizer_path() -> str:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(table(spark, sf_dir, "documents"))
+    return minhash.classes(table(spark, sf_dir, "documents"), common=None)
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

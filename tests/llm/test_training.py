@@ -182,6 +182,48 @@ def test_common_shingles_are_exact_however_the_rows_are_dealt(spark):
         assert sorted(round(v, 9) for v in minhash.common_shingles(df).values()) == expected
 
 
+def test_every_shingle_has_its_idf(spark, monkeypatch):
+    """Rare shingles differ in weight too, whatever the chunks and ranges; links and classes are those of full TF-IDF."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [None, "", "a b"]
+    for k in range(50):
+        base = [word() for _ in range(60)]
+        texts += [" ".join(base[:j] + [word()] + base[j + 1 :] if j else base) for j in range(0, 60, 60 // (1 + k % 6))]
+    rows = list(enumerate(texts)) + [(None, texts[9]), (9, texts[9]), (10, texts[3])]
+    df = prepared(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = _sets([type("Row", (), {"text": t}) for _, t in rows])
+    held = Counter(g for s in sets for g in s)
+    weight = {g: max(1e-9, math.log(len(rows) / k) / math.log(len(rows))) for g, k in held.items()}
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            shared = sum(min(a[g], b[g]) * weight[g] for g in a.keys() & b.keys())
+            rest = sum(v * weight[g] for s in (a, b) for g, v in s.items()) - shared
+            if None not in (rows[i][0], rows[j][0]) and (a == b or rest and shared / rest >= 0.8):
+                x, y = find(rows[i][0]), find(rows[j][0])
+                parent[max(x, y)] = min(x, y)
+    for chunk, size in ((1 << 23, 1 << 21), (1500, 300)):
+        chunks = minhash.dealt(df, chunk)
+        shared, total = minhash.shared_shingles(chunks, size=size)
+        found = {}
+        for r in shared.collect():
+            assert all(found.setdefault(s, c) == c for s, c in zip(r.shingles, r.counts))
+        assert total == len(rows) and sorted(found.values()) == sorted(k for k in held.values() if k > 1)
+    monkeypatch.setattr(minhash.dealt, "__defaults__", (1500,))
+    monkeypatch.setattr(minhash.shared_shingles, "__defaults__", (5, 300))
+    kept = minhash.drop_near_copies(df, common=None).collect()
+    assert {r.doc_id for r in kept} == {None, *(i for i in parent if find(i) == i)}
+    assert {r.doc_id for r in minhash.drop_near_copies(df).collect()} != {r.doc_id for r in kept}  # rare shingles alike: other classes
+    assert minhash.classes(df.limit(0), common=None).count() == 0
+
+
 def test_bound_never_rules_out_a_link(spark):
     from pyspark.sql import functions as F
 
