@@ -2,13 +2,13 @@
 
 A page is cut into blocks. Blocks inside of ``<article>`` or ``<main>`` are content, blocks inside of menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments (by element, role, class or id) are boilerplate, all others are open.
-Content is kept whole, boilerplate goes; on a page with content, open blocks are not part of the article and go too.
+Content is kept whole and boilerplate goes.
 
-On pages without content, the open blocks are told apart by what the host repeats. The token streams of the host's pages (all
+Open blocks, on pages with and without content, are told apart by what the host repeats. The token streams of the host's pages (all
 blocks that aren't content) are concatenated and their suffixes sorted by prefix doubling up to ``RUN`` tokens; neighbours
 that agree in all of them on distinct pages are a repeated substring. A substring of at least ``RUN`` tokens is repeated if and
 only if each of its ``RUN``-token parts is, so the parts decide coverage exactly. Big hosts are sorted in shards of
-``SHARD_PAGES`` pages, and the shards' distinct parts are merged by host. Open blocks that are mostly covered go; unique runs stay.
+``SHARD_PAGES`` pages, and the shards' distinct parts are merged by host. Open blocks that are mostly covered go; unique runs stay, in page order.
 
 Edge cases: null html is empty and gives an empty text. A null url has the empty host. Rows are pages of their own, so a page
 that comes twice repeats itself. Unclosed boilerplate ends at the next article. Broken markup is read as text where it is none.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -161,8 +162,9 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(row, page_id, url, host, content, rest): the content's text, or null; ``rest`` has the other blocks (open, text)."""
-    kinds = pa.struct([("open", pa.bool_()), ("text", pa.string())])
+    """(row, page_id, url, host, content, rest): the content's text, or null; ``rest`` has the other blocks (open, text) and
+    how many blocks of content come before each."""
+    kinds = pa.struct([("open", pa.bool_()), ("text", pa.string()), ("before", pa.int32())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,11 +173,12 @@ def parsed(pages: DataFrame) -> DataFrame:
                 found = blocks(page or "")
                 own = [t for k, t in found if k == "content"]
                 content.append("\n".join(own) if own else None)
-                rest.append([{"open": k == "open", "text": t} for k, t in found if k != "content"])
+                before = accumulate(k == "content" for k, _ in found)
+                rest.append([{"open": k == "open", "text": t, "before": int(n)} for (k, t), n in zip(found, before) if k != "content"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(content, pa.string()), pa.array(rest, pa.list_(kinds))], ["row", "page_id", "url", "host", "content", "rest"])
 
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), "url", urls.host(F.col("url")).alias("host"), "html")
-    return rows.mapInArrow(parse, "row long, page_id long, url string, host string, content string, rest array<struct<open: boolean, text: string>>")
+    return rows.mapInArrow(parse, "row long, page_id long, url string, host string, content string, rest array<struct<open: boolean, text: string, before: int>>")
 
 
 def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
@@ -223,7 +226,8 @@ def repeated_runs(rows: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     return merged.where("first < last").select("host", "run")
 
 
-def _open_text(rest: list, covered: set[int]) -> str:
+def _open_text(content: str | None, rest: list, covered: set[int]) -> str:
+    """The content's blocks and the open blocks that aren't mostly covered, in page order."""
     texts = [b["text"] for b in rest]
     h, block = _stream(texts)
     inside = np.zeros(len(h), bool)
@@ -234,14 +238,20 @@ def _open_text(rest: list, covered: set[int]) -> str:
             inside[hit + k] = True
     lost = np.bincount(block[inside], minlength=len(texts))
     size = np.bincount(block, minlength=len(texts))
-    return "\n".join(t for b, t, n, m in zip(rest, texts, lost, size) if b["open"] and n < COVERED * max(m, 1))
+    out, own, at = [], content.split("\n") if content is not None else [], 0  # a block has no \n
+    for b, t, n, m in zip(rest, texts, lost, size):
+        if b["open"] and n < COVERED * max(m, 1):
+            out += [*own[at : b["before"]], t]
+            at = b["before"]
+    return "\n".join(out + own[at:])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): one row per row of ``pages``."""
     rows = saved(parsed(pages), "parsed")
     repeated = saved(repeated_runs(rows), "repeated_runs")
-    bare = rows.where("content is null and size(rest) > 0")
+    has_open = F.exists("rest", lambda b: b["open"])
+    bare = rows.where(has_open)
 
     @F.udf("array<bigint>", useArrow=True)
     def runs_of(texts: list) -> list:
@@ -253,9 +263,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_open_text(r or [], set(c or ())) for r, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [_open_text(t, r or [], set(c or ())) for t, r, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    opened = bare.join(covered, "row", "left").select("page_id", "url", "rest", "covered").mapInArrow(finish, "page_id long, url string, text string")
-    plain = rows.where("content is not null or size(rest) = 0").select("page_id", "url", F.coalesce("content", F.lit("")).alias("text"))
+    opened = bare.join(covered, "row", "left").select("page_id", "url", "content", "rest", "covered").mapInArrow(finish, "page_id long, url string, text string")
+    plain = rows.where(~has_open).select("page_id", "url", F.coalesce("content", F.lit("")).alias("text"))
     return plain.unionByName(opened).withColumn("n_chars", F.length("text").cast("long"))

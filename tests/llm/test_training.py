@@ -340,6 +340,17 @@ def test_html(spark):
     assert rank[1] == rank[3] and len(set(rank)) == 5
 
 
+def test_repeats_decide_on_pages_with_an_article(spark):
+    """Open blocks beside of an article: what the host repeats goes, what one page has stays in its place."""
+    repeated = "<div>Home News Sport Weather Travel Money Science Culture Contact Imprint</div>"
+    own = [" ".join(f"{c}{i}" for i in range(10)) for c in "abc"]
+    page = lambda t, c: f"<nav>Menu</nav>{repeated}<p>{t}</p><article><h1>T{c}</h1><p>Text</p></article>{repeated}<p>{t} end</p><main>More</main>"
+    rows = [(k, "http://a.com/x", page(t, k)) for k, t in enumerate(own)] + [(9, "http://b.com/x", repeated + "<article>Alone</article>")]
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extracted(prepared(spark).createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"{t}\nT{k}\nText\n{t} end\nMore" for k, t in enumerate(own)} | {9: "Home News Sport Weather Travel Money Science Culture Contact Imprint\nAlone"}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
 def test_mixing(docs, spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "c", None])) for i in range(800)] + [(900, None, "a")]
