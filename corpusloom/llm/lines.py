@@ -12,6 +12,7 @@ with one doc_id are one document: their lines never drop each other; equal rows
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -21,26 +22,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACES, ascii_lower, saved, text_or_empty
+from corpusloom.llm.common import SPACES, saved, text_or_empty
 
 LEAST_KEY = 10
 
 
-def _key(line):
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+def _keyed(least: int):
+    """Rows (h1, h2, doc_id, row, pos) of the lines of (doc_id, row, text) that may be dropped, 65,536 at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, at, places = [], [], []
+
+        def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
+            halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+            own = pa.array(at, pa.int64())
+            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(own), batch.column(1).take(own), pa.array(places, pa.int32())]
+            for held in (hashes, at, places):
+                held.clear()
+            return pa.RecordBatch.from_arrays(columns, _STREAM[1:])
+
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                for pos, line in enumerate(text.as_py().split("\n")):
+                    key = line.strip(SPACES)
+                    if len(key) >= least:
+                        hashes.append(hashlib.sha256(key.encode().lower()).digest()[:16])  # of bytes, lower() changes A-Z only
+                        at.append(i)
+                        places.append(pos)
+                        if len(at) == 1 << 16:
+                            yield flush(batch)
+            if at:
+                yield flush(batch)
+
+    return run
 
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, doc_id, row, pos) of each line that may be dropped; (h1, h2) is the first half of a SHA-256 of the key."""
-    lines = docs.select(
-        F.col("doc_id").cast("long"),
-        F.xxhash64(text_or_empty()).alias("row"),
-        F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"),
-    )
-    lines = lines.withColumn("key", _key(F.col("line"))).where(F.length("key") >= least)
-    digest = F.sha2("key", 256)
-    part = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
-    return lines.select(part(1).alias("h1"), part(17).alias("h2"), "doc_id", "row", "pos")
+    """(h1, h2, doc_id, row, pos) of each line that may be dropped; (h1, h2) is the first half of a SHA-256 of the key.
+
+    The rows are stored, since dealing them by ranges reads them twice.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("row"), text_or_empty().alias("text"))
+    return saved(texts.mapInArrow(_keyed(least), "h1 long, h2 long, doc_id long, row long, pos int"), "occurrences")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bayes, credentials, exact, html, lines, minhash, mixing, packing, quality, rules, tokens, urls
 from corpusloom.llm.common import prepared
@@ -438,3 +439,25 @@ def test_marks_equal_one_pattern_over_the_whole_page():
     for _ in range(5000):
         page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
         assert [m.span() for m in html.marks(page)] == [m.span() for m in html._MARK.finditer(page)]
+
+
+def test_lines_are_keyed_once_and_as_spark_would(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [(1, " \x0bA long line, \u00c9\u0130 \U0001f600\r\nshort\n\n0123456789"), (2, "A LONG line, \u00c9\u0130 \U0001f600\t\n 012345678 "), (None, None), (4, "a long line, \u00e9\u0130 \U0001f600")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lines.drops(docs.withColumn("text", read("text"))).collect()
+    assert [(r["doc_id"], r["pos"]) for r in got] == [(2, 0)]
+    assert seen.value == len(rows)  # dealing by ranges samples its input first
+
+    key = F.translate(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")).withColumn("key", key)
+    half = lambda at: F.conv(F.substring(F.sha2("key", 256), at, 16), 16, -10).cast("long")
+    wanted = plain.where(F.length("key") >= 10).select(half(1).alias("h1"), half(17).alias("h2"), "doc_id", "pos")
+    kept = lines.occurrences(docs, 10).select("h1", "h2", "doc_id", "pos")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, wanted.collect())) != []
