@@ -265,3 +265,22 @@ def test_vectors_and_scans_work_in_bounded_passes(spark, monkeypatch):
             return [b.num_rows for b in run(iter(batches))]
 
     assert sum(search._scan(Index(), None, "x long")) == 75 and met == [20, 10, 40, 5]
+
+
+@pytest.mark.parametrize("few", [False, True])
+@pytest.mark.parametrize("most", [0, 1000])
+def test_short_pieces_are_listed_only_for_short_names(spark, monkeypatch, few, most):
+    """Pieces of one or two characters are two thirds of all; only names that are as short look there."""
+    from corpusloom.operators import containing as c
+
+    monkeypatch.setattr(c, "SHORT_NAMES", most)
+    names = [("r", "bcd"), ("r", "b"), ("s", "ab"), ("s", ""), ("s", "abcde"), ("t", "x"), ("r", None)]
+    texts = [("r", "abcd"), ("r", "b"), ("r", ""), ("s", "xab"), ("s", ""), ("s", None), ("u", "x"), ("s", "abcdef")]
+    given = spark.createDataFrame(names, "repo_id string, name string")
+    asked = spark.createDataFrame(texts, "repo_id string, text string")
+    got = c.containing(given, asked, few)
+    assert sorted(map(tuple, got.collect())) == sorted((r, n, t) for r, n in names for s, t in texts if r == s and n is not None and t is not None and n in t)
+
+    keys = asked.filter("text = 'abcdef'").select(c._keys(given).alias("k")).first()["k"]
+    assert sorted(keys) == (["", "a", "ab", "abc", "b", "bc", "bcd", "c", "cd", "cde", "d", "de", "def", "e", "ef", "f"] if not most else ["", "ab", "abc", "b", "bcd", "cde", "def"])
+    assert asked.filter("text = 'abcdef'").select(c._keys(given.filter("name = 'bcd'")).alias("k")).first()["k"] == ["abc", "bcd", "cde", "def"]
