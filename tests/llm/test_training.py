@@ -461,3 +461,23 @@ def test_lines_are_keyed_once_and_as_spark_would(spark):
     wanted = plain.where(F.length("key") >= 10).select(half(1).alias("h1"), half(17).alias("h2"), "doc_id", "pos")
     kept = lines.occurrences(docs, 10).select("h1", "h2", "doc_id", "pos")
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, wanted.collect())) != []
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from corpusloom.llm.common import saved
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+    earlier, before = files(), spark.conf.get(setting)
+    counts = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    back = saved(counts, "counts")
+    for _ in range(50):
+        if not files() - earlier:
+            break
+        time.sleep(0.1)
+    assert not files() - earlier
+    assert spark.conf.get(setting) == before  # what callers run keeps its shuffles
+    assert sorted(back.collect()) == sorted(counts.collect()) and back.count() == 700
