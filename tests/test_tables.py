@@ -232,3 +232,35 @@ def test_reports_read_their_rows_once(spark):
 
     lines = review.change_report(changes, given.select("repo_id")).collect()
     assert seen.value == 22 and len(lines) == 7
+
+
+def test_entries_get_their_own_vectors_and_those_that_stay_keep_theirs(spark, tmp_path):
+    from corpusloom.operators import index
+
+    root, schema = str(tmp_path / "index"), StructType.fromDDL("id string, text string, embedding array<float>, repo_id string")
+    make = lambda rows: spark.createDataFrame(rows, "id string, text string, repo_id string")
+    first = [(str(i), "x" * i, f"o/{i % 150}") for i in range(400)]
+    index.save_entries(make(first), root, schema, lambda c: F.array(F.length(c).cast("float")))
+    index.save_entries(make([("new", "abc", "o/7"), ("null", "n", None)]), root, schema, lambda c: F.array(F.lit(-1.0).cast("float")))
+    found = {r.id: (r.text, r.embedding, r.repo_id) for r in tables.load_index(spark, root, schema).collect()}
+    assert found == {
+        **{i: (t, [float(len(t))], r) for i, t, r in first if r != "o/7"}, "new": ("abc", [-1.0], "o/7"), "null": ("n", [-1.0], None)
+    }
+
+
+def test_vectors_are_made_after_the_exchange(spark, monkeypatch):
+    """What is written into buckets gets its vectors in the tasks that write, so the exchange and the sort are without them."""
+    from corpusloom.plans import catalog
+
+    writer, plans = type(spark.range(1).write), []
+    write = writer.parquet
+
+    def noted(self, path, *args, **kwargs):
+        if "bucket" in self._df.columns:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(writer, "parquet", noted)
+    assert catalog.QUERIES["index_build_missing"](spark, "/root/testdata/sf0.001").count() > 0
+    made = [p for p in plans if "ArrowEvalPython" in p]
+    assert len(made) == 2 and all(p.index("ArrowEvalPython") < p.index("Sort") < p.index("Exchange") for p in made)
