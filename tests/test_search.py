@@ -284,3 +284,23 @@ def test_short_pieces_are_listed_only_for_short_names(spark, monkeypatch, few, m
     keys = asked.filter("text = 'abcdef'").select(c._keys(given).alias("k")).first()["k"]
     assert sorted(keys) == (["", "a", "ab", "abc", "b", "bc", "bcd", "c", "cd", "cde", "d", "de", "def", "e", "ef", "f"] if not most else ["", "ab", "abc", "b", "bcd", "cde", "def"])
     assert asked.filter("text = 'abcdef'").select(c._keys(given.filter("name = 'bcd'")).alias("k")).first()["k"] == ["abc", "bcd", "cde", "def"]
+
+
+@pytest.mark.parametrize("blocks", [(1 << 18, 1 << 16, 4096), (7, 9, 4)])
+def test_many_names_meet_texts_in_tiles(spark, monkeypatch, blocks):
+    """Names of all lengths against texts, in one tile and in many; pieces are no rows, so only names and texts are shuffled."""
+    from corpusloom.operators import containing as c
+
+    monkeypatch.setattr(c, "MANY_NAMES", 0)
+    for constant, size in zip(("TILE_NAMES", "TILE_TEXTS", "PASS_TEXTS"), blocks):
+        monkeypatch.setattr(c, constant, size)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abé/"), n))
+    names = {("r", word(int(rng.integers(1, 12)))) for _ in range(60)} | {("r", ""), ("s", "ab"), ("s", "é"), ("t", "x"), ("r", None), (None, "a")}
+    texts = {(str(rng.choice(["r", "s"])), word(int(rng.integers(0, 30)))) for _ in range(100)}
+    texts |= {("r", f"{a}{n}{b}") for r, n in names if r == "r" and n for a, b in (("", ""), ("x", ""), ("é", "x"))} | {("r", None), (None, "a"), ("u", "x")}
+    by = lambda rows: sorted(rows, key=str)
+    found = c.containing(spark.createDataFrame(by(names), "repo_id string, name string"), spark.createDataFrame(by(texts), "repo_id string, text string"))
+    whole = lambda *x: None not in x
+    assert sorted(map(tuple, found.collect())) == sorted((r, n, t) for r, n in names for s, t in texts if whole(r, n, t) and r == s and n in t)
+    assert "piece" not in found._jdf.queryExecution().toString()
