@@ -304,3 +304,75 @@ def test_many_names_meet_texts_in_tiles(spark, monkeypatch, blocks):
     whole = lambda *x: None not in x
     assert sorted(map(tuple, found.collect())) == sorted((r, n, t) for r, n in names for s, t in texts if whole(r, n, t) and r == s and n in t)
     assert "piece" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("filled,low", [(0.1, 0), (0.1, -3), (0.9, -3)])
+def test_bounds_leave_out_no_hit(monkeypatch, filled, low):
+    """Packed rows scored where the bound of their block allows, against all pairs; few numbers leave most rows out."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "FEW_ROWS", 100)
+    monkeypatch.setattr(search, "CHUNK", 16)
+    scored, all_rows = [], []
+    scores, whole = search._Bounds._scores, search._all
+    monkeypatch.setattr(search._Bounds, "_scores", lambda self, blocks, *how: scored.append(len(blocks)) or scores(self, blocks, *how))
+    monkeypatch.setattr(search, "_all", lambda *how: all_rows.append(1) or whole(*how))
+    rng = np.random.default_rng(2)
+    some = lambda n: rng.integers(low, 4, (n, 64)) * (rng.random((n, 64)) < filled)
+    listed = lambda m: search._Sparse(pa.chunked_array([search._pack(pa.array(m.astype(np.float32).tolist(), pa.list_(pa.float32())))]))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for n, k in ((90, 5), (1003, 1), (1003, 5), (1003, 200)):
+        rows, queries = some(n), np.r_[some(50), np.zeros((1, 64), int)]
+        place = rng.permutation(n)
+        row, col, value = listed(rows).nearest(place, listed(queries), k)
+        exact = np.round(unit(rows)[place] @ unit(queries).T, 9) + 0.0
+        want = [(c, r) for c in range(51) for r in np.lexsort((np.arange(n), -exact[:, c]))[:k]]
+        assert list(zip(col, row)) == want and np.allclose(value, exact[row, col])
+    assert bool(scored) == (filled < 0.5) and all_rows
+
+
+def test_packed_vectors_keep_their_lengths():
+    import pyarrow as pa
+
+    lists = pa.array([[0.0, 1.5], None, [], [0.0, 0.0, 2.0]], pa.list_(pa.float32()))
+    assert [len(x) // search._RECORD.itemsize for x in search._pack(lists).to_pylist()] == [2, 1, 1, 2]
+    for some in (lists, lists.slice(1, 2), lists.slice(1, 1)):
+        with pytest.raises(ValueError, match="same length"):
+            search._Sparse(pa.chunked_array([search._pack(some)]))
+    assert search._Sparse(pa.chunked_array([search._pack(lists.slice(3))])).dense().tolist() == [[0, 0, 1]]
+
+
+def test_tiles_move_no_vectors_and_no_hits(spark, files, monkeypatch):
+    """Vectors go to their tiles packed, and what a tile finds stays where it is."""
+    from corpusloom.operators import index
+    from corpusloom.plans import graph_build
+
+    monkeypatch.setattr(search, "MAX_BLOCK_BYTES", 0)
+    contents = {r: {f"f{i}.js": f"function load{i}(a) {{\n}}\nfunction save{i}(a) {{\n}}\n" for i in range(6)} for r in ("o/1", "o/2")}
+    (idx, _, _, _), given = _corpus(spark, files, contents)
+    found = graph_build.related_to_targets(given.select("repo_id", F.col("path").alias("file")), idx.select(*index.SEARCHED))
+    assert found.count() == found.select("query_id", "rank").distinct().count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above, tiles, below = plan.partition("FlatMapCoGroupsInArrow")
+    assert tiles and "Exchange" not in above and "Join" not in above and "Exchange" in below
+    dealt = found._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapCoGroupsInArrow")[0]
+    assert "Join" not in dealt and "Window" not in dealt
+    moved = [line for line in below.split("\n") if "Exchange" in line]
+    assert not any("embedding" in line or "vector" in line for line in moved)
+
+
+def test_stored_tables_of_code_queries_leave_no_shuffle_files(spark):
+    import time
+
+    from corpusloom import session
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+    earlier, before = held(), spark.conf.get(session.DROP_SHUFFLES)
+    back = session.stored(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not held() - earlier:
+            break
+        time.sleep(0.1)
+    assert not held() - earlier
+    assert spark.conf.get(session.DROP_SHUFFLES) == before and back.count() == 700
