@@ -376,3 +376,10 @@ def test_stored_tables_of_code_queries_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not held() - earlier
     assert spark.conf.get(session.DROP_SHUFFLES) == before and back.count() == 700
+
+
+def test_files_of_hits_are_ranked_where_they_are_grouped(spark):
+    """Hits are dealt once, by query and repository."""
+    found = ctx.file_hits(_hits(spark, [3, 6]))
+    assert [(r.path, r.file_rank, r.hits, len(r.symbols)) for r in found.collect()] == [("a.js", 1, 2, 2)]
+    assert found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].count("Exchange ") == 1
